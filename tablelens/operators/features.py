@@ -268,3 +268,14 @@ def interactions(df: DataFrame, columns: list[str], keep: list[str] | None = Non
                        interactions=[[a, b] for a, b in combinations(columns, 2)])
     spec.output_columns = [f"{a}_x_{b}" for a, b in spec.interactions]
     return spec.transform(df, keep=keep)
+
+
+def project_features(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """Selected features then the target; the target is never also a feature."""
+    feats = [c for c in features if c != target]
+    if not feats:
+        raise ValueError("select at least one feature")
+    missing = [c for c in feats + [target] if c not in df.columns]
+    if missing:
+        raise ValueError(f"unknown columns: {missing}")
+    return df.select(*[qcol(c) for c in feats + [target]])
