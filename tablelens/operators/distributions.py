@@ -82,41 +82,90 @@ def plot_numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for i, f in enumerate(cand) if row[f"c{i}"] > 0]
 
 
+# Aggregate functions per pass: wide global aggregates beyond this lose
+# whole-stage code generation, so larger sets are split into several passes.
+_MAX_AGGS_PER_PASS = 80
+
+
+def _agg_in_passes(df: DataFrame, named: list[tuple[str, Column]]) -> dict[str, float | None]:
+    """Run many scalar aggregates in as few codegen-friendly passes as possible."""
+    out: dict[str, float | None] = {}
+    for k in range(0, len(named), _MAX_AGGS_PER_PASS):
+        part = named[k:k + _MAX_AGGS_PER_PASS]
+        row = df.agg(*[e.alias(n) for n, e in part]).first()
+        out.update({n: row[n] for n, _ in part})
+    return out
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_a, column_b, corr): Pearson correlation on pairwise complete rows.
 
-    Every pair is one set of aggregates inside ONE pass over the table.
-    Constant columns, or pairs with fewer than two complete rows, give
-    NULL (pandas NaN).  The diagonal is 1 unless the column is constant.
+    Two-pass and numerically stable: the first pass finds every column's
+    mean and whether it has missing values; the second sums products of the
+    mean-shifted values.  Pairs of columns without missing values share the
+    per-column sums and need ONE product sum each; only pairs touching a
+    column with gaps carry their own masked sums.  Every pass is a plain
+    aggregate of sums (split when very wide), so it stays in generated code.
+    Constant columns, or pairs with fewer than two complete rows, give NULL
+    (pandas NaN); the diagonal is 1 unless the column is constant.
     """
     df = nan_to_null(df)
     if columns is None:
         columns = plot_numeric_columns(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     xs = {c: to_number(qcol(c), types[c], "plot") for c in columns}
-    aggs = [F.count(F.lit(1)).alias("n")]
     idx = {c: i for i, c in enumerate(columns)}
+    first = [("n", F.count(F.lit(1)))]
+    for c in columns:
+        first += [(f"c{idx[c]}", F.count(xs[c])), (f"m{idx[c]}", F.avg(xs[c]))]
+    p1 = _agg_in_passes(df, first)
+    n_rows = p1["n"]
+    mean = {c: p1[f"m{idx[c]}"] or 0.0 for c in columns}
+    full = {c: p1[f"c{idx[c]}"] == n_rows for c in columns}
+    ys = {c: xs[c] - F.lit(mean[c]) for c in columns}
+    second: list[tuple[str, Column]] = []
     for c in columns:
-        aggs.append(F.var_pop(xs[c]).alias(f"v{idx[c]}"))
+        i = idx[c]
+        second += [(f"s{i}", F.sum(ys[c])), (f"q{i}", F.sum(ys[c] * ys[c]))]
     for a, b in combinations(columns, 2):
-        both = xs[a].isNotNull() & xs[b].isNotNull()
-        xa, xb = F.when(both, xs[a]), F.when(both, xs[b])
         i, j = idx[a], idx[b]
-        aggs += [F.covar_pop(xa, xb).alias(f"c{i}_{j}"), F.var_pop(xa).alias(f"a{i}_{j}"),
-                 F.var_pop(xb).alias(f"b{i}_{j}")]
-    one = df.agg(*aggs)
-    structs = []
+        if full[a] and full[b]:
+            second.append((f"p{i}_{j}", F.sum(ys[a] * ys[b])))
+        else:
+            m = xs[a].isNotNull() & xs[b].isNotNull()
+            ya, yb = F.when(m, ys[a]), F.when(m, ys[b])
+            second += [(f"n{i}_{j}", F.count(ya)), (f"sa{i}_{j}", F.sum(ya)), (f"sb{i}_{j}", F.sum(yb)),
+                       (f"qa{i}_{j}", F.sum(ya * ya)), (f"qb{i}_{j}", F.sum(yb * yb)),
+                       (f"p{i}_{j}", F.sum(ya * yb))]
+    p2 = _agg_in_passes(df, second) if columns else {}
+
+    def moments(n, sa, sb, qa, qb, p):
+        if not n:
+            return None
+        ma, mb = sa / n, sb / n
+        va, vb = qa / n - ma * ma, qb / n - mb * mb
+        if va <= 0 or vb <= 0:
+            return None
+        r = (p / n - ma * mb) / (va * vb) ** 0.5
+        return max(-1.0, min(1.0, r))
+
+    rows = []
     for c in columns:
         i = idx[c]
-        structs.append(F.struct(F.lit(c).alias("column_a"), F.lit(c).alias("column_b"),
-                                F.when(F.col(f"v{i}") > 0, F.lit(1.0)).alias("corr")))
+        n = p1[f"c{i}"]
+        v = None if not n else (p2[f"q{i}"] or 0.0) / n - ((p2[f"s{i}"] or 0.0) / n) ** 2
+        rows.append((c, c, 1.0 if v is not None and v > 0 else None))
     for a, b in combinations(columns, 2):
         i, j = idx[a], idx[b]
-        r = F.try_divide(F.col(f"c{i}_{j}"), F.sqrt(F.col(f"a{i}_{j}") * F.col(f"b{i}_{j}")))
-        r = F.when(F.col(f"a{i}_{j}") * F.col(f"b{i}_{j}") > 0, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
-        structs.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), r.alias("corr")))
-        structs.append(F.struct(F.lit(b).alias("column_a"), F.lit(a).alias("column_b"), r.alias("corr")))
-    return one.select(F.inline(F.array(*structs)))
+        if full[a] and full[b]:
+            r = moments(n_rows, p2[f"s{i}"] or 0.0, p2[f"s{j}"] or 0.0, p2[f"q{i}"] or 0.0, p2[f"q{j}"] or 0.0,
+                        p2[f"p{i}_{j}"] or 0.0)
+        else:
+            r = moments(p2[f"n{i}_{j}"], p2[f"sa{i}_{j}"] or 0.0, p2[f"sb{i}_{j}"] or 0.0,
+                        p2[f"qa{i}_{j}"] or 0.0, p2[f"qb{i}_{j}"] or 0.0, p2[f"p{i}_{j}"] or 0.0)
+        rows += [(a, b, r), (b, a, r)]
+    # k x k summary numbers computed from the two aggregates above (bounded by the column count)
+    return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, corr double")
 
 
 def scatter_pairs(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -70,10 +70,10 @@ def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
 def fit_labels(df: DataFrame, target: str) -> list:
     """Sorted distinct target values (the class list), size-checked before collecting."""
     d = df.where(qcol(target).isNotNull()).select(qcol(target).alias("v")).distinct()
-    n = d.count()
-    if n > MAX_CLASSES:
-        raise ValueError(f"target {target!r} has {n} classes; more than {MAX_CLASSES} cannot be encoded")
-    return [r["v"] for r in d.orderBy("v").collect()]
+    rows = d.orderBy("v").limit(MAX_CLASSES + 1).collect()      # size check and collect in one job
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"target {target!r} has more than {MAX_CLASSES} classes and cannot be encoded")
+    return [r["v"] for r in rows]
 
 
 def encode_expr(c: Column, labels: list) -> Column:

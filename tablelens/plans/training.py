@@ -31,6 +31,7 @@ class TrainedModel:
     selection: md.Selection
     domains: list[sc.Domain]
     test: DataFrame                   # engineered test rows (label column "label")
+    train_rows: DataFrame | None = None   # raw training input (large category domains join on it)
 
     @property
     def model(self):
@@ -69,6 +70,7 @@ class TrainedModel:
 @dataclass
 class Prepared:
     frame: DataFrame                  # engineered, cleaned rows; target renamed to "label"
+    raw: DataFrame                    # projected input rows
     spec: fe.FeatureSpec
     problem_type: str
     labels: list | None
@@ -91,6 +93,7 @@ def prepare(df: DataFrame, target: str, features: list[str] | None = None,
     dtype = {f.name: f.dataType for f in data.schema.fields}[target]
     ptype = problem_type or tg.problem_type(dtype)
     domains = sc.fit_domains(data, features)
+    raw = data
     labels = None
     if ptype == "classification":
         data, labels = tg.label_encode(data, target, output="__label")
@@ -102,7 +105,7 @@ def prepare(df: DataFrame, target: str, features: list[str] | None = None,
     sp.check_all_numeric(frame, spec.feature_columns)
     if target != "label":
         frame = frame.withColumnRenamed(target, "label")
-    return Prepared(frame, spec, ptype, labels, domains, features)
+    return Prepared(frame, raw, spec, ptype, labels, domains, features)
 
 
 def train(df: DataFrame, target: str, features: list[str] | None = None, problem_type: str | None = None,
@@ -112,7 +115,7 @@ def train(df: DataFrame, target: str, features: list[str] | None = None, problem
     p = prepare(df, target, features, problem_type)
     tr, te = sp.train_test_split(p.frame, split_key, test_fraction, seed)
     sel = md.train_select(tr, te, p.problem_type, p.spec.feature_columns, "label", max_depth, num_trees, seed)
-    return TrainedModel(target, p.features, p.problem_type, p.labels, p.spec, sel, p.domains, te)
+    return TrainedModel(target, p.features, p.problem_type, p.labels, p.spec, sel, p.domains, te, p.raw)
 
 
 def score_batch(tm: TrainedModel, new: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -123,7 +126,7 @@ def score_batch(tm: TrainedModel, new: DataFrame, keep: list[str] | None = None)
     output has exactly one row per input row.
     """
     keep = list(keep or [])
-    checked = sc.validate_rows(new, tm.domains)
+    checked = sc.validate_rows(new, tm.domains, tm.train_rows)
     ok = checked.where(F.col("issue").isNull())
     bad = checked.where(F.col("issue").isNotNull())
     aligned = sc.align(ok, tm.spec, keep=keep + ["issue", "warning"])
