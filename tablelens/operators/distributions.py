@@ -17,23 +17,28 @@ def _coerced(df: DataFrame, column: str, context: str = "plot") -> Column:
     return to_number(qcol(column), dtype, context)
 
 
-def bin_index(x: Column, lo: float, hi: float, bins: int) -> Column:
-    """Index i with edge_i <= x < edge_(i+1), the last bin closed on the right.
+def with_bin(df: DataFrame, x: str, lo: float, hi: float, bins: int, out: str) -> DataFrame:
+    """Add ``out`` = index i with edge_i <= x < edge_(i+1), the last bin closed on the right.
 
     edge_i = lo + i * (hi - lo) / bins and edge_bins = hi exactly (numpy
     ``linspace``).  A first guess from the scaled offset is corrected by one
     step against the true edges, which is how numpy assigns values that sit
-    on an edge.
+    on an edge.  Each step is its own projection over the previous column, so
+    the expression stays linear in size (nesting the guess inside both
+    corrections would grow it exponentially).
     """
     step = (hi - lo) / bins
+    xc = F.col(x)
 
     def edge(i: Column) -> Column:
         return F.when(i >= bins, F.lit(hi)).otherwise(i.cast("double") * F.lit(step) + F.lit(lo))
 
-    guess = ((x - F.lit(lo)) / F.lit(hi - lo) * bins).cast("int")
-    i1 = F.when(guess >= bins, F.lit(bins - 1)).otherwise(guess)
-    i2 = F.when(x < edge(i1), i1 - 1).otherwise(i1)
-    return F.when((x >= edge(i2 + 1)) & (i2 != bins - 1), i2 + 1).otherwise(i2)
+    g = "__bin_guess"
+    df = df.withColumn(g, F.least(((xc - F.lit(lo)) / F.lit(hi - lo) * bins).cast("int"), F.lit(bins - 1)))
+    df = df.withColumn(g, F.when(xc < edge(F.col(g)), F.col(g) - 1).otherwise(F.col(g)))
+    df = df.withColumn(out, F.when((xc >= edge(F.col(g) + 1)) & (F.col(g) != bins - 1), F.col(g) + 1)
+                       .otherwise(F.col(g)))
+    return df.drop(g)
 
 
 def value_range(df: DataFrame, x: Column) -> tuple[float | None, float | None, int]:
@@ -60,7 +65,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     fin = df.select(x.alias("x")).where(F.abs(F.col("x")) != F.lit(_INF))
-    counts = fin.groupBy(bin_index(F.col("x"), lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = with_bin(fin, "x", lo, hi, bins, "bin").groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
     step = (hi - lo) / bins
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     edge_lo = F.col("bin").cast("double") * F.lit(step) + F.lit(lo)
@@ -194,8 +199,8 @@ def scatter_grid(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
         x0, x1 = x0 - 0.5, x1 + 0.5
     if y0 == y1:
         y0, y1 = y0 - 0.5, y1 + 0.5
-    g = pts.groupBy(bin_index(F.col("x"), x0, x1, bins).alias("x_bin"),
-                    bin_index(F.col("y"), y0, y1, bins).alias("y_bin")).agg(F.count(F.lit(1)).alias("count"))
+    binned = with_bin(with_bin(pts, "x", x0, x1, bins, "x_bin"), "y", y0, y1, bins, "y_bin")
+    g = binned.groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("count"))
     return g.select("x_bin", "y_bin",
                     (F.col("x_bin").cast("double") * F.lit((x1 - x0) / bins) + F.lit(x0)).alias("x_lower"),
                     (F.col("y_bin").cast("double") * F.lit((y1 - y0) / bins) + F.lit(y0)).alias("y_lower"),

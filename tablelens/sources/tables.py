@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -15,9 +16,29 @@ def table_path(sf_dir: str, name: str) -> str:
     return path
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores, once.
+
+    A file with a single row group is read by a single task, and every pass
+    of a multi-pass operator (quantile brackets, feature fitting, training)
+    would run on one core.  Such an input is small by construction (fewer
+    than ``cores`` splits of at most ``spark.sql.files.maxPartitionBytes``),
+    so it is round-robined to one partition per core and persisted (memory,
+    spilling to disk); identical reads share the cached copy.  Inputs with
+    at least as many splits as cores - any large table - are returned
+    unchanged: no shuffle, no cache.  Lost cached blocks are recomputed from
+    the scan.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """``spark.read.parquet`` of one table of a scale-factor directory."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread_small(df) if spread else df
 
 
 def register_views(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
