@@ -30,7 +30,10 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
 INFINITY_PATTERN = r"^[+-]?([iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY])$"
 
-# Date formats tried when a text column may hold dates, in order of preference.
+# Date formats tried when a text column may hold dates, in order of preference,
+# each with the shape a value must have before it is parsed.  The shape test
+# is a cheap regular expression; a failed parse is expensive (the parser
+# raises and catches internally), and most values of a non-date column fail.
 DATE_FORMATS = [
     "yyyy-M-d",
     "M/d/yyyy",
@@ -39,6 +42,14 @@ DATE_FORMATS = [
     "yyyy-M-d'T'H:m:sX",
     "d MMM yyyy",
 ]
+DATE_SHAPES = {
+    "yyyy-M-d": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
+    "M/d/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
+    "d/M/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
+    "yyyy-M-d H:m:s": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$",
+    "yyyy-M-d'T'H:m:sX": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(Z|[+-][0-9]{2}(:?[0-9]{2})?)$",
+    "d MMM yyyy": r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$",
+}
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -46,12 +57,6 @@ NUMERIC = INTEGRAL + FRACTIONAL
 DATETIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
 ATOMIC = NUMERIC + DATETIME + (T.StringType, T.BooleanType, T.BinaryType)
 
-# Fixed widths (bytes) used by the data size estimate for non-text types.
-FIXED_WIDTH = {
-    "byte": 1, "short": 2, "int": 4, "long": 8, "float": 4, "double": 8,
-    "boolean": 1, "date": 4, "timestamp": 8, "timestamp_ntz": 8,
-}
-
 
 def qcol(name: str) -> Column:
     """Column reference that survives dots, spaces and backticks in names."""
@@ -138,8 +143,11 @@ def to_number(c: Column, dtype: T.DataType, context: str = "plot") -> Column:
 
 
 def parse_date(c: Column, fmt: str) -> Column:
-    """Text to timestamp with one explicit format; NULL when it does not parse."""
-    return F.try_to_timestamp(c, F.lit(fmt))
+    """Text to timestamp with one explicit format; NULL unless the text has the
+    format's shape and parses (so 31 February and trailing text are NULL)."""
+    parsed = F.try_to_timestamp(c, F.lit(fmt))
+    shape = DATE_SHAPES.get(fmt)
+    return F.when(c.rlike(shape), parsed) if shape else parsed
 
 
 def text_to_boolean(c: Column) -> Column:
