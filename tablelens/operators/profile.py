@@ -77,6 +77,32 @@ def census(df: DataFrame) -> dict[str, int]:
     return {k: counts.get(k, 0) for k in ("numeric", "categorical", "datetime", "boolean", "other")}
 
 
+def columns_of_class(df: DataFrame, include: list[str] | None = None,
+                     exclude: list[str] | None = None) -> list[str]:
+    """Column names whose type class (numeric, categorical, datetime, boolean, other)
+    is in ``include`` and not in ``exclude`` - the schema-only column selection."""
+    out = []
+    for f in df.schema.fields:
+        cls = type_class(f.dataType)
+        if include is not None and cls not in include:
+            continue
+        if exclude is not None and cls in exclude:
+            continue
+        out.append(f.name)
+    return out
+
+
+def select_by_class(df: DataFrame, include: list[str] | None = None,
+                    exclude: list[str] | None = None) -> DataFrame:
+    """Project the columns of the given type classes (pruned down to the scan)."""
+    return df.select(*[qcol(c) for c in columns_of_class(df, include, exclude)])
+
+
+def dtypes_text(df: DataFrame) -> str:
+    """'column: type, ...' as one line (schema only)."""
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def column_types(df: DataFrame) -> DataFrame:
     """(column_name, position, data_type, type_class) from the schema alone."""
     spark = df.sparkSession

@@ -92,3 +92,9 @@ def test_profile_matches_pandas_on_lineitem(spark):
         assert st[c]["outliers"] == n_out
         assert st[c]["unique"] == s.nunique()
         assert st[c]["duplicate_values"] == int(s.duplicated().sum())
+
+
+def test_select_by_class(edge_profile):
+    assert profile.columns_of_class(edge_profile, include=["numeric"]) == ["id", "x"]
+    assert profile.select_by_class(edge_profile, exclude=["numeric"]).columns == ["t", "b"]
+    assert profile.dtypes_text(edge_profile) == "id: bigint, x: double, t: string, b: boolean"
