@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.layout import spread_small
 from ..functions.typing_rules import nan_to_null, qcol, to_number, type_class
 from .outliers import fit_fences, outlier_flag
 from .profile import distinct_only
@@ -61,7 +62,7 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
     whole expanded aggregate into a sort-based one.  Their per-column rows are
     merged by a group-by over at most 2 x columns rows.
     """
-    df = nan_to_null(df)
+    df = spread_small(nan_to_null(df))
     fences = fit_fences(df, None, exact)
     plain = _single_pass(df, fences)
     dist = distinct_only(df, exact).select(

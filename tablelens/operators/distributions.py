@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.layout import spread_small
 from ..functions.typing_rules import nan_to_null, qcol, to_number, type_class
 
 _INF = float("inf")
@@ -118,7 +119,8 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     if columns is None:
         columns = plot_numeric_columns(df)
     types = {f.name: f.dataType for f in df.schema.fields}
-    xs = {c: to_number(qcol(c), types[c], "plot") for c in columns}
+    df = spread_small(df.select(*[to_number(qcol(c), types[c], "plot").alias(c) for c in columns]))
+    xs = {c: qcol(c) for c in columns}
     idx = {c: i for i, c in enumerate(columns)}
     first = [("n", F.count(F.lit(1)))]
     for c in columns:

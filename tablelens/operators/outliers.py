@@ -12,7 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.layout import spread_small
 from ..functions.typing_rules import nan_to_null, qcol, to_number, type_class
 from .quantiles import quantiles
 
@@ -54,7 +56,7 @@ def numeric_view(df: DataFrame, columns: list[str]) -> DataFrame:
 def fit_fences(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> dict[str, Fence]:
     """Q1 / Q3 of every eligible column (all columns share each pass)."""
     cols = eligible(df, columns)
-    qs = quantiles(numeric_view(df, cols), cols, [0.25, 0.75], exact=exact)
+    qs = quantiles(spread_small(numeric_view(df, cols)), cols, [0.25, 0.75], exact=exact)
     return {c: Fence(c, qs[c][0], qs[c][1]) for c in cols}
 
 
@@ -103,12 +105,20 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None, exact: bool =
 
 
 def outlier_rows(df: DataFrame, column: str, exact: bool = True, fence: Fence | None = None) -> DataFrame:
-    """Rows of ``df`` whose coerced ``column`` lies strictly outside the fences."""
-    df = nan_to_null(df)
+    """Rows of ``df`` whose coerced ``column`` lies strictly outside the fences.
+
+    For number columns the range test is written on the raw column (NaN is
+    excluded by a separate conjunct), so the parquet scan receives it as a
+    pushed filter and skips row groups whose statistics lie inside the fences.
+    """
     if fence is None:
-        fence = fit_fences(df, [column], exact).get(column)
+        fence = fit_fences(nan_to_null(df), [column], exact).get(column)
     if fence is None or fence.q1 is None:
-        return df.limit(0)
+        return nan_to_null(df).limit(0)
     dtype = {f.name: f.dataType for f in df.schema.fields}[column]
-    x = to_number(qcol(column), dtype, "outliers")
-    return df.where(outlier_flag(x, fence))
+    c = qcol(column)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        pred = ((c < F.lit(fence.lower)) | (c > F.lit(fence.upper))) & ~F.isnan(c)
+    else:
+        pred = outlier_flag(to_number(c, dtype, "outliers"), fence)
+    return nan_to_null(df.where(pred))

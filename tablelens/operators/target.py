@@ -63,8 +63,16 @@ def validate_target(df: DataFrame, target: str) -> tuple[bool, str]:
 
 
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
-    """Rows whose target is present (NaN counts as missing)."""
-    return nan_to_null(df).where(qcol(target).isNotNull())
+    """Rows whose target is present (NaN counts as missing).
+
+    The test is written on the raw column so ``IS NOT NULL`` reaches the scan.
+    """
+    c = qcol(target)
+    dtype = {f.name: f.dataType for f in df.schema.fields}[target]
+    present = c.isNotNull()
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        present = present & ~F.isnan(c)
+    return nan_to_null(df.where(present))
 
 
 def fit_labels(df: DataFrame, target: str) -> list:

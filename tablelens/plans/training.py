@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.layout import spread_small
 from ..functions.typing_rules import qcol
 from ..operators import features as fe
 from ..operators import metrics as mt
@@ -89,7 +90,7 @@ def prepare(df: DataFrame, target: str, features: list[str] | None = None,
     features = [c for c in features if c != target]
     if not features:
         raise ValueError("select at least one feature")
-    data = df.select(*[qcol(c) for c in features + [target]])
+    data = spread_small(df.select(*[qcol(c) for c in features + [target]]))
     dtype = {f.name: f.dataType for f in data.schema.fields}[target]
     ptype = problem_type or tg.problem_type(dtype)
     domains = sc.fit_domains(data, features)
