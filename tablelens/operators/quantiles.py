@@ -58,18 +58,7 @@ def approx_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     return out
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    buckets: int = 4096, collect_limit: int = 65536,
-                    max_rounds: int = 256) -> dict[str, list[float | None]]:
-    """Exact linearly interpolated quantiles of double columns (NULL = missing).
-
-    ``df`` must hold the columns as doubles without NaN.  The driver only ever
-    receives per-bucket summaries, bounded by ``buckets`` per open bracket and
-    by ``collect_limit`` values per bracket in the last step.
-    """
-    columns = list(columns)
-    if not columns:
-        return {}
+def _column_stats(df: DataFrame, columns: list[str]):
     inf = F.lit(_INF)
     stats = []
     for i, c in enumerate(columns):
@@ -82,42 +71,39 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             F.count(F.when(x == -inf, 1)).alias(f"ni{i}"),
             F.count(F.when(x == inf, 1)).alias(f"pi{i}"),
         ]
-    srow = df.agg(*stats).first()
+    return df.agg(*stats).first()
+
 
-    # (column index, absolute rank) -> value once known
+def select_ranks(df: DataFrame, columns: list[str], ranks: dict[int, set[int]], srow,
+                 buckets: int = 4096, collect_limit: int = 65536,
+                 max_rounds: int = 256) -> dict[tuple[int, int], float]:
+    """Exact order statistics: value at 0-based ``rank`` of column index ``i``.
+
+    ``srow`` is the row of ``_column_stats``.  Each pass refines every open
+    bracket at once; see the module docstring.
+    """
     values: dict[tuple[int, int], float] = {}
-    # open brackets: (ci, lo, hi) -> {"below": finite values < lo, "cnt": values in [lo, hi], "ranks": set}
     brackets: dict[tuple[int, float, float], dict] = {}
-    wanted: dict[int, list[tuple[int, int, float]]] = {}
-    for i in range(len(columns)):
+    offsets = {}
+    for i, wanted_ranks in ranks.items():
         n = srow[f"n{i}"]
-        if not n:
-            continue
         n_neg, n_pos = srow[f"ni{i}"], srow[f"pi{i}"]
-        wanted[i] = []
-        for p in probs:
-            h = (n - 1) * float(p)
-            r0, r1 = int(math.floor(h)), int(math.ceil(h))
-            wanted[i].append((r0, r1, h - r0))
-            for r in (r0, r1):
-                if (i, r) in values:
-                    continue
-                if r < n_neg:
-                    values[(i, r)] = -_INF
-                elif r >= n - n_pos:
-                    values[(i, r)] = _INF
-                else:
-                    key = (i, srow[f"lo{i}"], srow[f"hi{i}"])
-                    b = brackets.setdefault(key, {"below": 0, "cnt": n - n_neg - n_pos, "ranks": set()})
-                    b["ranks"].add(r - n_neg)
-        # finite ranks are shifted by the -inf block; keep the offset for lookup
-    offsets = {i: srow[f"ni{i}"] for i in wanted}
+        offsets[i] = n_neg
+        for r in wanted_ranks:
+            if r < n_neg:
+                values[(i, r)] = -_INF
+            elif r >= n - n_pos:
+                values[(i, r)] = _INF
+            else:
+                key = (i, srow[f"lo{i}"], srow[f"hi{i}"])
+                b = brackets.setdefault(key, {"below": 0, "cnt": n - n_neg - n_pos, "ranks": set()})
+                b["ranks"].add(r - n_neg)
 
     rounds = 0
     while brackets:
         rounds += 1
         if rounds > max_rounds:
-            raise RuntimeError("exact_quantiles did not converge")
+            raise RuntimeError("rank selection did not converge")
         active = []
         for key, b in list(brackets.items()):
             ci, lo, hi = key
@@ -172,19 +158,53 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                     cum += n
                 else:  # pragma: no cover - counts are exact, so this cannot happen
                     raise RuntimeError("rank outside bracket")
+    return values
 
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                    buckets: int = 4096, collect_limit: int = 65536,
+                    max_rounds: int = 256) -> dict[str, list[float | None]]:
+    """Exact linearly interpolated quantiles of double columns (NULL = missing).
+
+    ``df`` must hold the columns as doubles without NaN.  The driver only ever
+    receives per-bucket summaries, bounded by ``buckets`` per open bracket and
+    by ``collect_limit`` values per bracket in the last step.
+    """
+    columns = list(columns)
+    if not columns:
+        return {}
+    srow = _column_stats(df, columns)
+    wanted: dict[int, list[tuple[int, int, float]]] = {}
+    ranks: dict[int, set[int]] = {}
+    for i in range(len(columns)):
+        n = srow[f"n{i}"]
+        if not n:
+            continue
+        wanted[i] = []
+        for p in probs:
+            h = (n - 1) * float(p)
+            r0, r1 = int(math.floor(h)), int(math.ceil(h))
+            wanted[i].append((r0, r1, h - r0))
+            ranks.setdefault(i, set()).update((r0, r1))
+    values = select_ranks(df, columns, ranks, srow, buckets, collect_limit, max_rounds)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(columns):
         if i not in wanted:
             out[c] = [None] * len(probs)
             continue
-        res = []
-        for r0, r1, frac in wanted[i]:
-            res.append(_lerp(values[(i, r0)], values[(i, r1)], frac))
-        out[c] = res
+        out[c] = [_lerp(values[(i, r0)], values[(i, r1)], frac) for r0, r1, frac in wanted[i]]
     return out
 
 
+def value_at_rank(df: DataFrame, column: str, rank: int) -> float | None:
+    """The exact value at 0-based ``rank`` of a double column (NULL values excluded)."""
+    srow = _column_stats(df, [column])
+    n = srow["n0"]
+    if not n or rank < 0 or rank >= n:
+        return None
+    return select_ranks(df, [column], {0: {rank}}, srow)[(0, rank)]
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
               exact: bool = True, accuracy: int = 10000) -> dict[str, list[float | None]]:
     """Quantiles per column; ``exact=False`` trades exactness for one pass."""

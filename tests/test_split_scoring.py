@@ -49,3 +49,15 @@ def test_scoring_rows(spark, city_train):
     assert res[5][0] == "out of range: size" and res[6][0] == "empty: size" and res[7][0] == "not a number: size"
     aligned = {r["id"]: tuple(r[1:]) for r in sc.align(new.where("id <= 2"), spec, keep=["id"]).collect()}
     assert aligned == {1: (2.0, 1, 0), 2: (2.0, 0, 0)}
+
+
+def test_exact_split_share(spark):
+    import math
+    df = spark.range(12345).withColumnRenamed("id", "k")
+    flag = sp.exact_test_flag(df, ["k"])
+    n = df.where(flag).count()
+    assert n == math.ceil(0.2 * 12345)
+    # same rows as sorting by the hash and taking the first ceil(0.2 n)
+    h = F.pmod(F.xxhash64(F.lit(42), F.col("k")), F.lit(2 ** 53))
+    top = df.orderBy(h).limit(n).select("k")
+    assert df.where(flag).select("k").exceptAll(top).count() == 0
