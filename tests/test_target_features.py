@@ -77,3 +77,25 @@ def test_high_cardinality_dropped(spark):
     df = spark.createDataFrame([(str(i), float(i)) for i in range(25)], "k string, y double")
     spec = fe.fit_features(df, "y")
     assert "k" in spec.dropped and spec.feature_columns == []
+
+
+def test_csv_fixture_profile(sample):
+    from tablelens.operators import column_stats, outliers, profile
+    ov = profile.table_overview(sample).first()
+    assert (ov["n_rows"], ov["n_columns"], ov["missing_total"], ov["duplicate_rows"]) == (4, 3, 0, 0)
+    assert (ov["n_numeric"], ov["n_categorical"]) == (1, 2)
+    st = {r["column_name"]: r for r in column_stats.column_stats(sample).collect()}
+    assert {c: st[c]["unique"] for c in st} == {"name": 4, "age": 4, "grade": 3}
+    assert {c: st[c]["duplicate_values"] for c in st} == {"name": 0, "age": 0, "grade": 1}
+    assert (st["age"]["min_num"], st["age"]["max_num"], st["age"]["outliers"]) == (19.0, 22.0, 0)
+    f = outliers.fit_fences(sample)["age"]
+    assert (f.q1, f.q3, f.lower, f.upper) == (19.75, 21.25, 17.5, 23.5)
+
+
+def test_approximate_mode(spark):
+    from tablelens.operators import column_stats
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    exact = {r["column_name"]: r["unique"] for r in column_stats.column_stats(df).collect()}
+    approx = {r["column_name"]: r["unique"] for r in column_stats.column_stats(df, exact=False).collect()}
+    for c in exact:
+        assert abs(approx[c] - exact[c]) <= max(2, 0.15 * exact[c])   # rsd 0.05, 3 sigma
