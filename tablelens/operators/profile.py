@@ -112,28 +112,54 @@ def column_types(df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def table_overview(df: DataFrame) -> DataFrame:
+def row_keys(df: DataFrame, method: str = "exact") -> list[Column]:
+    """Grouping keys that make equal rows (missing equals missing) one group.
+
+    ``exact`` groups by every column.  ``fingerprint`` groups by a 128-bit
+    fingerprint of the row - two independently seeded 64-bit hashes over
+    every value and its missing flag (so a value cannot shift into another
+    column), with -0.0 folded into 0.0 as grouping does.  The shuffle then
+    carries 16 bytes per distinct row instead of the row; the chance that two
+    different rows share a fingerprint is about n^2 / 2^129 (1e-15 at 10^12
+    rows).
+    """
+    if method == "exact":
+        return [qcol(f.name) for f in df.schema.fields]
+    if method != "fingerprint":
+        raise ValueError("method must be 'exact' or 'fingerprint'")
+    parts = []
+    for f in df.schema.fields:
+        c = qcol(f.name)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = c + F.lit(0.0)
+        parts += [c, c.isNull()]
+    return [F.xxhash64(F.lit(17), *parts).alias("__fp1"), F.xxhash64(F.lit(91), *parts).alias("__fp2")]
+
+
+def table_overview(df: DataFrame, method: str = "exact") -> DataFrame:
     """One row: shape, type census, missing cells, duplicate rows and data size.
 
-    All data-dependent figures come out of one group-by over every column
-    (needed anyway for duplicate rows): missing cells and bytes of a distinct
-    row are multiplied by its number of copies.  The group-by is partially
-    aggregated map-side, so a row repeated a billion times costs one shuffle
-    record per map task.
+    All data-dependent figures come out of one group-by over the rows
+    (needed anyway for duplicate rows): each group carries its number of
+    copies, missing cells and bytes, partially aggregated map-side, so a row
+    repeated a billion times costs one shuffle record per map task.
+    ``method="fingerprint"`` groups by a 128-bit row fingerprint instead of
+    the full row (see ``row_keys``).
     """
     df = nan_to_null(df)
     fields = df.schema.fields
     n_cols = len(fields)
     cen = census(df)
-    g = _groupable(df).groupBy(*[qcol(f.name) for f in fields]).agg(F.count(F.lit(1)).alias(_K))
-    k = F.col(_K)
     nulls = F.lit(0).cast("long")
     size = F.lit(0).cast("long")
     for f in fields:
         nulls = nulls + qcol(f.name).isNull().cast("long")
         size = size + value_bytes(f.name, f.dataType)
+    g = (_groupable(df).groupBy(*row_keys(df, method))
+         .agg(F.count(F.lit(1)).alias(_K), F.sum(nulls).alias("__m"), F.sum(size).alias("__b")))
+    k = F.col(_K)
     rows = F.coalesce(F.sum(k), F.lit(0).cast("long"))
-    missing = F.coalesce(F.sum(k * nulls), F.lit(0).cast("long"))
+    missing = F.coalesce(F.sum("__m"), F.lit(0).cast("long"))
     return g.agg(
         rows.alias("n_rows"),
         F.lit(n_cols).alias("n_columns"),
@@ -144,7 +170,7 @@ def table_overview(df: DataFrame) -> DataFrame:
         missing.alias("missing_total"),
         F.round(F.coalesce(F.try_divide(missing * 100.0, rows * n_cols), F.lit(0.0)), 4).alias("missing_pct"),
         F.coalesce(F.sum(k - 1), F.lit(0).cast("long")).alias("duplicate_rows"),
-        F.coalesce(F.sum(k * size), F.lit(0).cast("long")).alias("size_bytes"),
+        F.coalesce(F.sum("__b"), F.lit(0).cast("long")).alias("size_bytes"),
     )
 
 
@@ -177,13 +203,14 @@ def missing_total(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_rows_total(df: DataFrame) -> DataFrame:
+def duplicate_rows_total(df: DataFrame, method: str = "exact") -> DataFrame:
     """One row: rows, distinct rows, duplicate rows (copies after the first).
 
-    Missing equals missing, as in pandas ``duplicated``.
+    Missing equals missing, as in pandas ``duplicated``.  ``method`` as in
+    ``row_keys``.
     """
-    df = nan_to_null(df)
-    g = _groupable(df).groupBy(*[qcol(c) for c in df.columns]).agg(F.count(F.lit(1)).alias(_K))
+    df = _groupable(nan_to_null(df))
+    g = df.groupBy(*row_keys(df, method)).agg(F.count(F.lit(1)).alias(_K))
     k = F.col(_K)
     return g.agg(
         F.coalesce(F.sum(k), F.lit(0).cast("long")).alias("n_rows"),

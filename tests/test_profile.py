@@ -98,3 +98,19 @@ def test_select_by_class(edge_profile):
     assert profile.columns_of_class(edge_profile, include=["numeric"]) == ["id", "x"]
     assert profile.select_by_class(edge_profile, exclude=["numeric"]).columns == ["t", "b"]
     assert profile.dtypes_text(edge_profile) == "id: bigint, x: double, t: string, b: boolean"
+
+
+def test_fingerprint_matches_exact(spark, edge_profile):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(
+        "l_returnflag", "l_linestatus", "l_linenumber", "l_discount")
+    for df in (li, edge_profile, edge_profile.select("t", "b")):
+        a = profile.table_overview(df).first().asDict()
+        b = profile.table_overview(df, method="fingerprint").first().asDict()
+        assert a == b
+        assert (profile.duplicate_rows_total(df).first().asDict()
+                == profile.duplicate_rows_total(df, method="fingerprint").first().asDict())
+    # a value must not move between columns unnoticed
+    sw = spark.createDataFrame([("a", None), (None, "a")], "x string, y string")
+    assert profile.duplicate_rows_total(sw, method="fingerprint").first()["duplicate_rows"] == 0
+    z = spark.createDataFrame([(0.0,), (-0.0,)], "x double")
+    assert profile.duplicate_rows_total(z, method="fingerprint").first()["duplicate_rows"] == 1
