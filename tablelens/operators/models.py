@@ -39,9 +39,15 @@ CLASSIFIER_NAMES = ["Logistic Regression", "Decision Tree", "Random Forest"]
 REGRESSOR_NAMES = ["Linear Regression", "Decision Tree Regressor", "Random Forest Regressor"]
 
 
-def assemble(df: DataFrame, features: list[str], output: str = "features") -> DataFrame:
-    """Feature columns -> one vector column (rows with missing features must be cleaned first)."""
-    return VectorAssembler(inputCols=list(features), outputCol=output, handleInvalid="error").transform(df)
+def assemble(df: DataFrame, features: list[str], output: str = "features", keep_invalid: bool = False) -> DataFrame:
+    """Feature columns -> one vector column.
+
+    Training input must be clean (missing values raise); scoring may pass
+    ``keep_invalid=True`` so rows with missing values get NaN entries and are
+    blanked afterwards instead of being split off.
+    """
+    return VectorAssembler(inputCols=list(features), outputCol=output,
+                           handleInvalid="keep" if keep_invalid else "error").transform(df)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -172,9 +178,10 @@ def coefficients_top(model, features: list[str], spark: SparkSession, top: int =
     return spark.createDataFrame(rows, "rank int, class_index int, feature string, coefficient double, sign string")
 
 
-def predict(model, df: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:
+def predict(model, df: DataFrame, features: list[str], keep: list[str] | None = None,
+            keep_invalid: bool = False) -> DataFrame:
     """Model output on any feature frame: prediction and, for classifiers, class probabilities."""
-    out = model.transform(assemble(df, features))
+    out = model.transform(assemble(df, features, keep_invalid=keep_invalid))
     cols = [F.col(c) for c in (keep or [])] + [F.col("prediction")]
     if "probability" in out.columns:
         cols.append(vector_to_array("probability").alias("probability"))

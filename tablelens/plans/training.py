@@ -120,25 +120,25 @@ def train(df: DataFrame, target: str, features: list[str] | None = None, problem
 
 
 def score_batch(tm: TrainedModel, new: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Validate, align and predict new rows: keep columns, issue, warning, prediction,
-    predicted_label (classification) and class probabilities.
+    """Validate, align and predict new rows in ONE pass over them: keep columns,
+    issue, warning, prediction, predicted_label and (classifiers) probabilities.
 
-    Rows with a blocking issue are kept and get NULL predictions, so the
-    output has exactly one row per input row.
+    Every row is aligned and sent through the model; rows with a blocking
+    issue carry NaN in the feature vector and get NULL outputs, so the
+    result has exactly one row per input row without splitting the input.
     """
     keep = list(keep or [])
     checked = sc.validate_rows(new, tm.domains, tm.train_rows)
-    ok = checked.where(F.col("issue").isNull())
-    bad = checked.where(F.col("issue").isNotNull())
-    aligned = sc.align(ok, tm.spec, keep=keep + ["issue", "warning"])
-    pred = md.predict(tm.model, aligned, tm.feature_columns, keep=keep + ["issue", "warning"])
+    aligned = sc.align(checked, tm.spec, keep=keep + ["issue", "warning"])
+    pred = md.predict(tm.model, aligned, tm.feature_columns, keep=keep + ["issue", "warning"], keep_invalid=True)
+    ok = F.col("issue").isNull()
     if tm.problem_type == "classification":
-        pred = pred.withColumn("predicted_label", tg.decode_expr(F.col("prediction"), tm.labels))
+        label = tg.decode_expr(F.col("prediction"), tm.labels)
     else:
-        pred = pred.withColumn("predicted_label", F.format_number(F.col("prediction"), 4))
-    bad_out = bad.select(*[qcol(c) for c in keep], "issue", "warning",
-                         F.lit(None).cast("double").alias("prediction"))
+        label = F.format_number(F.col("prediction"), 4)
+    cols = [F.col(c) for c in keep] + [F.col("issue"), F.col("warning"),
+                                        F.when(ok, F.col("prediction")).alias("prediction")]
     if "probability" in pred.columns:
-        bad_out = bad_out.withColumn("probability", F.lit(None).cast("array<double>"))
-    bad_out = bad_out.withColumn("predicted_label", F.lit(None).cast("string"))
-    return pred.unionByName(bad_out)
+        cols.append(F.when(ok, F.col("probability")).alias("probability"))
+    cols.append(F.when(ok, label).alias("predicted_label"))
+    return pred.select(*cols)

@@ -61,3 +61,18 @@ def test_exact_split_share(spark):
     h = F.pmod(F.xxhash64(F.lit(42), F.col("k")), F.lit(2 ** 53))
     top = df.orderBy(h).limit(n).select("k")
     assert df.where(flag).select("k").exceptAll(top).count() == 0
+
+
+def test_score_batch_one_row_per_input(spark):
+    from tablelens.plans import training
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    tm = training.train(orders, "o_orderstatus", ["o_totalprice", "o_orderpriority"], num_trees=5, max_depth=4)
+    new = orders.select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, F.lit(None))
+                        .otherwise(F.col("o_totalprice")).alias("o_totalprice"), "o_orderpriority")
+    out = training.score_batch(tm, new, keep=["o_orderkey"])
+    rows = out.collect()
+    assert len(rows) == orders.count()
+    bad = [r for r in rows if r["issue"] is not None]
+    assert bad and all(r["prediction"] is None and r["predicted_label"] is None for r in bad)
+    good = [r for r in rows if r["issue"] is None]
+    assert all(r["predicted_label"] in tm.labels for r in good)
