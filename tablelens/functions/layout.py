@@ -23,3 +23,17 @@ def spread_small(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once for several later passes.
+
+    With a reliable checkpoint folder (``spark.checkpoint.dir``, a shared file
+    system on a cluster) the rows are written there and the lineage is cut,
+    so a lost executor never forces recomputation of the upstream scan and
+    shuffle.  Without one (a bare local session) the rows are persisted,
+    spilling to disk.
+    """
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

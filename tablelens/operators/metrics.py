@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.layout import materialize
 from .ordered import running_totals
 from .target import MAX_CLASSES
 
@@ -47,8 +48,7 @@ def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction
         "f1_score", _zero_div(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def _summary(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    pcl = per_class(df, label, prediction)
+def _summary(pcl: DataFrame) -> DataFrame:
     s = F.col("support")
     return pcl.agg(
         F.sum(s).alias("total"),
@@ -63,7 +63,7 @@ def _summary(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 def classification_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(metric, value): accuracy and support-weighted precision, recall and F1."""
-    sm = _summary(df, label, prediction)
+    sm = _summary(per_class(df, label, prediction))
     rows = [("accuracy", "accuracy"), ("precision", "weighted_precision"),
             ("recall", "weighted_recall"), ("f1_score", "weighted_f1")]
     return sm.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("value"))
@@ -73,8 +73,10 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
 def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(class_label, precision, recall, f1_score, support): one row per class, then
     'accuracy' (f1_score holds the accuracy), 'macro avg' and 'weighted avg'."""
-    pcl = per_class(df, label, prediction).select("class_label", "precision", "recall", "f1_score", "support")
-    sm = _summary(df, label, prediction)
+    # per-class figures have one row per class: computed once, read twice
+    full = materialize(per_class(df, label, prediction))
+    pcl = full.select("class_label", "precision", "recall", "f1_score", "support")
+    sm = _summary(full)
     null_d = F.lit(None).cast("double")
     names = ["class_label", "precision", "recall", "f1_score", "support"]
 
@@ -88,9 +90,10 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     return pcl.unionByName(tail)
 
 
-def class_list(df: DataFrame, label: str = "label", prediction: str = "prediction") -> list[str]:
+def class_list(df: DataFrame, label: str = "label", prediction: str = "prediction",
+               pc: DataFrame | None = None) -> list[str]:
     """Sorted union of actual and predicted classes (size-checked before collecting)."""
-    pc = pair_counts(df, label, prediction)
+    pc = pair_counts(df, label, prediction) if pc is None else pc
     cl = pc.select(F.explode(F.array("actual", "predicted")).alias("c")).where(F.col("c").isNotNull()).distinct()
     n = cl.count()
     if n > MAX_CLASSES:
@@ -104,10 +107,10 @@ def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "pre
     The grid has classes^2 cells; the class list is size-checked first, and
     the observed counts (at most classes^2 rows) are the broadcast side.
     """
-    classes = class_list(df, label, prediction)
+    pc = materialize(pair_counts(df, label, prediction))     # <= classes^2 rows, read twice
+    classes = class_list(df, label, prediction, pc)
     spark = df.sparkSession
     grid = spark.createDataFrame([(a, p) for a in classes for p in classes], "actual string, predicted string")
-    pc = pair_counts(df, label, prediction)
     return (grid.join(F.broadcast(pc), ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("count")))
 
@@ -124,7 +127,7 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positiv
               drop_intermediate: bool = True) -> DataFrame:
     """(threshold, fpr, tpr): one point per distinct score (descending) after a
     starting point (inf, 0, 0); collinear interior points are dropped."""
-    g = score_groups(df, label, score, positive)
+    g = materialize(score_groups(df, label, score, positive))     # read by four passes below
     tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     P, N = tot["P"] or 0, tot["N"] or 0
     rt = running_totals(g, "score", ["pos", "neg"], descending=True, lead=["pos", "neg"])
@@ -147,7 +150,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", positive=
     AUC = sum over score groups of neg * (positives above + pos / 2) / (P * N);
     NULL when only one class is present.
     """
-    g = score_groups(df, label, score, positive)
+    g = materialize(score_groups(df, label, score, positive))     # read by three passes below
     rt = running_totals(g, "score", ["pos"], descending=True)
     above = F.col("cum_pos") - F.col("pos")
     return rt.agg(
