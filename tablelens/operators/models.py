@@ -8,6 +8,7 @@ depth-limited (MLlib's maximum is 30; default here 10) and seeded.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -110,11 +111,14 @@ class Selection:
 
 def train_select(train: DataFrame, test: DataFrame, problem_type: str, features: list[str],
                  label: str = "label", max_depth: int = DEFAULT_MAX_DEPTH, num_trees: int = FOREST_TREES,
-                 seed: int = SEED) -> Selection:
+                 seed: int = SEED, parallelism: int = 3) -> Selection:
     """Fit every candidate on ``train``, score it on ``test``, keep the first best (strict >).
 
-    Both frames are persisted (memory, spilling to disk) for the duration of
-    the fits; on a lost executor the blocks are recomputed from the scan.
+    Candidates are fitted concurrently from ``parallelism`` driver threads
+    (as MLlib's tuning estimators do), so light models run alongside the
+    forest; the choice is made afterwards in candidate order, so ties still
+    go to the first.  Both frames are persisted (memory, spilling to disk)
+    for the duration of the fits; lost blocks are recomputed from the scan.
     """
     tr = spread(assemble(train, features).select("features", F.col(label).cast("double").alias(label)))
     te = spread(assemble(test, features).select("features", F.col(label).cast("double").alias(label)))
@@ -122,11 +126,18 @@ def train_select(train: DataFrame, test: DataFrame, problem_type: str, features:
     te.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n_train = tr.count()
+        te.count()
+        cands = candidates(problem_type, n_train, label, max_depth, num_trees, seed)
+
+        def fit_score(est):
+            model = est.fit(tr)
+            return model, score_predictions(model.transform(te), problem_type, label)
+
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            results = list(pool.map(fit_score, [est for _, est in cands]))
         best_name, best_model, best_score = None, None, float("-inf")
         scores = []
-        for name, est in candidates(problem_type, n_train, label, max_depth, num_trees, seed):
-            model = est.fit(tr)
-            s = score_predictions(model.transform(te), problem_type, label)
+        for (name, _), (model, s) in zip(cands, results):
             scores.append((name, s))
             if s > best_score:
                 best_name, best_model, best_score = name, model, s
