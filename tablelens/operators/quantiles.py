@@ -74,13 +74,19 @@ def _column_stats(df: DataFrame, columns: list[str]):
     return df.agg(*stats).first()
 
 
+PASS_BUDGET = 1 << 20     # most rows any refinement pass may send to the driver
+
+
 def select_ranks(df: DataFrame, columns: list[str], ranks: dict[int, set[int]], srow,
                  buckets: int = 4096, collect_limit: int = 65536,
                  max_rounds: int = 256) -> dict[tuple[int, int], float]:
     """Exact order statistics: value at 0-based ``rank`` of column index ``i``.
 
     ``srow`` is the row of ``_column_stats``.  Each pass refines every open
-    bracket at once; see the module docstring.
+    bracket at once; see the module docstring.  Whatever the number of
+    columns, one pass returns at most ``PASS_BUDGET`` rows: half of it for
+    brackets small enough to be grouped by value (smallest first), the other
+    half shared as buckets among the rest (at least 16 buckets each).
     """
     values: dict[tuple[int, int], float] = {}
     brackets: dict[tuple[int, float, float], dict] = {}
@@ -115,16 +121,25 @@ def select_ranks(df: DataFrame, columns: list[str], ranks: dict[int, set[int]],
                 active.append((key, b))
         if not active:
             break
+        by_value: set[int] = set()
+        room = PASS_BUDGET // 2
+        for j in sorted(range(len(active)), key=lambda j: active[j][1]["cnt"]):
+            cnt = active[j][1]["cnt"]
+            if cnt <= collect_limit and cnt <= room:
+                by_value.add(j)
+                room -= cnt
+        n_bucketed = len(active) - len(by_value)
+        nb = max(16, min(buckets, (PASS_BUDGET // 2) // max(1, n_bucketed)))
         emits = []
         for j, ((ci, lo, hi), b) in enumerate(active):
             x = qcol(columns[ci])
-            if b["cnt"] <= collect_limit:
+            if j in by_value:
                 k = x
             else:
                 half_lo = lo / 2.0
                 span = hi / 2.0 - half_lo
-                k = F.least(F.greatest(F.floor((x / 2.0 - F.lit(half_lo)) / F.lit(span) * buckets),
-                                       F.lit(0)), F.lit(buckets - 1)).cast("double")
+                k = F.least(F.greatest(F.floor((x / 2.0 - F.lit(half_lo)) / F.lit(span) * nb),
+                                       F.lit(0)), F.lit(nb - 1)).cast("double")
             emits.append(F.when(x.between(F.lit(lo), F.lit(hi)),
                                 F.struct(F.lit(j).alias("b"), k.alias("k"), x.alias("v"))))
         parts = (

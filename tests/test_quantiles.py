@@ -42,3 +42,15 @@ def test_approx_close(spark):
     df = spark.range(10000).selectExpr("cast(id as double) as v")
     got = approx_quantiles(df, ["v"], [0.5])["v"][0]
     assert abs(got - 4999.5) <= 10
+
+
+def test_pass_budget_respected(spark, monkeypatch):
+    from tablelens.operators import quantiles as qm
+    monkeypatch.setattr(qm, "PASS_BUDGET", 64)
+    rng = np.random.default_rng(2)
+    cols = {f"c{i}": rng.normal(size=500).round(4) for i in range(6)}
+    rows = list(zip(*[cols[c].tolist() for c in cols]))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+    got = qm.exact_quantiles(df, list(cols), [0.25, 0.5, 0.75])
+    for c in cols:
+        assert np.allclose(got[c], np.quantile(cols[c], [0.25, 0.5, 0.75]), rtol=1e-12, atol=1e-12)
