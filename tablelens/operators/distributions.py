@@ -103,6 +103,39 @@ def _agg_in_passes(df: DataFrame, named: list[tuple[str, Column]]) -> dict[str,
     return out
 
 
+def _pair_sums_long(df: DataFrame, columns: list[str], ys: dict[str, Column]) -> dict[str, float | None]:
+    """Pairwise-complete sums for many columns in ONE scan.
+
+    Every row emits one record per column pair (and per column) where both
+    values are present; a group-by on the pair index - partially aggregated
+    map-side, so the shuffle holds at most pairs x tasks records - gives
+    n, sums, sums of squares and the product sum.  The result has
+    k(k+1)/2 rows (bounded by the schema).  Keys match the wide form.
+    """
+    idx = {c: i for i, c in enumerate(columns)}
+    recs = []
+    for a in columns:
+        for b in columns[idx[a]:]:
+            both = ys[a].isNotNull() & ys[b].isNotNull()
+            recs.append(F.when(both, F.struct(F.lit(idx[a]).alias("i"), F.lit(idx[b]).alias("j"),
+                                               ys[a].alias("a"), ys[b].alias("b"))))
+    g = (df.select(F.explode(F.array(*recs)).alias("r")).where(F.col("r").isNotNull()).select("r.*")
+         .groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"),
+                                F.sum(F.col("a") * F.col("a")).alias("qa"), F.sum(F.col("b") * F.col("b")).alias("qb"),
+                                F.sum(F.col("a") * F.col("b")).alias("p"))
+         .collect())
+    out: dict[str, float | None] = {}
+    for r in g:
+        i, j = r["i"], r["j"]
+        if i == j:
+            out[f"s{i}"], out[f"q{i}"] = r["sa"], r["qa"]
+        else:
+            out[f"n{i}_{j}"] = r["n"]
+            out[f"sa{i}_{j}"], out[f"sb{i}_{j}"] = r["sa"], r["sb"]
+            out[f"qa{i}_{j}"], out[f"qb{i}_{j}"], out[f"p{i}_{j}"] = r["qa"], r["qb"], r["p"]
+    return out
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_a, column_b, corr): Pearson correlation on pairwise complete rows.
 
@@ -144,7 +177,10 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
             second += [(f"n{i}_{j}", F.count(ya)), (f"sa{i}_{j}", F.sum(ya)), (f"sb{i}_{j}", F.sum(yb)),
                        (f"qa{i}_{j}", F.sum(ya * ya)), (f"qb{i}_{j}", F.sum(yb * yb)),
                        (f"p{i}_{j}", F.sum(ya * yb))]
-    p2 = _agg_in_passes(df, second) if columns else {}
+    if len(second) > _MAX_AGGS_PER_PASS:
+        p2 = _pair_sums_long(df, columns, ys)     # wide input: one scan instead of many passes
+    else:
+        p2 = _agg_in_passes(df, second) if columns else {}
 
     def moments(n, sa, sb, qa, qb, p):
         if not n:
@@ -160,16 +196,16 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     for c in columns:
         i = idx[c]
         n = p1[f"c{i}"]
-        v = None if not n else (p2[f"q{i}"] or 0.0) / n - ((p2[f"s{i}"] or 0.0) / n) ** 2
+        v = None if not n else (p2.get(f"q{i}") or 0.0) / n - ((p2.get(f"s{i}") or 0.0) / n) ** 2
         rows.append((c, c, 1.0 if v is not None and v > 0 else None))
     for a, b in combinations(columns, 2):
         i, j = idx[a], idx[b]
-        if full[a] and full[b]:
+        if f"n{i}_{j}" in p2 or not (full[a] and full[b]):
+            r = moments(p2.get(f"n{i}_{j}"), p2.get(f"sa{i}_{j}") or 0.0, p2.get(f"sb{i}_{j}") or 0.0,
+                        p2.get(f"qa{i}_{j}") or 0.0, p2.get(f"qb{i}_{j}") or 0.0, p2.get(f"p{i}_{j}") or 0.0)
+        else:
             r = moments(n_rows, p2[f"s{i}"] or 0.0, p2[f"s{j}"] or 0.0, p2[f"q{i}"] or 0.0, p2[f"q{j}"] or 0.0,
                         p2[f"p{i}_{j}"] or 0.0)
-        else:
-            r = moments(p2[f"n{i}_{j}"], p2[f"sa{i}_{j}"] or 0.0, p2[f"sb{i}_{j}"] or 0.0,
-                        p2[f"qa{i}_{j}"] or 0.0, p2[f"qb{i}_{j}"] or 0.0, p2[f"p{i}_{j}"] or 0.0)
         rows += [(a, b, r), (b, a, r)]
     # k x k summary numbers computed from the two aggregates above (bounded by the column count)
     return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, corr double")

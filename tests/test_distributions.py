@@ -52,3 +52,21 @@ def test_scatter_refuses_same_column(spark, edge_profile):
     assert dist.scatter_pairs(edge_profile, "id", "x").count() == 6
     g = dist.scatter_grid(edge_profile, "id", "x", 4)
     assert sum(r["count"] for r in g.collect()) == 6
+
+
+def test_correlation_wide_long_form_matches_pandas(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(7)
+    k = 16
+    data = rng.normal(size=(400, k)).round(3)
+    data[rng.random(size=data.shape) < 0.1] = np.nan
+    cols = [f"v{i}" for i in range(k)]
+    pdf = pd.DataFrame(data, columns=cols)
+    df = spark.createDataFrame([tuple(None if np.isnan(x) else float(x) for x in row) for row in data],
+                               ", ".join(f"{c} double" for c in cols))
+    m = {(r["column_a"], r["column_b"]): r["corr"] for r in dist.correlation_matrix(df).collect()}
+    want = pdf.corr()
+    for a in cols:
+        for b in cols:
+            assert abs(m[(a, b)] - want.loc[a, b]) < 1e-9
