@@ -8,34 +8,33 @@ from pyspark.sql import functions as F
 from ..functions.layout import spread_small
 from ..functions.typing_rules import nan_to_null, qcol, to_number, type_class
 from .outliers import fit_fences, outlier_flag
-from .profile import distinct_only
+from .profile import distinct_only, per_column_table
 
 _NAMES = ["column_name", "position", "data_type", "missing", "duplicate_values", "unique",
           "min_num", "max_num", "min_str", "max_str", "outliers"]
 
 
 def _single_pass(df: DataFrame, fences) -> DataFrame:
-    """Missing, min, max and outlier counts of every column in one aggregate (no shuffle keys)."""
-    fields = df.schema.fields
-    aggs = [F.count(F.lit(1)).alias("n")]
-    structs = []
+    """Missing, min, max and outlier counts of every column (plain aggregates, no keys)."""
     null_d = F.lit(None).cast("double")
     null_s = F.lit(None).cast("string")
     fmt = "yyyy-MM-dd HH:mm:ss"
-    for i, f in enumerate(fields):
+    specs = []
+    for i, f in enumerate(df.schema.fields):
         c = qcol(f.name)
         cls = type_class(f.dataType)
-        aggs.append((F.count(F.lit(1)) - F.count(c)).alias(f"m{i}"))
+        aggs = [(F.count(F.lit(1)) - F.count(c)).alias(f"m{i}")]
+        a, b = F.col(f"a{i}"), F.col(f"b{i}")
         if cls in ("numeric", "boolean"):
             x = c.cast("int").cast("double") if cls == "boolean" else c.cast("double")
             aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
-            mins = [F.col(f"a{i}"), F.col(f"b{i}"), null_s, null_s]
+            mins = [a, b, null_s, null_s]
         elif cls == "categorical":
             aggs += [F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")]
-            mins = [null_d, null_d, F.col(f"a{i}"), F.col(f"b{i}")]
+            mins = [null_d, null_d, a, b]
         elif cls == "datetime":
             aggs += [F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")]
-            mins = [null_d, null_d, F.date_format(F.col(f"a{i}"), fmt), F.date_format(F.col(f"b{i}"), fmt)]
+            mins = [null_d, null_d, F.date_format(a, fmt), F.date_format(b, fmt)]
         else:
             mins = [null_d, null_d, null_s, null_s]
         fence = fences.get(f.name)
@@ -47,8 +46,8 @@ def _single_pass(df: DataFrame, fences) -> DataFrame:
             out = F.lit(None).cast("long")
         vals = [F.lit(f.name), F.lit(i), F.lit(f.dataType.simpleString()), F.col(f"m{i}"),
                 F.col("n"), F.lit(None).cast("long")] + mins + [out]
-        structs.append(F.struct(*[v.alias(n) for v, n in zip(vals, _NAMES)]))
-    return df.agg(*aggs).select(F.inline(F.array(*structs)))
+        specs.append((aggs, vals))
+    return per_column_table(df, specs, _NAMES, shared=[F.count(F.lit(1)).alias("n")])
 
 
 def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.layout import spread_small
 from ..functions.typing_rules import nan_to_null, qcol, to_number, type_class
+from .profile import per_column_table
 from .quantiles import quantiles
 
 
@@ -82,26 +83,23 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None, exact: bool =
     types = {f.name: f.dataType for f in df.schema.fields}
     wanted = [f.name for f in df.schema.fields if columns is None or f.name in columns]
     positions = {f.name: i for i, f in enumerate(df.schema.fields)}
-    aggs, structs = [], []
     null_d = F.lit(None).cast("double")
+    specs = []
     for j, c in enumerate(wanted):
         x = to_number(qcol(c), types[c], "outliers")
         fence = fences.get(c)
-        aggs.append(F.count(x).alias(f"n{j}"))
-        aggs.append(F.count(F.when(outlier_flag(x, fence), 1)).alias(f"o{j}"))
         has = fence is not None and fence.q1 is not None
+        aggs = [F.count(x).alias(f"n{j}")]
+        if has:
+            aggs.append(F.count(F.when(outlier_flag(x, fence), 1)).alias(f"o{j}"))
         lit = (lambda v: F.lit(v).cast("double")) if has else (lambda v: null_d)
-        structs.append(F.struct(
-            F.lit(c).alias("column_name"), F.lit(positions[c]).alias("position"),
-            F.col(f"n{j}").alias("n_numeric"),
-            lit(fence.q1 if has else None).alias("q1"), lit(fence.q3 if has else None).alias("q3"),
-            lit(fence.lower if has else None).alias("lower_bound"),
-            lit(fence.upper if has else None).alias("upper_bound"),
-            (F.col(f"o{j}") if has else F.lit(None).cast("long")).alias("outliers"),
-        ))
-    if not aggs:
-        aggs = [F.count(F.lit(1)).alias("n")]
-    return df.agg(*aggs).select(F.inline(F.array(*structs)))
+        specs.append((aggs, [
+            F.lit(c), F.lit(positions[c]), F.col(f"n{j}"),
+            lit(fence.q1 if has else None), lit(fence.q3 if has else None),
+            lit(fence.lower if has else None), lit(fence.upper if has else None),
+            F.col(f"o{j}") if has else F.lit(None).cast("long")]))
+    return per_column_table(df, specs, ["column_name", "position", "n_numeric", "q1", "q3",
+                                        "lower_bound", "upper_bound", "outliers"])
 
 
 def outlier_rows(df: DataFrame, column: str, exact: bool = True, fence: Fence | None = None) -> DataFrame:

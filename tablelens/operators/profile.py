@@ -58,10 +58,34 @@ def _groupable(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def _long_table(agg_row_df: DataFrame, entries: list[list[Column]], names: list[str]) -> DataFrame:
-    """Unpivot a one-row aggregate into one row per entry (typed, lazy)."""
-    structs = [F.struct(*[e.alias(n) for e, n in zip(entry, names)]) for entry in entries]
-    return agg_row_df.select(F.inline(F.array(*structs)))
+# Columns per aggregate: a global aggregate with hundreds of functions exceeds
+# whole-stage codegen's field limit; chunks keep every aggregate compiled, and
+# with a columnar source the chunks together still read each column once.
+COLUMNS_PER_AGGREGATE = 24
+
+
+def per_column_table(df: DataFrame, specs: list[tuple[list[Column], list[Column]]], names: list[str],
+                     shared: list[Column] | None = None) -> DataFrame:
+    """One row per column from aggregates: ``specs[i] = (aggregates, values)``.
+
+    ``values`` are expressions over the aggregate aliases (and ``shared``
+    ones such as a row count); each chunk of columns is one aggregate whose
+    single row is unpivoted with ``inline``; chunks are unioned (lazy).
+    """
+    if not specs:
+        raise ValueError("no columns to profile")
+    parts = []
+    for k in range(0, len(specs), COLUMNS_PER_AGGREGATE):
+        chunk = specs[k:k + COLUMNS_PER_AGGREGATE]
+        aggs = list(shared or []) + [a for s in chunk for a in s[0]]
+        if not aggs:
+            aggs = [F.count(F.lit(1)).alias("__rows")]
+        structs = [F.struct(*[v.alias(n) for v, n in zip(s[1], names)]) for s in chunk]
+        parts.append(df.agg(*aggs).select(F.inline(F.array(*structs))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def preview_rows(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
@@ -177,15 +201,14 @@ def table_overview(df: DataFrame, method: str = "exact") -> DataFrame:
 def missing_by_column(df: DataFrame) -> DataFrame:
     """(column_name, position, missing, missing_pct): NULL (and NaN) per column."""
     df = nan_to_null(df)
-    fields = df.schema.fields
-    aggs = [F.count(F.lit(1)).alias("n")] + [
-        (F.count(F.lit(1)) - F.count(qcol(f.name))).alias(f"m{i}") for i, f in enumerate(fields)]
-    one = df.agg(*aggs)
-    entries = [[F.lit(f.name), F.lit(i), F.col(f"m{i}"),
-                F.round(F.coalesce(F.try_divide(F.col(f"m{i}") * 100.0, F.col("n")), F.lit(0.0)), 4)]
-               for i, f in enumerate(fields)]
-    return _long_table(one, entries, ["column_name", "position", "missing", "missing_pct"])
-
+    specs = []
+    for i, f in enumerate(df.schema.fields):
+        m = F.col(f"m{i}")
+        specs.append(([(F.count(F.lit(1)) - F.count(qcol(f.name))).alias(f"m{i}")],
+                      [F.lit(f.name), F.lit(i), m,
+                       F.round(F.coalesce(F.try_divide(m * 100.0, F.col("n")), F.lit(0.0)), 4)]))
+    return per_column_table(df, specs, ["column_name", "position", "missing", "missing_pct"],
+                            shared=[F.count(F.lit(1)).alias("n")])
 
 def missing_total(df: DataFrame) -> DataFrame:
     """One row: missing cells, cells, and their percentage (0 for no rows/columns)."""
@@ -263,25 +286,19 @@ def distinct_only(df: DataFrame, exact: bool = True) -> DataFrame:
     de-duplicated map-side before the shuffle, which also absorbs hot values.
     ``exact=False`` uses HyperLogLog++ sketches instead (no expansion).
     """
-    fields = df.schema.fields
-    aggs = [(F.count_distinct(_distinct_key(f.name, f.dataType)) if exact
-             else F.approx_count_distinct(_distinct_key(f.name, f.dataType))).alias(f"d{i}")
-            for i, f in enumerate(fields)]
-    if not aggs:
-        return df.sparkSession.createDataFrame([], "column_name string, position int, unique long")
-    one = df.agg(*aggs)
-    entries = [[F.lit(f.name), F.lit(i), F.col(f"d{i}")] for i, f in enumerate(fields)]
-    return _long_table(one, entries, ["column_name", "position", "unique"])
-
+    specs = []
+    for i, f in enumerate(df.schema.fields):
+        key = _distinct_key(f.name, f.dataType)
+        d = F.count_distinct(key) if exact else F.approx_count_distinct(key)
+        specs.append(([d.alias(f"d{i}")], [F.lit(f.name), F.lit(i), F.col(f"d{i}")]))
+    return per_column_table(df, specs, ["column_name", "position", "unique"])
 
 def present_counts(df: DataFrame) -> DataFrame:
-    """(column_name, position, n_rows, non_missing) in one plain aggregate."""
-    fields = df.schema.fields
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.count(qcol(f.name)).alias(f"c{i}") for i, f in enumerate(fields)]
-    one = df.agg(*aggs)
-    entries = [[F.lit(f.name), F.lit(i), F.col("n"), F.col(f"c{i}")] for i, f in enumerate(fields)]
-    return _long_table(one, entries, ["column_name", "position", "n_rows", "non_missing"])
-
+    """(column_name, position, n_rows, non_missing) from plain aggregates."""
+    specs = [([F.count(qcol(f.name)).alias(f"c{i}")], [F.lit(f.name), F.lit(i), F.col("n"), F.col(f"c{i}")])
+             for i, f in enumerate(df.schema.fields)]
+    return per_column_table(df, specs, ["column_name", "position", "n_rows", "non_missing"],
+                            shared=[F.count(F.lit(1)).alias("n")])
 
 def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
     """(column_name, position, n_rows, unique, has_missing, duplicate_values).
@@ -336,33 +353,26 @@ def min_max_by_column(df: DataFrame) -> DataFrame:
     minimum.  Nested columns get NULLs.
     """
     df = nan_to_null(df)
-    fields = df.schema.fields
-    aggs = []
-    entries = []
     null_d = F.lit(None).cast("double")
     null_s = F.lit(None).cast("string")
-    for i, f in enumerate(fields):
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    specs = []
+    for i, f in enumerate(df.schema.fields):
         c = qcol(f.name)
         cls = type_class(f.dataType)
+        a, b = F.col(f"a{i}"), F.col(f"b{i}")
+        head = [F.lit(f.name), F.lit(i)]
         if cls in ("numeric", "boolean"):
             x = c.cast("int").cast("double") if cls == "boolean" else c.cast("double")
-            aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
-            entries.append([F.lit(f.name), F.lit(i), F.col(f"a{i}"), F.col(f"b{i}"), null_s, null_s])
+            specs.append(([F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")], head + [a, b, null_s, null_s]))
         elif cls == "categorical":
-            aggs += [F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")]
-            entries.append([F.lit(f.name), F.lit(i), null_d, null_d, F.col(f"a{i}"), F.col(f"b{i}")])
+            specs.append(([F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")], head + [null_d, null_d, a, b]))
         elif cls == "datetime":
-            aggs += [F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")]
-            fmt = "yyyy-MM-dd HH:mm:ss"
-            entries.append([F.lit(f.name), F.lit(i), null_d, null_d,
-                            F.date_format(F.col(f"a{i}"), fmt), F.date_format(F.col(f"b{i}"), fmt)])
+            specs.append(([F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")],
+                          head + [null_d, null_d, F.date_format(a, fmt), F.date_format(b, fmt)]))
         else:
-            entries.append([F.lit(f.name), F.lit(i), null_d, null_d, null_s, null_s])
-    if not aggs:
-        aggs = [F.count(F.lit(1)).alias("n")]
-    one = df.agg(*aggs)
-    return _long_table(one, entries, ["column_name", "position", "min_num", "max_num", "min_str", "max_str"])
-
+            specs.append(([], head + [null_d, null_d, null_s, null_s]))
+    return per_column_table(df, specs, ["column_name", "position", "min_num", "max_num", "min_str", "max_str"])
 
 def numeric_coercible(df: DataFrame) -> DataFrame:
     """(column_name, position, n_numeric, is_numeric) under the plotting rule.
@@ -372,25 +382,17 @@ def numeric_coercible(df: DataFrame) -> DataFrame:
     columns never qualify.
     """
     df = nan_to_null(df)
-    fields = df.schema.fields
-    aggs = [F.count(to_number(qcol(f.name), f.dataType, "plot")).alias(f"c{i}") for i, f in enumerate(fields)]
-    if not aggs:
-        aggs = [F.count(F.lit(1)).alias("n")]
-    one = df.agg(*aggs)
-    entries = [[F.lit(f.name), F.lit(i), F.col(f"c{i}"), F.col(f"c{i}") > 0] for i, f in enumerate(fields)]
-    return _long_table(one, entries, ["column_name", "position", "n_numeric", "is_numeric"])
-
+    specs = [([F.count(to_number(qcol(f.name), f.dataType, "plot")).alias(f"c{i}")],
+              [F.lit(f.name), F.lit(i), F.col(f"c{i}"), F.col(f"c{i}") > 0])
+             for i, f in enumerate(df.schema.fields)]
+    return per_column_table(df, specs, ["column_name", "position", "n_numeric", "is_numeric"])
 
 def size_estimate(df: DataFrame) -> DataFrame:
     """(column_name, position, size_bytes): UTF-8 bytes of text, fixed widths otherwise.
 
     Replaces pandas' in-memory object size, which has no meaning on Spark.
     """
-    fields = df.schema.fields
-    aggs = [F.coalesce(F.sum(value_bytes(f.name, f.dataType)), F.lit(0).cast("long")).alias(f"s{i}")
-            for i, f in enumerate(fields)]
-    if not aggs:
-        aggs = [F.count(F.lit(1)).alias("n")]
-    one = df.agg(*aggs)
-    entries = [[F.lit(f.name), F.lit(i), F.col(f"s{i}")] for i, f in enumerate(fields)]
-    return _long_table(one, entries, ["column_name", "position", "size_bytes"])
+    specs = [([F.coalesce(F.sum(value_bytes(f.name, f.dataType)), F.lit(0).cast("long")).alias(f"s{i}")],
+              [F.lit(f.name), F.lit(i), F.col(f"s{i}")])
+             for i, f in enumerate(df.schema.fields)]
+    return per_column_table(df, specs, ["column_name", "position", "size_bytes"])
\ No newline at end of file

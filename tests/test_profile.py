@@ -114,3 +114,22 @@ def test_fingerprint_matches_exact(spark, edge_profile):
     assert profile.duplicate_rows_total(sw, method="fingerprint").first()["duplicate_rows"] == 0
     z = spark.createDataFrame([(0.0,), (-0.0,)], "x double")
     assert profile.duplicate_rows_total(z, method="fingerprint").first()["duplicate_rows"] == 1
+
+
+def test_wide_table_chunks(spark):
+    rng = np.random.default_rng(11)
+    k = 60
+    data = rng.integers(0, 5, size=(200, k)).astype(float)
+    data[rng.random(size=data.shape) < 0.2] = np.nan
+    cols = [f"w{i}" for i in range(k)]
+    df = spark.createDataFrame([tuple(None if np.isnan(x) else float(x) for x in row) for row in data],
+                               ", ".join(f"{c} double" for c in cols))
+    pdf = pd.DataFrame(data, columns=cols)
+    miss = {r["column_name"]: r["missing"] for r in profile.missing_by_column(df).collect()}
+    assert miss == {c: int(pdf[c].isna().sum()) for c in cols}
+    st = {r["column_name"]: r for r in column_stats.column_stats(df).collect()}
+    assert len(st) == k
+    for c in cols:
+        assert st[c]["unique"] == pdf[c].nunique()
+        assert st[c]["duplicate_values"] == int(pdf[c].duplicated().sum())
+        assert st[c]["max_num"] == pdf[c].max()
