@@ -37,3 +37,22 @@ def materialize(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir():
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+# Aggregate functions per pass for collected (scalar) aggregates: wider global
+# aggregates exceed whole-stage codegen's field limit and run interpreted.
+AGGS_PER_PASS = 80
+
+
+def aggregate_in_passes(df: DataFrame, named: list[tuple[str, "Column"]]) -> dict:
+    """Run many named scalar aggregates, at most ``AGGS_PER_PASS`` per pass.
+
+    Returns {name: value}.  With a columnar source each pass reads only the
+    columns its aggregates use.
+    """
+    out: dict = {}
+    for k in range(0, len(named), AGGS_PER_PASS):
+        part = named[k:k + AGGS_PER_PASS]
+        row = df.agg(*[e.alias(n) for n, e in part]).first()
+        out.update({n: row[n] for n, _ in part})
+    return out

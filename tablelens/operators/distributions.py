@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.layout import spread_small
+from ..functions.layout import AGGS_PER_PASS, aggregate_in_passes, spread_small
 from ..functions.typing_rules import nan_to_null, qcol, to_number, type_class
 
 _INF = float("inf")
@@ -88,19 +88,8 @@ def plot_numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for i, f in enumerate(cand) if row[f"c{i}"] > 0]
 
 
-# Aggregate functions per pass: wide global aggregates beyond this lose
-# whole-stage code generation, so larger sets are split into several passes.
-_MAX_AGGS_PER_PASS = 80
-
-
-def _agg_in_passes(df: DataFrame, named: list[tuple[str, Column]]) -> dict[str, float | None]:
-    """Run many scalar aggregates in as few codegen-friendly passes as possible."""
-    out: dict[str, float | None] = {}
-    for k in range(0, len(named), _MAX_AGGS_PER_PASS):
-        part = named[k:k + _MAX_AGGS_PER_PASS]
-        row = df.agg(*[e.alias(n) for n, e in part]).first()
-        out.update({n: row[n] for n, _ in part})
-    return out
+_MAX_AGGS_PER_PASS = AGGS_PER_PASS
+_agg_in_passes = aggregate_in_passes
 
 
 def _pair_sums_long(df: DataFrame, columns: list[str], ys: dict[str, Column]) -> dict[str, float | None]:

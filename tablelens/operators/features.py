@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.layout import aggregate_in_passes
 from ..functions.typing_rules import DATE_FORMATS, nan_to_null, parse_date, qcol, type_class
 
 # Fixed values of the reference's rules.
@@ -130,8 +131,8 @@ def date_shares(df: DataFrame, columns: list[str], formats: list[str] = DATE_FOR
     aggs = []
     for i, c in enumerate(columns):
         for j, fmt in enumerate(formats):
-            aggs.append(F.avg(F.when(parse_date(qcol(c), fmt).isNotNull(), 1.0).otherwise(0.0)).alias(f"s{i}_{j}"))
-    row = df.agg(*aggs).first()
+            aggs.append((f"s{i}_{j}", F.avg(F.when(parse_date(qcol(c), fmt).isNotNull(), 1.0).otherwise(0.0))))
+    row = aggregate_in_passes(df, aggs)
     out = {}
     for i, c in enumerate(columns):
         best, share = formats[0], -1.0

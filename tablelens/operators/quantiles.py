@@ -30,6 +30,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.layout import aggregate_in_passes
 from ..functions.typing_rules import qcol
 
 _INF = float("inf")
@@ -58,20 +59,20 @@ def approx_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     return out
 
 
-def _column_stats(df: DataFrame, columns: list[str]):
+def _column_stats(df: DataFrame, columns: list[str]) -> dict:
     inf = F.lit(_INF)
     stats = []
     for i, c in enumerate(columns):
         x = qcol(c)
         fin = F.when(F.abs(x) != inf, x)
         stats += [
-            F.count(x).alias(f"n{i}"),
-            F.min(fin).alias(f"lo{i}"),
-            F.max(fin).alias(f"hi{i}"),
-            F.count(F.when(x == -inf, 1)).alias(f"ni{i}"),
-            F.count(F.when(x == inf, 1)).alias(f"pi{i}"),
+            (f"n{i}", F.count(x)),
+            (f"lo{i}", F.min(fin)),
+            (f"hi{i}", F.max(fin)),
+            (f"ni{i}", F.count(F.when(x == -inf, 1))),
+            (f"pi{i}", F.count(F.when(x == inf, 1))),
         ]
-    return df.agg(*stats).first()
+    return aggregate_in_passes(df, stats)
 
 
 PASS_BUDGET = 1 << 20     # most rows any refinement pass may send to the driver
