@@ -76,3 +76,12 @@ def test_score_batch_one_row_per_input(spark):
     assert bad and all(r["prediction"] is None and r["predicted_label"] is None for r in bad)
     good = [r for r in rows if r["issue"] is None]
     assert all(r["predicted_label"] in tm.labels for r in good)
+
+
+def test_unseen_categories_by_join(spark, city_train, monkeypatch):
+    monkeypatch.setattr(sc, "MAX_LITERAL_CATEGORIES", 1)
+    doms = sc.fit_domains(city_train, ["city"])
+    assert doms[0].categories is None
+    new = spark.createDataFrame([(1, "Q"), (2, "Z"), (3, None), (4, "Z")], "id int, city string")
+    res = {r["id"]: r["warning"] for r in sc.validate_rows(new, doms, city_train).collect()}
+    assert res == {1: None, 2: "unseen category: city", 3: None, 4: "unseen category: city"}
