@@ -294,7 +294,8 @@ def distinct_only(df: DataFrame, exact: bool = True) -> DataFrame:
     return per_column_table(df, specs, ["column_name", "position", "unique"])
 
 def present_counts(df: DataFrame) -> DataFrame:
-    """(column_name, position, n_rows, non_missing) from plain aggregates."""
+    """(column_name, position, n_rows, non_missing) from plain aggregates (NaN is missing)."""
+    df = nan_to_null(df)
     specs = [([F.count(qcol(f.name)).alias(f"c{i}")], [F.lit(f.name), F.lit(i), F.col("n"), F.col(f"c{i}")])
              for i, f in enumerate(df.schema.fields)]
     return per_column_table(df, specs, ["column_name", "position", "n_rows", "non_missing"],
