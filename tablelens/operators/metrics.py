@@ -19,7 +19,7 @@ _INF = float("inf")
 
 
 def _zero_div(num: Column, den: Column) -> Column:
-    """num / den, 0 when den is 0 (sklearn ``zero_division=0``)."""
+    """num / den, and 0 when den is 0 (an empty class scores 0)."""
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 

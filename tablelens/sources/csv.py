@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.layout import aggregate_in_passes
 from ..functions.typing_rules import (
     FALSE_TOKENS, INFINITY_PATTERN, INTEGER_PATTERN, NA_TOKENS, NUMBER_PATTERN, TRUE_TOKENS,
     qcol, text_to_boolean, text_to_number,
@@ -46,20 +47,20 @@ def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
 
 
 def infer_types(df: DataFrame) -> dict[str, T.DataType]:
-    """Spark type per all-text column, from one aggregate pass."""
+    """Spark type per all-text column, from one aggregate pass (split when very wide)."""
     aggs = []
     for i, name in enumerate(df.columns):
         c = qcol(name)
         t = F.trim(c)
         aggs += [
-            F.count(c).alias(f"n{i}"),
-            F.count(F.when(t.rlike(INTEGER_PATTERN) & t.try_cast("long").isNotNull(), 1)).alias(f"i{i}"),
-            F.count(F.when(t.rlike(NUMBER_PATTERN) | t.rlike(INFINITY_PATTERN), 1)).alias(f"f{i}"),
-            F.count(F.when(c.isin(TRUE_TOKENS + FALSE_TOKENS), 1)).alias(f"b{i}"),
+            (f"n{i}", F.count(c)),
+            (f"i{i}", F.count(F.when(t.rlike(INTEGER_PATTERN) & t.try_cast("long").isNotNull(), 1))),
+            (f"f{i}", F.count(F.when(t.rlike(NUMBER_PATTERN) | t.rlike(INFINITY_PATTERN), 1))),
+            (f"b{i}", F.count(F.when(c.isin(TRUE_TOKENS + FALSE_TOKENS), 1))),
         ]
     if not aggs:
         return {}
-    row = df.agg(*aggs).first()
+    row = aggregate_in_passes(df, aggs)
     types: dict[str, T.DataType] = {}
     for i, name in enumerate(df.columns):
         n = row[f"n{i}"]
