@@ -178,15 +178,33 @@ def cardinality_split(df: DataFrame, target: str | None = None, max_levels: int
 def fit_features(df: DataFrame, target: str | None, max_levels: int = MAX_LEVELS,
                  date_share: float = DATE_SHARE, max_interactions: int = MAX_INTERACTION_COLUMNS,
                  detect_text_dates: bool = True) -> FeatureSpec:
-    """Learn the feature specification of a table (three aggregates at most)."""
+    """Learn the feature specification of a table (two aggregates at most).
+
+    Date detection and the cardinality of every text/boolean column share one
+    aggregate (a column that turns out to be a date just has an unused count);
+    the level lists of the low-cardinality columns are a second one.
+    """
     df = nan_to_null(df)
     fields = [f for f in df.schema.fields if f.name != target]
     spec = FeatureSpec(target=target)
     spec.source_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     # 1) dates: native date/timestamp columns, and text columns that mostly parse
-    text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    shares = date_shares(df, text) if detect_text_dates else {}
+    text = [f.name for f in fields if isinstance(f.dataType, T.StringType)] if detect_text_dates else []
+    cand = [f.name for f in fields if type_class(f.dataType) in ("categorical", "boolean")]
+    named = [(f"s{i}_{j}", F.avg(F.when(parse_date(qcol(c), fmt).isNotNull(), 1.0).otherwise(0.0)))
+             for i, c in enumerate(text) for j, fmt in enumerate(DATE_FORMATS)]
+    named += [(f"d{i}", F.count_distinct(qcol(c))) for i, c in enumerate(cand)]
+    row = aggregate_in_passes(df, named) if named else {}
+    shares = {}
+    for i, c in enumerate(text):
+        best, share = DATE_FORMATS[0], -1.0
+        for j, fmt in enumerate(DATE_FORMATS):
+            v = float(row[f"s{i}_{j}"] or 0.0)
+            if v > share:
+                best, share = fmt, v
+        shares[c] = (best, share)
+    all_card = {c: int(row[f"d{i}"]) for i, c in enumerate(cand)}
     date_cols = set()
     for f in fields:
         cls = type_class(f.dataType)
@@ -198,9 +216,8 @@ def fit_features(df: DataFrame, target: str | None, max_levels: int = MAX_LEVELS
             date_cols.add(f.name)
 
     # 2) categorical split by cardinality
-    cats = [f.name for f in fields
-            if f.name not in date_cols and type_class(f.dataType) in ("categorical", "boolean")]
-    card = cardinality(df, cats)
+    cats = [c for c in cand if c not in date_cols]
+    card = {c: all_card[c] for c in cats}
     low = [c for c in cats if card[c] <= max_levels]
     spec.dropped = sorted(date_cols, key=[f.name for f in fields].index) + [c for c in cats if card[c] > max_levels]
     spec.dropped += [f.name for f in fields if type_class(f.dataType) == "other"]
