@@ -54,12 +54,27 @@ def validate_targets(df: DataFrame, columns: list[str] | None = None) -> DataFra
                     reason.alias("reason"), ptype.alias("problem_type"))
 
 
+def target_reason(is_text: bool, n_rows: int, unique: int) -> str:
+    """The validation rule on one column's counts (same order as ``validate_targets``)."""
+    if is_text and unique == n_rows:
+        return "identifier"
+    if is_text and unique > MAX_TEXT_CLASSES:
+        return "too_many_categories"
+    if unique < MIN_CLASSES:
+        return "too_few_classes"
+    return "ok"
+
+
 def validate_target(df: DataFrame, target: str) -> tuple[bool, str]:
-    """(ok, reason code) for one column; a missing column is refused without a scan."""
+    """(ok, reason code) for one column from ONE aggregate (rows, distinct values);
+    a missing column is refused without a scan."""
     if target not in df.columns:
         return False, "not_found"
-    row = validate_targets(df, [target]).first()
-    return bool(row["ok"]), row["reason"]
+    df = nan_to_null(df.select(qcol(target)))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(qcol(target)).alias("d")).first()
+    dtype = df.schema.fields[0].dataType
+    reason = target_reason(isinstance(dtype, T.StringType), row["n"], row["d"])
+    return reason == "ok", reason
 
 
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:

@@ -99,3 +99,10 @@ def test_approximate_mode(spark):
     approx = {r["column_name"]: r["unique"] for r in column_stats.column_stats(df, exact=False).collect()}
     for c in exact:
         assert abs(approx[c] - exact[c]) <= max(2, 0.15 * exact[c])   # rsd 0.05, 3 sigma
+
+
+def test_single_and_all_column_validation_agree(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    many = {r["column_name"]: (r["ok"], r["reason"]) for r in tg.validate_targets(df).collect()}
+    for c in df.columns:
+        assert tg.validate_target(df, c) == many[c]
