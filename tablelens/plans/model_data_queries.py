@@ -16,7 +16,7 @@ from ..operators import split as sp
 from ..operators import target as tg
 from ..sources.tables import read_table
 from . import fixtures as fx
-from .sqlgen import q, union_per_column
+from .sqlgen import q
 
 LI_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
               "l_discount", "l_tax"]

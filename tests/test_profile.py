@@ -1,6 +1,5 @@
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 from tablelens.operators import column_stats, outliers, profile
 

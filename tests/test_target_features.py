@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tablelens.operators import features as fe
 from tablelens.operators import target as tg
