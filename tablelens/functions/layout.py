@@ -19,8 +19,12 @@ def spread_small(df: DataFrame) -> DataFrame:
     cores - any large table - are returned unchanged: no shuffle, no cache.
     Lost cached blocks are recomputed from the scan.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no partition view (e.g. a Spark Connect session): leave as is
+        return df
+    if have < want:
         return df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
     return df
 
@@ -34,7 +38,11 @@ def materialize(df: DataFrame) -> DataFrame:
     shuffle.  Without one (a bare local session) the rows are persisted,
     spilling to disk.
     """
-    if df.sparkSession.sparkContext.getCheckpointDir():
+    try:
+        reliable = bool(df.sparkSession.sparkContext.getCheckpointDir())
+    except Exception:  # noqa: BLE001 - no SparkContext view (e.g. Spark Connect)
+        reliable = bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
+    if reliable:
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
