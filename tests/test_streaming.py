@@ -41,3 +41,18 @@ def test_running_missing(spark):
     q.awaitTermination(300)
     r = spark.table("missing").first()
     assert r["n_rows"] == li.count() and r["missing_d"] == want and r["missing_l_returnflag"] == 0
+
+
+def test_start_scoring_writes_parquet(spark):
+    from tablelens.streaming import start_scoring
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    tm = training.train(orders, "o_orderstatus", ["o_totalprice", "o_orderpriority"], num_trees=5, max_depth=4)
+    d = _stream_dir(spark, orders)
+    stream = spark.readStream.schema(orders.schema).parquet(os.path.join(d, "in"))
+    out = os.path.join(d, "out")
+    q = start_scoring(tm, stream, out, keep=["o_orderkey"], checkpoint=os.path.join(d, "ckpt-out"),
+                      trigger_available_now=True)
+    q.awaitTermination(300)
+    got = spark.read.parquet(out)
+    assert got.count() == orders.count()
+    assert set(got.columns) >= {"o_orderkey", "prediction", "predicted_label", "issue", "warning"}
