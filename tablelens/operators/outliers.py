@@ -80,25 +80,31 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None, exact: bool =
     df = nan_to_null(df)
     if fences is None:
         fences = fit_fences(df, columns, exact)
-    types = {f.name: f.dataType for f in df.schema.fields}
     wanted = [f.name for f in df.schema.fields if columns is None or f.name in columns]
     positions = {f.name: i for i, f in enumerate(df.schema.fields)}
+    cols = eligible(df, wanted)
+    # the coerced view the fences were fitted on (same plan, so a spread copy is shared)
+    view = spread_small(numeric_view(df, cols))
     null_d = F.lit(None).cast("double")
     specs = []
     for j, c in enumerate(wanted):
-        x = to_number(qcol(c), types[c], "outliers")
         fence = fences.get(c)
         has = fence is not None and fence.q1 is not None
-        aggs = [F.count(x).alias(f"n{j}")]
-        if has:
-            aggs.append(F.count(F.when(outlier_flag(x, fence), 1)).alias(f"o{j}"))
+        if c in cols:
+            x = qcol(c)
+            aggs = [F.count(x).alias(f"n{j}")]
+            n_num = F.col(f"n{j}")
+            if has:
+                aggs.append(F.count(F.when(outlier_flag(x, fence), 1)).alias(f"o{j}"))
+        else:
+            aggs, n_num = [], F.lit(0).cast("long")
         lit = (lambda v: F.lit(v).cast("double")) if has else (lambda v: null_d)
         specs.append((aggs, [
-            F.lit(c), F.lit(positions[c]), F.col(f"n{j}"),
+            F.lit(c), F.lit(positions[c]), n_num,
             lit(fence.q1 if has else None), lit(fence.q3 if has else None),
             lit(fence.lower if has else None), lit(fence.upper if has else None),
             F.col(f"o{j}") if has else F.lit(None).cast("long")]))
-    return per_column_table(df, specs, ["column_name", "position", "n_numeric", "q1", "q3",
+    return per_column_table(view, specs, ["column_name", "position", "n_numeric", "q1", "q3",
                                         "lower_bound", "upper_bound", "outliers"])
 
 
