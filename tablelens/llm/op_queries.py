@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import packing, quality
 from .common import read_documents
 
 
@@ -20,8 +21,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "quality")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_best_fit_packing": op3_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
