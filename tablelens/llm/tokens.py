@@ -15,8 +15,8 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Entries of a worker's word cache before it starts afresh (about 150 MB).
-CACHE_WORDS = 700_000
+#: Entries of a worker's word cache before it starts afresh (about 110 MB).
+CACHE_WORDS = 500_000
 #: New words merged together.
 BULK = 50_000
 
