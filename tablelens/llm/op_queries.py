@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, simhash, suffix
+from . import bpe, licenses, packing, quality, secrets, simhash, suffix
 from .common import read_documents
 
 
@@ -44,6 +44,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_quality_rules": op2_quality_rules,
@@ -51,6 +55,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_level_bpe": op4_byte_level_bpe,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_license_scans": op7_license_scans,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_license_scans": licenses.scan_sql(),
+}
