@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, packing, quality, secrets, simhash, suffix
+from . import bpe, licenses, packing, pii, quality, secrets, simhash, suffix
 from .common import read_documents
 
 
@@ -48,6 +48,10 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_documents(spark, sf_dir))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(read_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_quality_rules": op2_quality_rules,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_license_scans": op7_license_scans,
+    "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {
