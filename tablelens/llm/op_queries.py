@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, packing, pii, quality, secrets, simhash, suffix
+from . import bpe, licenses, neighbours, packing, pii, quality, secrets, simhash, suffix
 from .common import read_documents
 
 
@@ -48,6 +48,11 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_documents(spark, sf_dir))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neighbours.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return neighbours.search(rows, rows.filter(F.col("id") % neighbours.EVERY == 0))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read_documents(spark, sf_dir))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_license_scans": op7_license_scans,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_pii": op9_pii,
 }
 
