@@ -6,14 +6,15 @@ when the subpackage is present.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, neighbours, packing, pii, quality, secrets, simhash, suffix
-from .common import read_documents
+from . import bpe, counts, licenses, neighbours, packing, pii, quality, secrets, simhash, suffix
+from .common import read_documents, shared_folder
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,16 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read_documents(spark, sf_dir))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = counts.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    versions = {
+        "words-1": counts.word_tokenizer,
+        "byte_bpe_50k-1": counts.rank_tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                                public_tokenizers.PATTERN),
+    }
+    return counts.change_feed(rollup, read_documents(spark, sf_dir), versions)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_quality_rules": op2_quality_rules,
@@ -67,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_license_scans": op7_license_scans,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_pii": op9_pii,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
