@@ -50,7 +50,7 @@ LENGTH = 100
 GRAM = 24
 HOT_RUNS = 20_000
 #: Bytes worked on at once within a task.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
@@ -257,13 +257,13 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     def shifted(x: np.ndarray, by: int) -> np.ndarray:
         return np.concatenate([x[by:], np.zeros(min(by, len(x)), dtype=x.dtype)])
 
-    rank, width = data.astype(np.int64), 1
-    while width < 4 and 2 * width <= length:  # packed bytes are their own order
-        rank = rank << (8 * width) | shifted(rank, width)
+    rank, width = data.astype(np.uint64), 1
+    while width < 8 and 2 * width <= length:  # up to eight packed bytes are their own order
+        rank = rank << np.uint64(8 * width) | shifted(rank, width)
         width *= 2
+    rank = np.unique(rank, return_inverse=True)[1]
     while 2 * width <= length:
-        rank = ranked(np.unique(rank, return_inverse=True)[1] if width <= 4 else rank,
-                      shifted(rank if width > 4 else np.unique(rank, return_inverse=True)[1], width))
+        rank = ranked(rank, shifted(rank, width))
         width *= 2
     return ranked(rank, shifted(rank, length - width)) if width < length else rank
 
