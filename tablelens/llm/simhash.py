@@ -66,13 +66,19 @@ def simhash(raw: bytes, width: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (as a signed 64-bit value) of every row."""
+    """doc_id, fingerprint (as a signed 64-bit value) and a hash of the text of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([simhash(raw, width) for raw in column_bytes(b.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64)), b.column(2)],
+                                             names=["doc_id", "fp", "text_hash"])
 
-    return map_batches(doc_columns(docs, "doc_id", "text"), run, "doc_id long, fp long")
+    rows = doc_columns(docs, "doc_id", "text").withColumn("text_hash", _text_hash())
+    return map_batches(rows, run, "doc_id long, fp long, text_hash long")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _distance(a: str, b: str) -> Column:
@@ -104,7 +110,7 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """doc_id, fp and component_id (smallest id of the group) of every row."""
+    """doc_id, fp, text_hash and component_id (smallest id of the group) of every row."""
     prints = cut(fingerprints(docs, width))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct.select("fp"), max_distance))
@@ -112,16 +118,19 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, max_distance: int = M
                .select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = grouped.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "text_hash", "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, one for each id; rows without an id stay."""
-    grouped = near_duplicates(docs, width, max_distance)
-    removed = grouped.filter(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    row = docs.select(F.col("doc_id").alias("_id"), F.struct(*columns).alias("_row"))
-    left = row.join(removed.withColumnRenamed("doc_id", "_id"), "_id", "left_anti")
-    order = Window.partitionBy("_id").orderBy(F.xxhash64("_row"))
-    ranked = left.withColumn("_n", F.row_number().over(order))
-    return ranked.filter((F.col("_n") == 1) | F.col("_id").isNull()).select("_row.*")
+    """One row of each group of ``docs``: the one with the smallest id; rows without an id stay.
+
+    Where several rows of a group share that id, one of them stays.
+    """
+    own = near_duplicates(docs, width, max_distance).filter(F.col("doc_id") == F.col("component_id"))
+    one = own.groupBy("doc_id").agg(F.min("text_hash").alias("_hash")).withColumnRenamed("doc_id", "_id")
+    row = docs.filter(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").alias("_id"), _text_hash().alias("_hash"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.xxhash64("_row")))
+    kept = row.join(one, ["_id", "_hash"]).withColumn("_n", nth).filter("_n = 1").select("_row.*")
+    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
