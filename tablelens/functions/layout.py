@@ -2,49 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread an input that has fewer partitions than the cluster has cores, once.
-
-    Used by multi-pass operators on their already-projected input.  A file
-    with a single row group is read by a single task, and every pass (quantile
-    brackets, feature fitting, training) would run on one core.  Such an input
-    is small by construction (fewer than ``cores`` splits of at most
-    ``spark.sql.files.maxPartitionBytes``), so it is round-robined to one
-    partition per core and persisted (memory, spilling to disk); identical
-    inputs share the cached copy.  Inputs with at least as many partitions as
-    cores - any large table - are returned unchanged: no shuffle, no cache.
-    Lost cached blocks are recomputed from the scan.
+from pyspark.sql import Column, DataFrame
+
+from ..session import ensure_checkpoint_dir
+
+
+#: Session setting: number of partitions that multi-pass operators deal their
+#: (already projected) input to.  Unset: the input is read as it is laid out.
+SPREAD = "tablelens.spread"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the input of a multi-pass operator to ``tablelens.spread`` partitions, if the session sets it.
+
+    Worth it where an input is one unsplittable file; nothing runs here, and
+    the size of the input plays no part.
     """
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no partition view (e.g. a Spark Connect session): leave as is
-        return df
-    if have < want:
-        return df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+    n = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(n)) if n else df
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once for several later passes.
+    """Compute ``df`` once for several later passes: a reliable checkpoint.
 
-    With a reliable checkpoint folder (``spark.checkpoint.dir``, a shared file
-    system on a cluster) the rows are written there and the lineage is cut,
-    so a lost executor never forces recomputation of the upstream scan and
-    shuffle.  Without one (a bare local session) the rows are persisted,
-    spilling to disk.
+    The rows are written to the session's checkpoint folder, so a lost
+    executor never forces the upstream scan and shuffle to run again; Spark
+    removes them with the frame where ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set.
     """
-    try:
-        reliable = bool(df.sparkSession.sparkContext.getCheckpointDir())
-    except Exception:  # noqa: BLE001 - no SparkContext view (e.g. Spark Connect)
-        reliable = bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
-    if reliable:
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 # Aggregate functions per pass for collected (scalar) aggregates: wider global
@@ -52,7 +39,7 @@ def materialize(df: DataFrame) -> DataFrame:
 AGGS_PER_PASS = 80
 
 
-def aggregate_in_passes(df: DataFrame, named: list[tuple[str, "Column"]]) -> dict:
+def aggregate_in_passes(df: DataFrame, named: list[tuple[str, Column]]) -> dict:
     """Run many named scalar aggregates, at most ``AGGS_PER_PASS`` per pass.
 
     Returns {name: value}.  With a columnar source each pass reads only the

@@ -30,26 +30,34 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
 INFINITY_PATTERN = r"^[+-]?([iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY])$"
 
-# Date formats tried when a text column may hold dates, in order of preference,
-# each with the shape a value must have before it is parsed.  The shape test
-# is a cheap regular expression; a failed parse is expensive (the parser
-# raises and catches internally), and most values of a non-date column fail.
-DATE_FORMATS = [
-    "yyyy-M-d",
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:sX",
-    "d MMM yyyy",
-]
-DATE_SHAPES = {
-    "yyyy-M-d": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
-    "M/d/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
-    "d/M/yyyy": r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$",
-    "yyyy-M-d H:m:s": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$",
-    "yyyy-M-d'T'H:m:sX": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(Z|[+-][0-9]{2}(:?[0-9]{2})?)$",
-    "d MMM yyyy": r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$",
+# Dates tried when a text column may hold them, in order of preference, each
+# with the shape a value must have before it is parsed.  The shape test is a
+# cheap regular expression; a failed parse is expensive (the parser raises and
+# catches internally), and most values of a non-date column fail.
+_DAYS = {
+    "yyyy-M-d": "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}",
+    "M/d/yyyy": "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
+    "d/M/yyyy": "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
+    "yyyy/M/d": "[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}",
+    "yyyy.M.d": r"[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}",
+    "M-d-yyyy": "[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}",
+    "d-M-yyyy": "[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}",
+    "M.d.yyyy": r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}",
+    "d.M.yyyy": r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}",
+    "d MMM yyyy": "[0-9]{1,2} [A-Za-z]{3} [0-9]{4}",
+    "d-MMM-yyyy": "[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}",
+    "MMM d, yyyy": "[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}",
+    "d MMMM yyyy": "[0-9]{1,2} [A-Za-z]{3,} [0-9]{4}",
+    "MMMM d, yyyy": "[A-Za-z]{3,} [0-9]{1,2}, [0-9]{4}",
 }
+# Time of day after a date: hours and minutes, then seconds and a fraction if there are any.  A "T" may stand for the
+# blank, and an offset may follow; it is left out, so the parts of the date are the local ones.
+_TIME = " H:m[:s[.SSSSSSSSS]]"
+_TIME_SHAPE = r"[ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?"
+_OFFSET_SHAPE = r" ?(Z|[+-][0-9]{2}(:?[0-9]{2})?)"
+DATE_SHAPES = ({f: f"^{shape}$" for f, shape in _DAYS.items()}
+               | {f + _TIME: f"^{shape}{_TIME_SHAPE}({_OFFSET_SHAPE})?$" for f, shape in _DAYS.items()})
+DATE_FORMATS = list(DATE_SHAPES)
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -144,10 +152,18 @@ def to_number(c: Column, dtype: T.DataType, context: str = "plot") -> Column:
 
 def parse_date(c: Column, fmt: str) -> Column:
     """Text to timestamp with one explicit format; NULL unless the text has the
-    format's shape and parses (so 31 February and trailing text are NULL)."""
-    parsed = F.try_to_timestamp(c, F.lit(fmt))
+    format's shape and parses (so 31 February and trailing text are NULL).
+
+    With a time of day, the offset is cut off: the result holds the local parts.
+    """
     shape = DATE_SHAPES.get(fmt)
-    return F.when(c.rlike(shape), parsed) if shape else parsed
+    if shape is None:
+        return F.try_to_timestamp(c, F.lit(fmt))
+    text = c
+    if fmt.endswith(_TIME):
+        text = F.regexp_replace(c, f"(:[0-9.]+){_OFFSET_SHAPE}$", "$1")
+        text = F.regexp_replace(text, "([0-9])T([0-9])", "$1 $2")
+    return F.when(c.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
 
 
 def text_to_boolean(c: Column) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.layout import spread_small
+from ..functions.layout import spread
 from ..functions.typing_rules import nan_to_null, qcol, to_number, type_class
 from .outliers import fit_fences, outlier_flag
-from .profile import distinct_only, per_column_table
+from .profile import distinct_only, exact_text, per_column_table
 
 _NAMES = ["column_name", "position", "data_type", "missing", "duplicate_values", "unique",
           "min_num", "max_num", "min_str", "max_str", "outliers"]
@@ -26,9 +26,10 @@ def _single_pass(df: DataFrame, fences) -> DataFrame:
         aggs = [(F.count(F.lit(1)) - F.count(c)).alias(f"m{i}")]
         a, b = F.col(f"a{i}"), F.col(f"b{i}")
         if cls in ("numeric", "boolean"):
-            x = c.cast("int").cast("double") if cls == "boolean" else c.cast("double")
+            x = c.cast("int") if cls == "boolean" else c
             aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
-            mins = [a, b, null_s, null_s]
+            text = [a.cast("string"), b.cast("string")] if exact_text(f.dataType) else [null_s, null_s]
+            mins = [a.cast("double"), b.cast("double"), *text]
         elif cls == "categorical":
             aggs += [F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")]
             mins = [null_d, null_d, a, b]
@@ -61,7 +62,7 @@ def column_stats(df: DataFrame, exact: bool = True) -> DataFrame:
     whole expanded aggregate into a sort-based one.  Their per-column rows are
     merged by a group-by over at most 2 x columns rows.
     """
-    df = spread_small(nan_to_null(df))
+    df = spread(nan_to_null(df))
     fences = fit_fences(df, None, exact)
     plain = _single_pass(df, fences)
     dist = distinct_only(df, exact).select(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.layout import AGGS_PER_PASS, aggregate_in_passes, spread_small
+from ..functions.layout import AGGS_PER_PASS, aggregate_in_passes, spread
 from ..functions.typing_rules import nan_to_null, qcol, to_number, type_class
 
 _INF = float("inf")
@@ -141,7 +142,7 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     if columns is None:
         columns = plot_numeric_columns(df)
     types = {f.name: f.dataType for f in df.schema.fields}
-    df = spread_small(df.select(*[to_number(qcol(c), types[c], "plot").alias(c) for c in columns]))
+    df = spread(df.select(*[to_number(qcol(c), types[c], "plot").alias(c) for c in columns]))
     xs = {c: qcol(c) for c in columns}
     idx = {c: i for i, c in enumerate(columns)}
     first = [("n", F.count(F.lit(1)))]
@@ -176,9 +177,11 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
             return None
         ma, mb = sa / n, sb / n
         va, vb = qa / n - ma * ma, qb / n - mb * mb
-        if va <= 0 or vb <= 0:
+        if not (va > 0 and vb > 0):       # constant, or not a number because of an infinity
             return None
         r = (p / n - ma * mb) / (va * vb) ** 0.5
+        if not math.isfinite(r):
+            return None
         return max(-1.0, min(1.0, r))
 
     rows = []

@@ -2,18 +2,19 @@
 
 Nothing here needs a fitted model: the metrics are DataFrame aggregates, so
 they can be checked against SQL with rule-made predictions.  The group-by
-on (label, prediction) is partially aggregated map-side, so its shuffle is
-bounded by classes^2 per task whatever the row count.
+on (label, prediction) is partially aggregated map-side, so a task sends each
+pair of classes once whatever the row count.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.layout import materialize
+from ..functions.typing_rules import INTEGRAL, NUMERIC, qcol, text_to_number
 from .ordered import running_totals
-from .target import MAX_CLASSES
 
 _INF = float("inf")
 
@@ -23,10 +24,31 @@ def _zero_div(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
 
 
+def _class_text(c: Column, dtype: T.DataType) -> Column:
+    """Text of a class where numbers are compared by value: 1, 1.0 and '1' are one class."""
+    if isinstance(dtype, T.BooleanType):
+        number = c.cast("int").cast("double")
+    elif isinstance(dtype, NUMERIC):
+        number = c.cast("double")
+    else:
+        number = text_to_number(c.cast("string"))
+    whole = (number == F.rint(number)) & (F.abs(number) < 2.0 ** 53)
+    return F.coalesce(F.when(whole, number.try_cast("long").cast("string")).otherwise(number.cast("string")),
+                      c.cast("string"))
+
+
 def pair_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """(actual, predicted, n) over the observed pairs; classes compared as text."""
-    return (df.select(F.col(label).cast("string").alias("actual"),
-                      F.col(prediction).cast("string").alias("predicted"))
+    """(actual, predicted, n) over the observed pairs.
+
+    Two texts, or two whole-number columns, are compared as they are.  Where
+    types differ and one side holds numbers, classes are compared by value.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    sides = [types[label], types[prediction]]
+    plain = (all(isinstance(t, T.StringType) for t in sides) or all(isinstance(t, INTEGRAL) for t in sides)
+             or not any(isinstance(t, (T.BooleanType, *NUMERIC)) for t in sides))
+    text = [qcol(n).cast("string") if plain else _class_text(qcol(n), t) for n, t in zip((label, prediction), sides)]
+    return (df.select(text[0].alias("actual"), text[1].alias("predicted"))
             .groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -73,8 +95,7 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
 def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(class_label, precision, recall, f1_score, support): one row per class, then
     'accuracy' (f1_score holds the accuracy), 'macro avg' and 'weighted avg'."""
-    # per-class figures have one row per class: computed once, read twice
-    full = materialize(per_class(df, label, prediction))
+    full = per_class(df, label, prediction)  # read twice; both reads share its exchange
     pcl = full.select("class_label", "precision", "recall", "f1_score", "support")
     sm = _summary(full)
     null_d = F.lit(None).cast("double")
@@ -90,28 +111,18 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     return pcl.unionByName(tail)
 
 
-def class_list(df: DataFrame, label: str = "label", prediction: str = "prediction",
-               pc: DataFrame | None = None) -> list[str]:
-    """Sorted union of actual and predicted classes (size-checked before collecting)."""
-    pc = pair_counts(df, label, prediction) if pc is None else pc
-    cl = pc.select(F.explode(F.array("actual", "predicted")).alias("c")).where(F.col("c").isNotNull()).distinct()
-    n = cl.count()
-    if n > MAX_CLASSES:
-        raise ValueError(f"{n} classes; a confusion matrix is limited to {MAX_CLASSES}")
-    return [r["c"] for r in cl.orderBy("c").collect()]
-
-
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """(actual, predicted, count) for every pair over the sorted class union, zeros included.
+    """(actual, predicted, count) for every pair over the class union, zeros included.
 
-    The grid has classes^2 cells; the class list is size-checked first, and
-    the observed counts (at most classes^2 rows) are the broadcast side.
+    The result has classes^2 rows by definition, whatever their number; the
+    grid is spread over the executors by its first class.
     """
-    pc = materialize(pair_counts(df, label, prediction))     # <= classes^2 rows, read twice
-    classes = class_list(df, label, prediction, pc)
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(a, p) for a in classes for p in classes], "actual string, predicted string")
-    return (grid.join(F.broadcast(pc), ["actual", "predicted"], "left")
+    pc = pair_counts(df, label, prediction)
+    classes = (pc.select(F.explode(F.array("actual", "predicted")).alias("c")).where(F.col("c").isNotNull())
+               .agg(F.collect_set("c").alias("all")))
+    grid = (classes.select(F.explode("all").alias("actual"), "all").repartition("actual")
+            .select("actual", F.explode("all").alias("predicted")))
+    return (grid.join(pc, ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("count")))
 
 

@@ -23,6 +23,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.layout import spread
 from . import metrics as mt
 
 # Fixed values of the reference's estimators.
@@ -51,23 +52,6 @@ def assemble(df: DataFrame, features: list[str], output: str = "features", keep_
                            handleInvalid="keep" if keep_invalid else "error").transform(df)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give iterative training at least one partition per core.
-
-    A small input file is one partition, which would make every training
-    pass single-threaded.  Large inputs already have many partitions and
-    are left as they are (no extra shuffle).
-    """
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no partition view (e.g. Spark Connect): leave as is
-        return df
-    if have < want:
-        return df.repartition(want)
-    return df
-
-
 def candidates(problem_type: str, n_train: int, label: str = "label", max_depth: int = DEFAULT_MAX_DEPTH,
                num_trees: int = FOREST_TREES, seed: int = SEED) -> list[tuple[str, object]]:
     """(name, estimator) in the reference's order."""

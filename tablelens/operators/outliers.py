@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.layout import spread_small
+from ..functions.layout import spread
 from ..functions.typing_rules import nan_to_null, qcol, to_number, type_class
 from .profile import per_column_table
 from .quantiles import quantiles
@@ -57,7 +57,7 @@ def numeric_view(df: DataFrame, columns: list[str]) -> DataFrame:
 def fit_fences(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> dict[str, Fence]:
     """Q1 / Q3 of every eligible column (all columns share each pass)."""
     cols = eligible(df, columns)
-    qs = quantiles(spread_small(numeric_view(df, cols)), cols, [0.25, 0.75], exact=exact)
+    qs = quantiles(spread(numeric_view(df, cols)), cols, [0.25, 0.75], exact=exact)
     return {c: Fence(c, qs[c][0], qs[c][1]) for c in cols}
 
 
@@ -84,7 +84,7 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None, exact: bool =
     positions = {f.name: i for i, f in enumerate(df.schema.fields)}
     cols = eligible(df, wanted)
     # the coerced view the fences were fitted on (same plan, so a spread copy is shared)
-    view = spread_small(numeric_view(df, cols))
+    view = spread(numeric_view(df, cols))
     null_d = F.lit(None).cast("double")
     specs = []
     for j, c in enumerate(wanted):

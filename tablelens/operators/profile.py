@@ -41,9 +41,14 @@ def value_bytes(name: str, dtype: T.DataType) -> Column:
     c = qcol(name)
     if isinstance(dtype, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(c).cast("long"), F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    if isinstance(dtype, T.ArrayType):
+        each = fixed_width(dtype.elementType)
+        if each is not None:
+            return F.when(c.isNull(), zero).otherwise(F.size(F.filter(c, lambda x: x.isNotNull())).cast("long") * each)
     w = fixed_width(dtype)
-    if w is None:
-        return F.lit(0).cast("long")
+    if w is None:       # nested values by the bytes of their JSON text
+        return F.coalesce(F.octet_length(F.to_json(c)).cast("long"), zero)
     return F.when(c.isNull(), F.lit(0).cast("long")).otherwise(F.lit(w).cast("long"))
 
 
@@ -345,11 +350,17 @@ def _text_of(name: str, dtype: T.DataType) -> Column | None:
     return None
 
 
+def exact_text(dtype: T.DataType) -> bool:
+    """Whether minimum and maximum are also given as text, because a double may round them."""
+    return isinstance(dtype, (T.LongType, T.DecimalType))
+
+
 def min_max_by_column(df: DataFrame) -> DataFrame:
     """(column_name, position, min_num, max_num, min_str, max_str).
 
-    Numbers (and booleans as 0/1) fill the numeric pair; text fills the text
-    pair; dates and timestamps are given as ``yyyy-MM-dd HH:mm:ss`` text.
+    Numbers (and booleans as 0/1) fill the numeric pair, whole numbers and
+    decimals the text pair as well, digit by digit, since a double rounds them
+    above 2^53; text fills the text pair; dates and timestamps are given as ``yyyy-MM-dd HH:mm:ss`` text.
     Missing values are skipped, so a text column with gaps still has a
     minimum.  Nested columns get NULLs.
     """
@@ -364,8 +375,10 @@ def min_max_by_column(df: DataFrame) -> DataFrame:
         a, b = F.col(f"a{i}"), F.col(f"b{i}")
         head = [F.lit(f.name), F.lit(i)]
         if cls in ("numeric", "boolean"):
-            x = c.cast("int").cast("double") if cls == "boolean" else c.cast("double")
-            specs.append(([F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")], head + [a, b, null_s, null_s]))
+            x = c.cast("int") if cls == "boolean" else c
+            text = [a.cast("string"), b.cast("string")] if exact_text(f.dataType) else [null_s, null_s]
+            specs.append(([F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")],
+                          head + [a.cast("double"), b.cast("double"), *text]))
         elif cls == "categorical":
             specs.append(([F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")], head + [null_d, null_d, a, b]))
         elif cls == "datetime":

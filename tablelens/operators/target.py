@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,15 +12,13 @@ from .profile import distinct_counts
 # Fixed values of the reference's rules.
 MAX_TEXT_CLASSES = 20          # a text target with more distinct values is refused
 MIN_CLASSES = 2                # fewer distinct values than this are refused
-# Size bound for anything that materialises the class list (labels, confusion grid).
-MAX_CLASSES = 1000
 
 REASONS = {
-    "ok": "Target column is valid.",
-    "not_found": "Selected target column does not exist in the dataset.",
-    "identifier": "Target cannot be a unique identifier or name column.",
-    "too_many_categories": "Target has too many categories - cannot be predicted.",
-    "too_few_classes": "Target column must have at least two classes.",
+    "ok": "The column can be predicted.",
+    "not_found": "There is no such column in the table.",
+    "identifier": "Every row has its own value, so there is nothing to learn.",
+    "too_many_categories": "The text values are too many to be classes.",
+    "too_few_classes": "At least two different values are needed.",
 }
 
 
@@ -90,47 +88,35 @@ def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
     return nan_to_null(df.where(present))
 
 
-def fit_labels(df: DataFrame, target: str) -> list:
-    """Sorted distinct target values (the class list), size-checked before collecting."""
-    d = df.where(qcol(target).isNotNull()).select(qcol(target).alias("v")).distinct()
-    rows = d.orderBy("v").limit(MAX_CLASSES + 1).collect()      # size check and collect in one job
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"target {target!r} has more than {MAX_CLASSES} classes and cannot be encoded")
-    return [r["v"] for r in rows]
+def fit_labels(df: DataFrame, target: str) -> DataFrame:
+    """(value, class_index): the distinct target values in sorted order, any number of them.
 
-
-def encode_expr(c: Column, labels: list) -> Column:
-    """0-based position of a value in the sorted class list (NULL when unseen)."""
-    if not labels:
-        return F.lit(None).cast("int")
-    pos = F.array_position(F.array(*[F.lit(v) for v in labels]), c)
-    return F.when(pos > 0, (pos - 1).cast("int"))
+    One row per class; the numbering sorts classes, not rows.
+    """
+    values = df.where(qcol(target).isNotNull()).select(qcol(target).alias("value")).distinct()
+    index = (F.row_number().over(Window.orderBy("value")) - 1).cast("int")
+    return values.select("value", index.alias("class_index"))
 
 
-def label_encode(df: DataFrame, target: str, labels: list | None = None,
-                 output: str = "label") -> tuple[DataFrame, list]:
-    """Drop rows without a target, add ``output`` = class index in sorted order.
+def label_encode(df: DataFrame, target: str, labels: DataFrame | None = None,
+                 output: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Drop rows without a target, add ``output`` = class index in sorted order (NULL when unseen).
 
-    Returns the frame and the class list (which decodes predictions).
+    Returns the frame and the class table (which decodes predictions).
     """
     df = drop_missing_target(df, target)
     if labels is None:
         labels = fit_labels(df, target)
-    return df.withColumn(output, encode_expr(qcol(target), labels)), labels
-
-
-def decode_expr(idx: Column, labels: list) -> Column:
-    """Class of an index; indexes outside the list fall back to their own text."""
-    as_text = idx.cast("long").cast("string")
-    if not labels:
-        return as_text
-    arr = F.array(*[F.lit(str(v)) for v in labels])
-    return F.coalesce(
-        F.when((idx >= 0) & (idx < len(labels)), F.try_element_at(arr, (idx.cast("int") + 1))),
-        as_text)
+    known = labels.select(F.col("value").alias("__value"), F.col("class_index").alias(output))
+    joined = df.join(known, qcol(target) == F.col("__value"), "left")
+    return joined.select(*[qcol(c) for c in df.columns if c != output], qcol(output)), labels
 
 
-def label_decode(df: DataFrame, labels: list, column: str = "prediction",
+def label_decode(df: DataFrame, labels: DataFrame, column: str = "prediction",
                  output: str = "prediction_label") -> DataFrame:
-    """Add ``output`` = class text of the index in ``column``."""
-    return df.withColumn(output, decode_expr(qcol(column), labels))
+    """Add ``output`` = class text of the index in ``column``; an index without a class keeps its own text."""
+    known = labels.select(F.col("class_index").cast("double").alias("__index"),
+                          F.col("value").cast("string").alias("__class"))
+    joined = df.join(known, qcol(column).cast("double") == F.col("__index"), "left")
+    text = F.coalesce(F.col("__class"), qcol(column).cast("long").cast("string"))
+    return joined.select(*[qcol(c) for c in df.columns if c != output], text.alias(output))

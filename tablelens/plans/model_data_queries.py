@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import distributions as dist
 from ..operators import features as fe
 from ..operators import metrics as mt
+from ..operators import models as md
 from ..operators import split as sp
 from ..operators import target as tg
 from ..sources.tables import read_table
@@ -169,8 +168,73 @@ def feature_frame(spark, d):
 
 
 def train_test_split(spark, d):
+    """Both sides of the split that training uses."""
+    train, test = sp.train_test_split(read_table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"])
+    return (train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
+            .select("o_orderkey", "is_test"))
+
+
+def train_test_split_exact(spark, d):
+    """Exactly ceil(0.2 n) test rows among rows that are mostly copies of each other."""
+    li = read_table(spark, d, "lineitem").select("l_returnflag", "l_linestatus")
+    return sp.flag_test_rows(li).groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lineitem_index_prediction(spark: SparkSession, d: str) -> DataFrame:
+    """The rule prediction as a model gives it: whole-number labels, double predictions."""
+    names = F.array(F.lit("A"), F.lit("N"), F.lit("R"))
+    return lineitem_rule_prediction(spark, d).select(
+        (F.array_position(names, F.col("label")) - 1).cast("int").alias("label"),
+        (F.array_position(names, F.col("prediction")) - 1).cast("double").alias("prediction"))
+
+
+def classification_metrics_indexed(spark, d):
+    return _r(mt.classification_metrics(lineitem_index_prediction(spark, d)), ["value"])
+
+
+def confusion_matrix_indexed(spark, d):
+    return mt.confusion_matrix(lineitem_index_prediction(spark, d))
+
+
+def classification_report_indexed(spark, d):
+    return _r(mt.classification_report(lineitem_index_prediction(spark, d)), ["precision", "recall", "f1_score"])
+
+
+def label_encode_many(spark, d):
+    """As many classes as there are customers."""
+    enc, _ = tg.label_encode(read_table(spark, d, "customer").select("c_custkey", "c_name"), "c_name")
+    return enc
+
+
+def confusion_matrix_many(spark, d):
+    """The supplier of a line against the one its part number points at."""
+    li = read_table(spark, d, "lineitem")
+    return mt.confusion_matrix(li.select(F.col("l_suppkey").alias("label"),
+                                         (F.col("l_partkey") % 50).alias("prediction"))).where("count > 0")
+
+
+def correlation_with_gaps(spark, d):
+    """Columns with missing values and one with an infinity."""
+    li = read_table(spark, d, "lineitem")
+    gap = F.when(F.col("l_discount") != 0, F.col("l_discount")).alias("gap")
+    inf = F.when(F.col("l_tax") == 0, F.lit(float("inf"))).otherwise(F.col("l_tax")).alias("inf")
+    return _r(dist.correlation_matrix(li.select("l_quantity", gap, inf, "l_extendedprice")), ["corr"])
+
+
+_DATE_TEXTS = ["yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy/MM/dd", "dd-MMM-yyyy",
+               "yyyy-MM-dd HH:mm", "MMM d, yyyy"]
+
+
+def date_texts(spark, d):
+    """The order date written in many ways, each parsed back by the format found for it."""
     o = read_table(spark, d, "orders")
-    return o.select("o_orderkey", sp.modular_test_flag(F.col("o_orderkey")).alias("is_test"))
+    ways = [F.date_format("o_orderdate", f).alias(f"way{i}") for i, f in enumerate(_DATE_TEXTS)]
+    offset = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'23:30:00"), F.lit("+02:00")).alias("way_offset")
+    texts = o.select("o_orderkey", *ways, offset)
+    found = {n: s for n, s in fe.date_shares(texts, texts.columns[1:]).items()}
+    out = texts.select("o_orderkey", *[F.dayofyear(fe.parse_date(F.col(c), found[c][0])).alias(c)
+                                       for c in texts.columns[1:]])
+    return out
 
 
 def classification_metrics(spark, d):
@@ -198,12 +262,10 @@ def regression_metrics(spark, d):
 
 
 def ols_single_feature(spark, d):
-    """MLlib least squares with one feature (the linear-model path of model selection)."""
+    """Least squares with one feature, by the estimator and assembly of model selection."""
     li = read_table(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
-    va = VectorAssembler(inputCols=["l_quantity"], outputCol="features")
-    lr = LinearRegression(featuresCol="features", labelCol="l_extendedprice", regParam=0.0,
-                          solver="normal", standardization=False)
-    m = lr.fit(va.transform(li))
+    lr = dict(md.candidates("regression", 1, "l_extendedprice"))["Linear Regression"]
+    m = lr.fit(md.assemble(li, ["l_quantity"]))
     # one row derived from the fitted model (its size does not grow with the data)
     return spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept), m.summary.numInstances)],
                                  "slope double, intercept double, n long").select(
@@ -229,6 +291,14 @@ QUERIES = {
     "interactions": interactions,
     "feature_frame": feature_frame,
     "train_test_split": train_test_split,
+    "train_test_split_exact": train_test_split_exact,
+    "classification_metrics_indexed": classification_metrics_indexed,
+    "confusion_matrix_indexed": confusion_matrix_indexed,
+    "classification_report_indexed": classification_report_indexed,
+    "label_encode_many": label_encode_many,
+    "confusion_matrix_many": confusion_matrix_many,
+    "correlation_with_gaps": correlation_with_gaps,
+    "date_texts": date_texts,
     "classification_metrics": classification_metrics,
     "confusion_matrix": confusion_matrix,
     "classification_report": classification_report,
@@ -269,6 +339,22 @@ def _sql_correlation() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def _sql_correlation_gaps() -> str:
+    """Pairs with the infinite column have no value; a gap takes its row out of its own pairs only."""
+    src = """(SELECT l_quantity, CASE WHEN l_discount <> 0 THEN l_discount END AS gap,
+             CASE WHEN l_tax = 0 THEN NULL ELSE l_tax END AS finite, l_extendedprice FROM lineitem)"""
+    cols = ["l_quantity", "gap", "inf", "l_extendedprice"]
+    parts = []
+    for a in cols:
+        for b in cols:
+            v = "max(CAST(NULL AS DOUBLE))" if "inf" in (a, b) else "max(1.0::DOUBLE)" if a == b else f"round(corr({a}, {b}), 6)"
+            parts.append(f"SELECT '{a}' AS column_a, '{b}' AS column_b, {v} AS corr FROM {src} t")
+    return "\nUNION ALL\n".join(parts)
+
+
+_SQL_INDEX = "CAST(strpos('ANR', {}) - 1 AS VARCHAR)"
+
+
 def _sql_scatter_grid(bins: int = 50) -> str:
     return f"""
 WITH v AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem
@@ -426,15 +512,13 @@ def oracles() -> dict[str, str]:
                           for a, b in combinations(li_inter, 2))
     onehot_sel = ", ".join(f"CASE WHEN o_orderpriority = '{v}' THEN 1 ELSE 0 END AS {q('o_orderpriority_' + v)}"
                            for v in PRIORITIES[1:])
-    fmts = ["%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S%z", "%d %b %Y"]
-    text_cols = [("o_orderstatus", 1), ("o_date_text", 2), ("o_mixed_text", 3), ("o_orderpriority", 4)]
-
-    def share(c):
-        return "greatest(" + ", ".join(
-            f"avg(CASE WHEN try_strptime({c}, '{f}') IS NOT NULL THEN 1.0 ELSE 0.0 END)" for f in fmts) + ")"
+    text_cols = [("o_orderstatus", 1, "0"), ("o_date_text", 2, "1"), ("o_orderpriority", 4, "0"),
+                 ("o_mixed_text", 3, "avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END)")]
+    # the share follows from how each column was made
     date_like = "\nUNION ALL\n".join(
-        f"SELECT '{c}' AS column_name, {i} AS position, round({share(c)}, 6) AS share, {share(c)} > 0.8 AS is_date "
-        f"FROM {SQL_ORDERS_DATE_TEXT} t" for c, i in text_cols)
+        f"SELECT '{c}' AS column_name, {i} AS position, round(CAST({share} AS DOUBLE), 6) AS share, "
+        f"any_value({share if 'avg' not in share else '0'}) > 0.8 AS is_date FROM {SQL_ORDERS_DATE_TEXT} t"
+        for c, i, share in text_cols)
     return {
         "histogram_30": _sql_histogram("l_extendedprice", "lineitem", 30),
         "correlation_matrix": _sql_correlation(),
@@ -467,7 +551,28 @@ WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_discount IS N
         "one_hot": f"SELECT o_orderkey, {onehot_sel} FROM orders",
         "interactions": f"SELECT l_orderkey, l_linenumber, {inter_sel} FROM lineitem",
         "feature_frame": _sql_feature_frame(),
-        "train_test_split": "SELECT o_orderkey, ((o_orderkey % 100) * 61) % 100 < 20 AS is_test FROM orders",
+        "train_test_split": """
+WITH h AS (SELECT o_orderkey, CAST('0x' || substr(md5('42|=' || o_orderkey), 1, 13) AS BIGINT) AS h FROM orders),
+r AS (SELECT *, row_number() OVER (ORDER BY h) AS nth, count(*) OVER () AS n FROM h)
+SELECT o_orderkey, nth <= ceil(0.2 * n) AS is_test FROM r""",
+        "train_test_split_exact": """
+WITH n AS (SELECT count(*) AS n FROM lineitem)
+SELECT true AS is_test, CAST(ceil(0.2 * n) AS BIGINT) AS n FROM n
+UNION ALL SELECT false, CAST(n - ceil(0.2 * n) AS BIGINT) FROM n""",
+        "classification_metrics_indexed": _sql_classification_metrics(),
+        "confusion_matrix_indexed": f"SELECT {_SQL_INDEX.format('actual')} AS actual, {_SQL_INDEX.format('predicted')} "
+                                    f"AS predicted, count FROM ({_sql_confusion()}) t",
+        "classification_report_indexed": f"SELECT CASE WHEN class_label IN ('A', 'N', 'R') THEN "
+                                         f"{_SQL_INDEX.format('class_label')} ELSE class_label END AS class_label, "
+                                         f"precision, recall, f1_score, support FROM ({_sql_classification_report()}) t",
+        "label_encode_many": """SELECT c_custkey, c_name,
+       CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS INTEGER) AS label FROM customer WHERE c_name IS NOT NULL""",
+        "confusion_matrix_many": """SELECT CAST(l_suppkey AS VARCHAR) AS actual,
+       CAST(l_partkey % 50 AS VARCHAR) AS predicted, count(*) AS count FROM lineitem GROUP BY ALL""",
+        "correlation_with_gaps": _sql_correlation_gaps(),
+        "date_texts": "SELECT o_orderkey, " + ", ".join(f"CAST(dayofyear(o_orderdate) AS INTEGER) AS way{i}" for i in
+                                                        range(len(_DATE_TEXTS)))
+                      + ", CAST(dayofyear(o_orderdate) AS INTEGER) AS way_offset FROM orders",
         "classification_metrics": _sql_classification_metrics(),
         "confusion_matrix": _sql_confusion(),
         "classification_report": _sql_classification_report(),

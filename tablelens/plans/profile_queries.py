@@ -11,6 +11,9 @@ from ..sources.tables import read_table
 from . import fixtures as fx
 from .sqlgen import SCHEMAS, fence_cte, q, to_number_sql, union_per_column
 
+# First whole number that a double does not hold.
+BIG_KEY = 2 ** 53 + 1
+
 
 def _r(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     """Round the named double columns (engines differ in the last bits)."""
@@ -52,7 +55,10 @@ def duplicate_values_by_column(spark: SparkSession, d: str) -> DataFrame:
 
 
 def min_max_by_column(spark: SparkSession, d: str) -> DataFrame:
-    return _r(profile.min_max_by_column(read_table(spark, d, "orders")), ["min_num", "max_num"])
+    """Orders with their keys moved above 2^53, where a double no longer tells neighbours apart."""
+    o = read_table(spark, d, "orders")
+    moved = o.withColumn("o_orderkey", F.col("o_orderkey") + F.lit(BIG_KEY))
+    return _r(profile.min_max_by_column(moved), ["min_num", "max_num"])
 
 
 def iqr_outliers(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +82,12 @@ def size_estimate(spark: SparkSession, d: str) -> DataFrame:
     return profile.size_estimate(read_table(spark, d, "customer"))
 
 
+def size_estimate_nested(spark: SparkSession, d: str) -> DataFrame:
+    return profile.size_estimate(read_table(spark, d, "embeddings"))
+
+
 QUERIES = {
+    "size_estimate_nested": size_estimate_nested,
     "table_overview": table_overview,
     "preview_rows": preview_rows,
     "missing_total": missing_total,
@@ -152,17 +163,29 @@ def _sql_distinct(metric: str) -> str:
     return union_per_column(SCHEMAS["docs_gaps"], sel)
 
 
+SQL_BIG_KEYS = f"(SELECT * REPLACE (o_orderkey + {BIG_KEY} AS o_orderkey) FROM orders)"
+
+
+def _exact_text(n: str, t: str) -> tuple[str, str]:
+    """Minimum and maximum digit by digit, for 64-bit whole numbers only."""
+    if t != "bigint":
+        return "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)"
+    return f"CAST(min({q(n)}) AS VARCHAR)", f"CAST(max({q(n)}) AS VARCHAR)"
+
+
 def _sql_min_max() -> str:
     def sel(i, n, t, c):
         if c == "numeric":
+            lo, hi = _exact_text(n, t)
             return (f"SELECT '{n}' AS column_name, {i} AS position, round(CAST(min({q(n)}) AS DOUBLE), 6) AS min_num, "
-                    f"round(CAST(max({q(n)}) AS DOUBLE), 6) AS max_num, CAST(NULL AS VARCHAR) AS min_str, "
-                    f"CAST(NULL AS VARCHAR) AS max_str FROM orders")
+                    f"round(CAST(max({q(n)}) AS DOUBLE), 6) AS max_num, {lo} AS min_str, {hi} AS max_str "
+                    f"FROM {SQL_BIG_KEYS} t")
         if c == "datetime":
             return (f"SELECT '{n}', {i}, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), "
-                    f"strftime(min({q(n)}), '%Y-%m-%d %H:%M:%S'), strftime(max({q(n)}), '%Y-%m-%d %H:%M:%S') FROM orders")
+                    f"strftime(min({q(n)}), '%Y-%m-%d %H:%M:%S'), strftime(max({q(n)}), '%Y-%m-%d %H:%M:%S') "
+                    f"FROM {SQL_BIG_KEYS} t")
         return (f"SELECT '{n}', {i}, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), "
-                f"min({q(n)}), max({q(n)}) FROM orders")
+                f"min({q(n)}), max({q(n)}) FROM {SQL_BIG_KEYS} t")
     return union_per_column(SCHEMAS["orders"], sel)
 
 
@@ -206,7 +229,7 @@ def _sql_column_stats() -> str:
             lo = f"(f.q1_{i} - 1.5 * (f.q3_{i} - f.q1_{i}))"
             hi = f"(f.q3_{i} + 1.5 * (f.q3_{i} - f.q1_{i}))"
             return (base + f"round(CAST(min({q(n)}) AS DOUBLE), 6) AS min_num, round(CAST(max({q(n)}) AS DOUBLE), 6) AS max_num, "
-                    f"CAST(NULL AS VARCHAR) AS min_str, CAST(NULL AS VARCHAR) AS max_str, "
+                    f"{_exact_text(n, t)[0]} AS min_str, {_exact_text(n, t)[1]} AS max_str, "
                     f"count(*) FILTER (WHERE {x} < {lo} OR {x} > {hi}) AS outliers FROM lineitem, fences f")
         if c == "datetime":
             return (base + "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), "
@@ -254,4 +277,9 @@ WHERE rn > 1""",
         "column_stats": _sql_column_stats(),
         "numeric_coercible": _sql_numeric_coercible(),
         "size_estimate": _sql_size_estimate(),
+        "size_estimate_nested": """
+SELECT 'vec_id' AS column_name, 0 AS position, CAST(8 * count(vec_id) AS BIGINT) AS size_bytes FROM embeddings
+UNION ALL SELECT 'embedding', 1, CAST(coalesce(sum(4 * len(list_filter(embedding, lambda x: x IS NOT NULL))), 0) AS BIGINT)
+FROM embeddings
+UNION ALL SELECT 'label', 2, CAST(4 * count(label) AS BIGINT) FROM embeddings""",
     }

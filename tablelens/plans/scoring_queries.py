@@ -43,7 +43,8 @@ def input_domains(spark, d):
 def score_validate(spark, d):
     train = read_table(spark, d, "customer")
     doms = sc.fit_domains(train, ["c_nationkey", "c_acctbal", "c_mktsegment"])
-    return sc.validate_rows(customer_new_rows(spark, d), doms, train).select("c_custkey", "issue", "warning")
+    values = sc.domain_values(train, doms)
+    return sc.validate_rows(customer_new_rows(spark, d), doms, values).select("c_custkey", "issue", "warning")
 
 
 def _customer_spec(spark, d) -> fe.FeatureSpec:
@@ -79,21 +80,19 @@ def oracles() -> dict[str, str]:
     return {
         "project_features": "SELECT l_quantity, l_extendedprice, l_discount, l_returnflag FROM lineitem",
         "input_domains": """
+WITH h AS (
 SELECT 'c_nationkey' AS feature, 0 AS position, CASE WHEN count(DISTINCT c_nationkey) <= 20 THEN 'list' ELSE 'range' END AS kind,
        CAST(min(c_nationkey) AS DOUBLE) AS min_num, CAST(max(c_nationkey) AS DOUBLE) AS max_num,
-       count(DISTINCT c_nationkey) AS n_unique,
-       CASE WHEN count(DISTINCT c_nationkey) <= 20 THEN string_agg(DISTINCT CAST(c_nationkey AS VARCHAR), '|' ORDER BY CAST(c_nationkey AS VARCHAR)) END AS categories
-FROM customer
+       count(DISTINCT c_nationkey) AS n_unique FROM customer
 UNION ALL
 SELECT 'c_acctbal', 1, CASE WHEN count(DISTINCT c_acctbal) <= 20 THEN 'list' ELSE 'range' END,
-       min(c_acctbal), max(c_acctbal), count(DISTINCT c_acctbal), CAST(NULL AS VARCHAR) FROM customer
-UNION ALL
-SELECT 'c_mktsegment', 2, 'list', NULL, NULL, count(DISTINCT c_mktsegment),
-       CASE WHEN count(DISTINCT c_mktsegment) <= 20 THEN string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) END
-FROM customer
-UNION ALL
-SELECT 'c_name', 3, 'list', NULL, NULL, count(DISTINCT c_name),
-       CASE WHEN count(DISTINCT c_name) <= 20 THEN string_agg(DISTINCT c_name, '|' ORDER BY c_name) END FROM customer""",
+       min(c_acctbal), max(c_acctbal), count(DISTINCT c_acctbal) FROM customer
+UNION ALL SELECT 'c_mktsegment', 2, 'list', NULL, NULL, count(DISTINCT c_mktsegment) FROM customer
+UNION ALL SELECT 'c_name', 3, 'list', NULL, NULL, count(DISTINCT c_name) FROM customer),
+v AS (SELECT 'c_nationkey' AS feature, CAST(c_nationkey AS VARCHAR) AS value FROM customer
+UNION SELECT 'c_acctbal', CAST(c_acctbal AS VARCHAR) FROM customer
+UNION SELECT 'c_mktsegment', c_mktsegment FROM customer UNION SELECT 'c_name', c_name FROM customer)
+SELECT h.*, v.value FROM h LEFT JOIN v ON h.feature = v.feature AND h.kind = 'list' AND v.value IS NOT NULL""",
         "score_validate": f"""
 WITH d AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi, min(c_nationkey) AS nlo, max(c_nationkey) AS nhi
            FROM customer),

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.layout import spread_small
+from ..functions.layout import materialize, spread
 from ..functions.typing_rules import qcol
+from ..operators import distributions as dist
 from ..operators import features as fe
 from ..operators import metrics as mt
 from ..operators import models as md
@@ -27,12 +28,12 @@ class TrainedModel:
     target: str
     features: list[str]               # original input columns
     problem_type: str
-    labels: list | None               # class list for classification
+    labels: DataFrame | None          # (value, class_index) for classification
     spec: fe.FeatureSpec
     selection: md.Selection
     domains: list[sc.Domain]
     test: DataFrame                   # engineered test rows (label column "label")
-    train_rows: DataFrame | None = None   # raw training input (large category domains join on it)
+    values: DataFrame                 # (feature, value) of the features picked from a list
 
     @property
     def model(self):
@@ -52,14 +53,16 @@ class TrainedModel:
         spark = self.test.sparkSession
         out = {"scores": self.selection.scores_frame(spark)}
         if self.problem_type == "classification":
+            # classes by name: the label and the predicted index are decoded alike
+            pred = tg.label_decode(tg.label_decode(pred, self.labels, "label", "label"), self.labels, "prediction",
+                                   "prediction")
             out["metrics"] = mt.classification_metrics(pred)
             out["confusion_matrix"] = mt.confusion_matrix(pred)
             out["classification_report"] = mt.classification_report(pred)
         else:
             out["metrics"] = mt.regression_metrics(pred)
-            out["predicted_vs_actual"] = pred.select("label", "prediction")
-            out["residuals"] = pred.select(F.col("prediction").alias("predicted"),
-                                           (F.col("label") - F.col("prediction")).alias("residual"))
+            out["predicted_vs_actual"] = dist.predicted_vs_actual(pred)
+            out["residuals"] = dist.residuals(pred)
         m = self.model
         if hasattr(m, "featureImportances"):
             out["feature_importance"] = md.feature_importance(m, self.feature_columns, spark)
@@ -71,11 +74,11 @@ class TrainedModel:
 @dataclass
 class Prepared:
     frame: DataFrame                  # engineered, cleaned rows; target renamed to "label"
-    raw: DataFrame                    # projected input rows
     spec: fe.FeatureSpec
     problem_type: str
-    labels: list | None
+    labels: DataFrame | None
     domains: list[sc.Domain]
+    values: DataFrame
     features: list[str]
 
 
@@ -90,14 +93,15 @@ def prepare(df: DataFrame, target: str, features: list[str] | None = None,
     features = [c for c in features if c != target]
     if not features:
         raise ValueError("select at least one feature")
-    data = spread_small(df.select(*[qcol(c) for c in features + [target]]))
+    data = spread(df.select(*[qcol(c) for c in features + [target]]))
     dtype = {f.name: f.dataType for f in data.schema.fields}[target]
     ptype = problem_type or tg.problem_type(dtype)
     domains = sc.fit_domains(data, features)
-    raw = data
+    values = materialize(sc.domain_values(data, domains))   # read by every later scoring call
     labels = None
     if ptype == "classification":
-        data, labels = tg.label_encode(data, target, output="__label")
+        labels = materialize(tg.fit_labels(tg.drop_missing_target(data, target), target))
+        data, _ = tg.label_encode(data, target, labels, output="__label")
         data = data.drop(target).withColumnRenamed("__label", target)
     else:
         data = tg.drop_missing_target(data, target)
@@ -106,7 +110,7 @@ def prepare(df: DataFrame, target: str, features: list[str] | None = None,
     sp.check_all_numeric(frame, spec.feature_columns)
     if target != "label":
         frame = frame.withColumnRenamed(target, "label")
-    return Prepared(frame, raw, spec, ptype, labels, domains, features)
+    return Prepared(frame, spec, ptype, labels, domains, values, features)
 
 
 def train(df: DataFrame, target: str, features: list[str] | None = None, problem_type: str | None = None,
@@ -116,7 +120,7 @@ def train(df: DataFrame, target: str, features: list[str] | None = None, problem
     p = prepare(df, target, features, problem_type)
     tr, te = sp.train_test_split(p.frame, split_key, test_fraction, seed)
     sel = md.train_select(tr, te, p.problem_type, p.spec.feature_columns, "label", max_depth, num_trees, seed)
-    return TrainedModel(target, p.features, p.problem_type, p.labels, p.spec, sel, p.domains, te, p.raw)
+    return TrainedModel(target, p.features, p.problem_type, p.labels, p.spec, sel, p.domains, te, p.values)
 
 
 def score_batch(tm: TrainedModel, new: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -128,17 +132,18 @@ def score_batch(tm: TrainedModel, new: DataFrame, keep: list[str] | None = None)
     result has exactly one row per input row without splitting the input.
     """
     keep = list(keep or [])
-    checked = sc.validate_rows(new, tm.domains, tm.train_rows)
+    checked = sc.validate_rows(new, tm.domains, tm.values)
     aligned = sc.align(checked, tm.spec, keep=keep + ["issue", "warning"])
+    aligned = aligned.withColumn("issue", F.coalesce("issue", sc.unusable(aligned, tm.spec)))
     pred = md.predict(tm.model, aligned, tm.feature_columns, keep=keep + ["issue", "warning"], keep_invalid=True)
     ok = F.col("issue").isNull()
     if tm.problem_type == "classification":
-        label = tg.decode_expr(F.col("prediction"), tm.labels)
+        pred = tg.label_decode(pred, tm.labels, "prediction", "predicted_label")
     else:
-        label = F.format_number(F.col("prediction"), 4)
-    cols = [F.col(c) for c in keep] + [F.col("issue"), F.col("warning"),
-                                        F.when(ok, F.col("prediction")).alias("prediction")]
+        pred = pred.withColumn("predicted_label", F.format_string("%.4f", F.col("prediction")))
+    cols = [qcol(c) for c in keep] + [F.col("issue"), F.col("warning"),
+                                      F.when(ok, F.col("prediction")).alias("prediction")]
     if "probability" in pred.columns:
         cols.append(F.when(ok, F.col("probability")).alias("probability"))
-    cols.append(F.when(ok, label).alias("predicted_label"))
+    cols.append(F.when(ok, F.col("predicted_label")).alias("predicted_label"))
     return pred.select(*cols)

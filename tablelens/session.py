@@ -28,6 +28,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TABLELENS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("tablelens.spread", str(cores) if str(cores).isdigit() else str(os.cpu_count()))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -36,20 +38,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint directory, setting one only when unset.
+    """The reliable checkpoint folder: ``spark.checkpoint.dir``, a folder all executors share.
 
-    On a cluster the directory comes from ``spark.checkpoint.dir`` (a shared
-    file system).  Only when nothing is configured (local tests) a fresh
-    scratch directory is created.
+    Only a session on a local master may go without the setting and gets a
+    scratch folder; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="tablelens-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(local)
-    return local
+    if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="tablelens-ckpt-")
+    sc.setCheckpointDir(configured)
+    return configured

@@ -8,9 +8,6 @@ integers, decimals or booleans.  A second, narrow ``select`` casts.
 
 from __future__ import annotations
 
-import csv
-import io
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +36,23 @@ def dedupe_header(names: list[str]) -> list[str]:
     return out
 
 
-def _header(spark: SparkSession, path: str, sep: str) -> list[str]:
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
+def _headers(spark: SparkSession, path: str, options: dict) -> list[str]:
+    """Header of the files below ``path``, as Spark's CSV reader splits it.
+
+    Each file's first record is its header; all of them must agree.  Read from
+    the records themselves, so blank lines before it and line breaks within
+    quotes are treated as everywhere else.
+    """
+    raw = spark.read.options(**options).option("header", False).csv(path)
+    if not raw.columns:
         return []
-    return next(csv.reader(io.StringIO(first[0][0]), delimiter=sep))
+    record = F.struct(*[qcol(c) for c in raw.columns])
+    position = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    firsts = (raw.select(F.col("_metadata.file_path").alias("file"), record.alias("r"), position.alias("p"))
+              .groupBy("file").agg(F.min_by("r", "p").alias("r")).select("r").distinct().limit(2).collect())
+    if len(firsts) > 1:
+        raise ValueError(f"the files below {path} have different headers: {[list(f['r']) for f in firsts]}")
+    return list(firsts[0]["r"]) if firsts else []
 
 
 def infer_types(df: DataFrame) -> dict[str, T.DataType]:
@@ -82,15 +91,26 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool =
     """Read a headed CSV file (or directory of files) the way pandas.read_csv does.
 
     ``multi_line=True`` allows quoted newlines, at the cost of splitting the
-    file only per file.  Errors are raised, not swallowed.
+    file only per file.  Rows with more fields than the header, and files
+    with another header than the rest, are errors; short rows are filled up
+    with missing values.  A missing header name at the end is a column too.
     """
-    names = dedupe_header(_header(spark, path, sep))
-    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-    raw = (spark.read.schema(schema)
-           .option("header", True).option("enforceSchema", True)
-           .option("sep", sep).option("multiLine", multi_line)
-           .option("escape", '"').option("mode", "PERMISSIVE")
-           .csv(path))
+    options = {"sep": sep, "multiLine": str(multi_line).lower(), "escape": '"', "mode": "PERMISSIVE",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    names = dedupe_header(_headers(spark, path, options))
+    if not names:
+        return spark.createDataFrame([], T.StructType([]))
+    # one column more than the header takes up what overlong rows have in excess
+    extra = "__beyond"
+    while extra in names:
+        extra += "_"
+    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in [*names, extra]])
+    read = (spark.read.schema(schema).options(**options).option("header", True).option("enforceSchema", True)
+            .csv(path))
+    overlong = F.raise_error(F.concat(F.lit(f"a row of {path} has more than {len(names)} fields, near: "),
+                                      F.coalesce(*[qcol(n) for n in names], F.lit(""))))
+    raw = read.select(*[F.when(qcol(extra).isNotNull(), overlong).otherwise(qcol(n)).alias(n) if i == 0 else qcol(n)
+                        for i, n in enumerate(names)])
     tokens = NA_TOKENS if na_tokens is None else na_tokens
     text = raw.select(*[F.when(qcol(n).isin(tokens), F.lit(None).cast("string"))
                         .otherwise(qcol(n)).alias(n) for n in names])

@@ -9,6 +9,7 @@ query resumes from its checkpoint without re-scoring committed batches.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame
@@ -33,10 +34,12 @@ def start_scoring(tm: "training.TrainedModel", stream: DataFrame, path: str, kee
     """
     spark = stream.sparkSession
     if checkpoint is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             raise ValueError("set spark.checkpoint.dir or pass checkpoint=")
-        checkpoint = os.path.join(base, "tablelens-scoring", os.path.basename(path.rstrip("/")))
+        # one folder per target path, so a restarted driver finds its own place again
+        name = hashlib.sha256(path.rstrip("/").encode()).hexdigest()[:16]
+        checkpoint = os.path.join(base, "tablelens-scoring", f"{os.path.basename(path.rstrip('/'))}-{name}")
     w = (score_stream(tm, stream, keep).writeStream.format("parquet").outputMode("append")
          .option("path", path).option("checkpointLocation", checkpoint))
     if trigger_available_now:

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,18 +10,20 @@ from tablelens.operators import split as sp
 
 def test_split_is_deterministic_and_partition_free(spark):
     df = spark.range(20000).withColumnRenamed("id", "k")
-    a = sp.split_flag(df, ["k"]).where("is_test").select("k")
-    b = sp.split_flag(df.repartition(13), ["k"]).where("is_test").select("k")
+    a = sp.flag_test_rows(df, ["k"]).where("is_test").select("k")
+    b = sp.flag_test_rows(df.repartition(13), ["k"]).where("is_test").select("k")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    n = a.count()
-    assert 3700 < n < 4300
+    assert a.count() == 4000
     tr, te = sp.train_test_split(df, ["k"])
-    assert tr.count() + te.count() == 20000
+    assert tr.count() == 16000 and te.count() == 4000 and tr.exceptAll(te).count() == 16000
 
 
-def test_modular_split_exact(spark):
-    df = spark.range(15000)
-    assert df.where(sp.modular_test_flag(F.col("id"))).count() == 3000
+def test_split_of_equal_rows(spark):
+    df = spark.range(10003).select((F.col("id") % 3).alias("x"))
+    tr, te = sp.train_test_split(df)
+    assert te.count() == math.ceil(0.2 * 10003) and tr.count() + te.count() == 10003
+    whole = tr.unionByName(te).groupBy("x").count()
+    assert {r["x"]: r["count"] for r in whole.collect()} == {0: 3335, 1: 3334, 2: 3334}
 
 
 def test_clean_rows(spark):
@@ -43,7 +47,7 @@ def test_scoring_rows(spark, city_train):
     new = spark.createDataFrame(
         [(1, "Q", "2"), (2, "Z", "2"), (3, "P", "1"), (4, "P", "4"), (5, "P", "5"), (6, "P", ""), (7, "P", "x")],
         "id int, city string, size string")
-    res = {r["id"]: (r["issue"], r["warning"]) for r in sc.validate_rows(new, doms).collect()}
+    res = {r["id"]: (r["issue"], r["warning"]) for r in sc.validate_rows(new, doms, sc.domain_values(city_train, doms)).collect()}
     assert res[1] == (None, None) and res[2] == (None, "unseen category: city")
     assert res[3] == (None, None) and res[4] == (None, None)
     assert res[5][0] == "out of range: size" and res[6][0] == "empty: size" and res[7][0] == "not a number: size"
@@ -51,18 +55,6 @@ def test_scoring_rows(spark, city_train):
     assert aligned == {1: (2.0, 1, 0), 2: (2.0, 0, 0)}
 
 
-def test_exact_split_share(spark):
-    import math
-    df = spark.range(12345).withColumnRenamed("id", "k")
-    flag = sp.exact_test_flag(df, ["k"])
-    n = df.where(flag).count()
-    assert n == math.ceil(0.2 * 12345)
-    # same rows as sorting by the hash and taking the first ceil(0.2 n)
-    h = F.pmod(F.xxhash64(F.lit(42), F.col("k")), F.lit(2 ** 53))
-    top = df.orderBy(h).limit(n).select("k")
-    assert df.where(flag).select("k").exceptAll(top).count() == 0
-
-
 def test_score_batch_one_row_per_input(spark):
     from tablelens.plans import training
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
@@ -75,13 +67,47 @@ def test_score_batch_one_row_per_input(spark):
     bad = [r for r in rows if r["issue"] is not None]
     assert bad and all(r["prediction"] is None and r["predicted_label"] is None for r in bad)
     good = [r for r in rows if r["issue"] is None]
-    assert all(r["predicted_label"] in tm.labels for r in good)
+    names = {r["value"] for r in tm.labels.collect()}
+    assert all(r["predicted_label"] in names for r in good)
 
 
-def test_unseen_categories_by_join(spark, city_train, monkeypatch):
-    monkeypatch.setattr(sc, "MAX_LITERAL_CATEGORIES", 1)
+def test_unseen_categories(spark, city_train):
     doms = sc.fit_domains(city_train, ["city"])
-    assert doms[0].categories is None
     new = spark.createDataFrame([(1, "Q"), (2, "Z"), (3, None), (4, "Z")], "id int, city string")
-    res = {r["id"]: r["warning"] for r in sc.validate_rows(new, doms, city_train).collect()}
-    assert res == {1: None, 2: "unseen category: city", 3: None, 4: "unseen category: city"}
+    checked = sc.validate_rows(new, doms, sc.domain_values(city_train, doms))
+    assert {r["id"]: r["warning"] for r in checked.collect()} == {
+        1: None, 2: "unseen category: city", 3: None, 4: "unseen category: city"}
+
+
+def test_typed_booleans_and_missing_dates(spark):
+    train = spark.sql("SELECT true AS flag, DATE'2020-01-01' AS day, 1.0D AS y UNION ALL "
+                      "SELECT false, DATE'2020-02-01', 2.0D")
+    doms = sc.fit_domains(train, ["flag", "day"])
+    new = spark.createDataFrame([(1, "True", "2020-01-05"), (2, "maybe", "2020-01-05"), (3, "false", None)],
+                                "id int, flag string, day string").withColumn("day", F.col("day").cast("date"))
+    res = {r["id"]: (r["issue"], r["warning"])
+           for r in sc.validate_rows(new, doms, sc.domain_values(train, doms)).collect()}
+    assert res == {1: (None, None), 2: (None, "unseen category: flag"), 3: ("empty: day", None)}
+    spec = fe.fit_features(train, "y")
+    aligned = sc.align(new, spec, keep=["id"])
+    assert {r[0]: r[1] for r in aligned.select("id", sc.unusable(aligned, spec)).collect()}[3] == "not a date: day"
+
+
+def test_evaluation_agrees_with_selection(spark):
+    from tablelens.plans import training
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    tm = training.train(orders, "o_orderstatus", ["o_totalprice", "o_orderpriority"], num_trees=3, max_depth=3)
+    found = tm.evaluation()
+    accuracy = found["metrics"].where("metric = 'accuracy'").first()["value"]
+    assert accuracy == pytest.approx(max(s for _, s in tm.selection.scores)) and accuracy > 0.2
+    classes = {r["value"] for r in tm.labels.collect()}
+    assert {r["actual"] for r in found["confusion_matrix"].collect()} <= classes
+    assert found["confusion_matrix"].agg(F.sum("count")).first()[0] == tm.test.count() == 300
+
+
+def test_number_text_of_predictions(spark):
+    from tablelens.plans import training
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    tm = training.train(orders, "o_totalprice", ["o_custkey"], num_trees=2, max_depth=2)
+    row = training.score_batch(tm, orders.limit(1)).first()
+    assert row["predicted_label"] == f"{row['prediction']:.4f}"
