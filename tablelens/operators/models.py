@@ -90,18 +90,23 @@ class Selection:
     best_model: object
     scores: list[tuple[str, float]]
     problem_type: str
+    max_depth: int
 
     def scores_frame(self, spark: SparkSession) -> DataFrame:
-        """(model, position, score, is_best): one row per candidate (a handful of rows)."""
-        rows = [(n, i, float(s), n == self.best_name) for i, (n, s) in enumerate(self.scores)]
-        return spark.createDataFrame(rows, "model string, position int, score double, is_best boolean")
+        """(model, position, score, is_best, max_depth): one row per candidate (a handful of rows);
+        ``max_depth`` is the depth trees were allowed, NULL for other models."""
+        rows = [(n, i, float(s), n == self.best_name, self.max_depth if "Tree" in n or "Forest" in n else None)
+                for i, (n, s) in enumerate(self.scores)]
+        return spark.createDataFrame(rows, "model string, position int, score double, is_best boolean, max_depth int")
 
 
 def train_select(train: DataFrame, test: DataFrame, problem_type: str, features: list[str],
                  label: str = "label", max_depth: int = DEFAULT_MAX_DEPTH, num_trees: int = FOREST_TREES,
-                 seed: int = SEED, parallelism: int = 3) -> Selection:
+                 seed: int = SEED, parallelism: int = 3, only: list[str] | None = None) -> Selection:
     """Fit every candidate on ``train``, score it on ``test``, keep the first best (strict >).
 
+    ``only`` narrows the candidates by name.
+
     Candidates are fitted concurrently from ``parallelism`` driver threads
     (as MLlib's tuning estimators do), so light models run alongside the
     forest; the choice is made afterwards in candidate order, so ties still
@@ -115,7 +120,8 @@ def train_select(train: DataFrame, test: DataFrame, problem_type: str, features:
     try:
         n_train = tr.count()
         te.count()
-        cands = candidates(problem_type, n_train, label, max_depth, num_trees, seed)
+        cands = [c for c in candidates(problem_type, n_train, label, max_depth, num_trees, seed)
+                 if only is None or c[0] in only]
 
         def fit_score(est):
             model = est.fit(tr)
@@ -132,7 +138,7 @@ def train_select(train: DataFrame, test: DataFrame, problem_type: str, features:
     finally:
         tr.unpersist()
         te.unpersist()
-    return Selection(best_name, best_model, scores, problem_type)
+    return Selection(best_name, best_model, scores, problem_type, max_depth)
 
 
 def _ranked(rows: list[tuple], key, top: int | None) -> list[tuple]:

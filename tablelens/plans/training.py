@@ -115,11 +115,17 @@ def prepare(df: DataFrame, target: str, features: list[str] | None = None,
 
 def train(df: DataFrame, target: str, features: list[str] | None = None, problem_type: str | None = None,
           test_fraction: float = sp.TEST_FRACTION, seed: int = sp.SEED, split_key: list[str] | None = None,
-          max_depth: int = md.DEFAULT_MAX_DEPTH, num_trees: int = md.FOREST_TREES) -> TrainedModel:
-    """Fit and select a model for ``target`` from ``features`` (default: all other columns)."""
+          max_depth: int = md.DEFAULT_MAX_DEPTH, num_trees: int = md.FOREST_TREES,
+          only: list[str] | None = None) -> TrainedModel:
+    """Fit and select a model for ``target`` from ``features`` (default: all other columns).
+
+    ``split_key`` names engineered columns that decide the side of a row;
+    ``only`` narrows the candidate models by name.
+    """
     p = prepare(df, target, features, problem_type)
     tr, te = sp.train_test_split(p.frame, split_key, test_fraction, seed)
-    sel = md.train_select(tr, te, p.problem_type, p.spec.feature_columns, "label", max_depth, num_trees, seed)
+    sel = md.train_select(tr, te, p.problem_type, p.spec.feature_columns, "label", max_depth, num_trees, seed,
+                         only=only)
     return TrainedModel(target, p.features, p.problem_type, p.labels, p.spec, sel, p.domains, te, p.values)
 
 
@@ -131,18 +137,20 @@ def score_batch(tm: TrainedModel, new: DataFrame, keep: list[str] | None = None)
     issue carry NaN in the feature vector and get NULL outputs, so the
     result has exactly one row per input row without splitting the input.
     """
-    keep = list(keep or [])
-    checked = sc.validate_rows(new, tm.domains, tm.values)
-    aligned = sc.align(checked, tm.spec, keep=keep + ["issue", "warning"])
+    # kept columns travel in one struct, so they may share names with features
+    kept = F.struct(*[qcol(c) for c in keep]) if keep else F.struct(F.lit(1).alias("__none"))
+    checked = sc.validate_rows(new.withColumn("__keep", kept), tm.domains, tm.values)
+    carried = ["__keep", "issue", "warning"]
+    aligned = sc.align(checked, tm.spec, keep=carried)
     aligned = aligned.withColumn("issue", F.coalesce("issue", sc.unusable(aligned, tm.spec)))
-    pred = md.predict(tm.model, aligned, tm.feature_columns, keep=keep + ["issue", "warning"], keep_invalid=True)
+    pred = md.predict(tm.model, aligned, tm.feature_columns, keep=carried, keep_invalid=True)
     ok = F.col("issue").isNull()
     if tm.problem_type == "classification":
         pred = tg.label_decode(pred, tm.labels, "prediction", "predicted_label")
     else:
         pred = pred.withColumn("predicted_label", F.format_string("%.4f", F.col("prediction")))
-    cols = [qcol(c) for c in keep] + [F.col("issue"), F.col("warning"),
-                                      F.when(ok, F.col("prediction")).alias("prediction")]
+    cols = [F.col("__keep").getField(c).alias(c) for c in keep or []]
+    cols += [F.col("issue"), F.col("warning"), F.when(ok, F.col("prediction")).alias("prediction")]
     if "probability" in pred.columns:
         cols.append(F.when(ok, F.col("probability")).alias("probability"))
     cols.append(F.when(ok, F.col("predicted_label")).alias("predicted_label"))
