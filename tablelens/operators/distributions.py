@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.layout import AGGS_PER_PASS, aggregate_in_passes, spread
+from ..functions.layout import aggregate_in_passes, spread
 from ..functions.typing_rules import nan_to_null, qcol, to_number, type_class
 
 _INF = float("inf")
@@ -89,118 +90,79 @@ def plot_numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for i, f in enumerate(cand) if row[f"c{i}"] > 0]
 
 
-_MAX_AGGS_PER_PASS = AGGS_PER_PASS
-_agg_in_passes = aggregate_in_passes
+def _product_sums(df: DataFrame, columns: list[str], means: list[float]) -> np.ndarray:
+    """Sums of products of all pairs among (shifted values, presence, squares) of the columns, in one scan.
 
-
-def _pair_sums_long(df: DataFrame, columns: list[str], ys: dict[str, Column]) -> dict[str, float | None]:
-    """Pairwise-complete sums for many columns in ONE scan.
-
-    Every row emits one record per column pair (and per column) where both
-    values are present; a group-by on the pair index - partially aggregated
-    map-side, so the shuffle holds at most pairs x tasks records - gives
-    n, sums, sums of squares and the product sum.  The result has
-    k(k+1)/2 rows (bounded by the schema).  Keys match the wide form.
+    Every task multiplies its rows into one matrix of (3 x columns)^2 numbers,
+    whatever its rows; the matrices are added up by place.
     """
-    idx = {c: i for i, c in enumerate(columns)}
-    recs = []
-    for a in columns:
-        for b in columns[idx[a]:]:
-            both = ys[a].isNotNull() & ys[b].isNotNull()
-            recs.append(F.when(both, F.struct(F.lit(idx[a]).alias("i"), F.lit(idx[b]).alias("j"),
-                                               ys[a].alias("a"), ys[b].alias("b"))))
-    g = (df.select(F.explode(F.array(*recs)).alias("r")).where(F.col("r").isNotNull()).select("r.*")
-         .groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"),
-                                F.sum(F.col("a") * F.col("a")).alias("qa"), F.sum(F.col("b") * F.col("b")).alias("qb"),
-                                F.sum(F.col("a") * F.col("b")).alias("p"))
-         .collect())
-    out: dict[str, float | None] = {}
-    for r in g:
-        i, j = r["i"], r["j"]
-        if i == j:
-            out[f"s{i}"], out[f"q{i}"] = r["sa"], r["qa"]
-        else:
-            out[f"n{i}_{j}"] = r["n"]
-            out[f"sa{i}_{j}"], out[f"sb{i}_{j}"] = r["sa"], r["sb"]
-            out[f"qa{i}_{j}"], out[f"qb{i}_{j}"], out[f"p{i}_{j}"] = r["qa"], r["qb"], r["p"]
+    shift = np.array(means)
+    width = 3 * len(columns)
+    upper = np.triu_indices(width)
+
+    def run(batches):
+        total = np.zeros((width, width))
+        with np.errstate(invalid="ignore"):       # an infinity only spoils the pairs of its own column
+            for b in batches:
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype(float)
+                there = ~np.isnan(x)
+                y = np.where(there, x - shift, 0.0)
+                z = np.concatenate([y, there, y * y], axis=1)
+                total += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(upper[0]))), pa.array(total[upper])],
+                                         names=["place", "value"])
+
+    sums = (df.select(*[qcol(c) for c in columns]).mapInArrow(run, "place long, value double")
+            .groupBy("place").agg(F.sum("value").alias("value")).collect())   # (3 x columns)^2 / 2 rows
+    out = np.zeros((width, width))
+    for r in sums:
+        i, j = upper[0][r["place"]], upper[1][r["place"]]
+        out[i, j] = out[j, i] = r["value"]
     return out
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_a, column_b, corr): Pearson correlation on pairwise complete rows.
 
-    Two-pass and numerically stable: the first pass finds every column's
-    mean and whether it has missing values; the second sums products of the
-    mean-shifted values.  Pairs of columns without missing values share the
-    per-column sums and need ONE product sum each; only pairs touching a
-    column with gaps carry their own masked sums.  Every pass is a plain
-    aggregate of sums (split when very wide), so it stays in generated code.
-    Constant columns, or pairs with fewer than two complete rows, give NULL
-    (pandas NaN); the diagonal is 1 unless the column is constant.
+    Two passes at any width: the first finds every column's mean and bounds,
+    the second all sums of products of the mean-shifted values, their squares
+    and their presence, from which each pair takes those of its own complete
+    rows.  Constant columns, columns with an infinity, or pairs with fewer
+    than two complete rows give NULL (pandas NaN); the diagonal is 1 else.
     """
     df = nan_to_null(df)
     if columns is None:
         columns = plot_numeric_columns(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     df = spread(df.select(*[to_number(qcol(c), types[c], "plot").alias(c) for c in columns]))
-    xs = {c: qcol(c) for c in columns}
-    idx = {c: i for i, c in enumerate(columns)}
-    first = [("n", F.count(F.lit(1)))]
-    for c in columns:
-        first += [(f"c{idx[c]}", F.count(xs[c])), (f"m{idx[c]}", F.avg(xs[c]))]
-    p1 = _agg_in_passes(df, first)
-    n_rows = p1["n"]
-    mean = {c: p1[f"m{idx[c]}"] or 0.0 for c in columns}
-    full = {c: p1[f"c{idx[c]}"] == n_rows for c in columns}
-    ys = {c: xs[c] - F.lit(mean[c]) for c in columns}
-    second: list[tuple[str, Column]] = []
-    for c in columns:
-        i = idx[c]
-        second += [(f"s{i}", F.sum(ys[c])), (f"q{i}", F.sum(ys[c] * ys[c]))]
-    for a, b in combinations(columns, 2):
-        i, j = idx[a], idx[b]
-        if full[a] and full[b]:
-            second.append((f"p{i}_{j}", F.sum(ys[a] * ys[b])))
-        else:
-            m = xs[a].isNotNull() & xs[b].isNotNull()
-            ya, yb = F.when(m, ys[a]), F.when(m, ys[b])
-            second += [(f"n{i}_{j}", F.count(ya)), (f"sa{i}_{j}", F.sum(ya)), (f"sb{i}_{j}", F.sum(yb)),
-                       (f"qa{i}_{j}", F.sum(ya * ya)), (f"qb{i}_{j}", F.sum(yb * yb)),
-                       (f"p{i}_{j}", F.sum(ya * yb))]
-    if len(second) > _MAX_AGGS_PER_PASS:
-        p2 = _pair_sums_long(df, columns, ys)     # wide input: one scan instead of many passes
-    else:
-        p2 = _agg_in_passes(df, second) if columns else {}
-
-    def moments(n, sa, sb, qa, qb, p):
-        if not n:
+    schema = "column_a string, column_b string, corr double"
+    if not columns:
+        return df.sparkSession.createDataFrame([], schema)
+    first = []
+    for i, c in enumerate(columns):
+        first += [(f"m{i}", F.avg(qcol(c))), (f"a{i}", F.min(qcol(c))), (f"b{i}", F.max(qcol(c)))]
+    p1 = aggregate_in_passes(df, first)
+    k = len(columns)
+    flat = [p1[f"a{i}"] is None or p1[f"a{i}"] == p1[f"b{i}"] or not math.isfinite(p1[f"b{i}"] - p1[f"a{i}"])
+            for i in range(k)]
+    g = _product_sums(df, columns, [0.0 if flat[i] else p1[f"m{i}"] for i in range(k)])
+    y, there, square = (slice(j * k, (j + 1) * k) for j in range(3))
+    n, s, q, p = g[there, there], g[y, there], g[square, there], g[y, y]   # rows: the column that is summed
+
+    def corr(i: int, j: int) -> float | None:
+        if flat[i] or flat[j] or n[i, j] < 2:
             return None
-        ma, mb = sa / n, sb / n
-        va, vb = qa / n - ma * ma, qb / n - mb * mb
-        if not (va > 0 and vb > 0):       # constant, or not a number because of an infinity
-            return None
-        r = (p / n - ma * mb) / (va * vb) ** 0.5
-        if not math.isfinite(r):
+        if i == j:
+            return 1.0
+        ma, mb = s[i, j] / n[i, j], s[j, i] / n[i, j]
+        va, vb = q[i, j] / n[i, j] - ma * ma, q[j, i] / n[i, j] - mb * mb
+        if not (va > 0 and vb > 0):
             return None
-        return max(-1.0, min(1.0, r))
-
-    rows = []
-    for c in columns:
-        i = idx[c]
-        n = p1[f"c{i}"]
-        v = None if not n else (p2.get(f"q{i}") or 0.0) / n - ((p2.get(f"s{i}") or 0.0) / n) ** 2
-        rows.append((c, c, 1.0 if v is not None and v > 0 else None))
-    for a, b in combinations(columns, 2):
-        i, j = idx[a], idx[b]
-        if f"n{i}_{j}" in p2 or not (full[a] and full[b]):
-            r = moments(p2.get(f"n{i}_{j}"), p2.get(f"sa{i}_{j}") or 0.0, p2.get(f"sb{i}_{j}") or 0.0,
-                        p2.get(f"qa{i}_{j}") or 0.0, p2.get(f"qb{i}_{j}") or 0.0, p2.get(f"p{i}_{j}") or 0.0)
-        else:
-            r = moments(n_rows, p2[f"s{i}"] or 0.0, p2[f"s{j}"] or 0.0, p2[f"q{i}"] or 0.0, p2[f"q{j}"] or 0.0,
-                        p2[f"p{i}_{j}"] or 0.0)
-        rows += [(a, b, r), (b, a, r)]
-    # k x k summary numbers computed from the two aggregates above (bounded by the column count)
-    return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, corr double")
+        return float(max(-1.0, min(1.0, (p[i, j] / n[i, j] - ma * mb) / (va * vb) ** 0.5)))
+
+    # k x k summary numbers computed from the aggregates above (bounded by the column count)
+    rows = [(columns[i], columns[j], corr(i, j)) for i in range(k) for j in range(k)]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def scatter_pairs(df: DataFrame, x: str, y: str) -> DataFrame:

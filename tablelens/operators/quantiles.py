@@ -9,7 +9,10 @@ column inside a single task, which does not survive a column with billions of
 distinct values.  Here every order statistic is found by bracketing instead:
 
 * one pass counts values and finds the finite min / max of each column;
-* each further pass splits every open bracket [lo, hi] into ``buckets``
+* a quantile sketch of known rank error and one counting pass place the first
+  brackets, which hold a few ten-thousandths of the rows each; up to
+  ``collect_limit`` values they are read off at once, and that is all;
+* for larger ones each further pass splits every open bracket [lo, hi] into ``buckets``
   equal-width buckets (a monotone map, so buckets are contiguous value
   ranges) and aggregates (count, min, max) per bucket.  The result has at
   most (#brackets x buckets) rows whatever the data size, and a hot value
@@ -76,6 +79,53 @@ def _column_stats(df: DataFrame, columns: list[str]) -> dict:
 
 
 PASS_BUDGET = 1 << 20     # most rows any refinement pass may send to the driver
+SEED_ACCURACY = 10_000    # of the sketch that places the first brackets
+
+
+def _seeds(df: DataFrame, columns: list[str], wanted: dict[int, dict[int, int]], sizes: dict[int, int]
+           ) -> dict[tuple[int, float, float], dict]:
+    """First brackets around the wanted ranks of the finite values, from a sketch and one counting pass.
+
+    ``wanted`` maps a column to {rank among its finite values: rank}.  The
+    sketch is off by at most n / SEED_ACCURACY ranks, so the values twice that
+    far on both sides enclose a rank; the count says so for certain.
+    """
+    inf = F.lit(_INF)
+    groups, aggs = [], []
+    for i, ranks in wanted.items():
+        n = sizes[i]
+        reach = 2.0 / SEED_ACCURACY
+        clusters: list[list[int]] = []
+        for r in sorted(ranks):
+            if clusters and r - clusters[-1][-1] <= reach * n:
+                clusters[-1].append(r)
+            else:
+                clusters.append([r])
+        probs = []
+        for c in clusters:
+            probs += [max(0.0, c[0] / n - reach), min(1.0, (c[-1] + 1) / n + reach)]
+        x = qcol(columns[i])
+        aggs.append((f"q{i}", F.percentile_approx(F.when(F.abs(x) != inf, x), probs, SEED_ACCURACY)))
+        groups.append((i, clusters))
+    found = aggregate_in_passes(df, aggs)
+    places, counts = [], []
+    for i, clusters in groups:
+        x = qcol(columns[i])
+        for j, c in enumerate(clusters):
+            lo, hi = float(found[f"q{i}"][2 * j]), float(found[f"q{i}"][2 * j + 1])
+            k = len(places)
+            places.append((i, lo, hi, c))
+            counts += [(f"b{k}", F.count(F.when((x < F.lit(lo)) & (x != -inf), 1))),
+                       (f"c{k}", F.count(F.when(x.between(F.lit(lo), F.lit(hi)), 1)))]
+    row = aggregate_in_passes(df, counts)
+    out: dict[tuple[int, float, float], dict] = {}
+    for k, (i, lo, hi, c) in enumerate(places):
+        below, inside = row[f"b{k}"], row[f"c{k}"]
+        held = {r for r in c if below <= r < below + inside}
+        if held:
+            b = out.setdefault((i, lo, hi), {"below": below, "cnt": inside, "ranks": set()})
+            b["ranks"] |= held
+    return out
 
 
 def select_ranks(df: DataFrame, columns: list[str], ranks: dict[int, set[int]], srow,
@@ -90,21 +140,26 @@ def select_ranks(df: DataFrame, columns: list[str], ranks: dict[int, set[int]],
     half shared as buckets among the rest (at least 16 buckets each).
     """
     values: dict[tuple[int, int], float] = {}
-    brackets: dict[tuple[int, float, float], dict] = {}
-    offsets = {}
+    offsets, finite, wanted = {}, {}, {}
     for i, wanted_ranks in ranks.items():
         n = srow[f"n{i}"]
         n_neg, n_pos = srow[f"ni{i}"], srow[f"pi{i}"]
-        offsets[i] = n_neg
+        offsets[i], finite[i] = n_neg, n - n_neg - n_pos
         for r in wanted_ranks:
             if r < n_neg:
                 values[(i, r)] = -_INF
             elif r >= n - n_pos:
                 values[(i, r)] = _INF
             else:
-                key = (i, srow[f"lo{i}"], srow[f"hi{i}"])
-                b = brackets.setdefault(key, {"below": 0, "cnt": n - n_neg - n_pos, "ranks": set()})
-                b["ranks"].add(r - n_neg)
+                wanted.setdefault(i, {})[r - n_neg] = r
+    brackets = _seeds(df, columns, wanted, finite) if wanted else {}
+    held = {(key[0], r) for key, b in brackets.items() for r in b["ranks"]}
+    for i, own in wanted.items():        # a rank the sketch missed is looked for in the whole range
+        for r in own:
+            if (i, r) not in held:
+                b = brackets.setdefault((i, srow[f"lo{i}"], srow[f"hi{i}"]),
+                                        {"below": 0, "cnt": finite[i], "ranks": set()})
+                b["ranks"].add(r)
 
     rounds = 0
     while brackets:
