@@ -11,14 +11,17 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Entries of a worker's word cache before it starts afresh (about 110 MB).
-CACHE_WORDS = 500_000
+#: Entries of a worker's word cache before it starts afresh (about 90 MB).
+CACHE_WORDS = 400_000
 #: New words merged together.
 BULK = 50_000
+#: Bytes of text whose words are held at once; a word takes several times its length.
+PORTION = 1 << 22
 
 #: Words whose lower case is letter by letter, with no contraction to split:
 #: visible ASCII but the apostrophe, and the letters U+00C0 to U+00FF.
@@ -146,10 +149,20 @@ class WordIds:
             found = self._tokenizer.encode(w.decode(), add_special_tokens=False).ids
             self._known[w] = np.array(found, dtype="<u4").tobytes()
 
-    def encode_many(self, raws: list[bytes]) -> list[bytes]:
-        """Ids of whole texts, 4 bytes each."""
-        split = [r.split() for r in raws]
-        wanted = set().union(*split) if split else set()
+    def encode_many(self, raws: list[bytes]) -> Iterator[bytes]:
+        """Ids of whole texts, 4 bytes each.  Texts are taken apart a few megabytes at a time."""
+        held: list[list[bytes]] = []
+        size = 0
+        for raw in raws:
+            held.append(raw.split())
+            size += len(raw)
+            if size >= PORTION:
+                yield from self._joined(held)
+                held, size = [], 0
+        yield from self._joined(held)
+
+    def _joined(self, split: list[list[bytes]]) -> list[bytes]:
+        wanted = set().union(*split)
         new = wanted - self._known.keys()
         if len(self._known) + len(new) > CACHE_WORDS:
             self._known.clear()
