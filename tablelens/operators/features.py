@@ -14,7 +14,8 @@ import json
 from dataclasses import asdict, dataclass, field
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,6 +165,40 @@ def cardinality(df: DataFrame, columns: list[str]) -> dict[str, int]:
     return {c: int(row[f"d{i}"]) for i, c in enumerate(columns)}
 
 
+def few_values(df: DataFrame, columns: list[str], limit: int) -> dict[str, list | None]:
+    """Sorted distinct values of text or boolean columns with at most ``limit`` of them, None for others.
+
+    Answers "at most so many?" without counting all: a task stops looking at a
+    column once it has met ``limit + 1`` values, and sends no more than those.
+    """
+    if not columns:
+        return {}
+
+    def run(batches):
+        met: list[set] = [set() for _ in columns]
+        for b in batches:
+            for i, c in enumerate(b.columns):
+                if len(met[i]) <= limit:
+                    met[i].update(v for v in c.unique().to_pylist() if v is not None)
+                    met[i] = set(sorted(met[i])[:limit + 1])
+        cells = [(i, v) for i, own in enumerate(met) for v in own]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in cells], pa.int32()),
+                                          pa.array([v for _, v in cells], pa.string())], names=["i", "v"])
+
+    types = {f.name: f.dataType for f in df.schema.fields}
+    texts = df.select(*[qcol(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    nth = F.row_number().over(Window.partitionBy("i").orderBy("v"))
+    found = (texts.mapInArrow(run, "i int, v string").distinct().withColumn("nth", nth)
+             .where(F.col("nth") <= limit + 1).collect())          # at most (limit + 1) x columns rows
+    out: dict[str, list | None] = {}
+    for i, c in enumerate(columns):
+        own = sorted(r["v"] for r in found if r["i"] == i)
+        if isinstance(types[c], T.BooleanType):
+            own = [v == "true" for v in own]
+        out[c] = own if len(own) <= limit else None
+    return out
+
+
 def cardinality_split(df: DataFrame, target: str | None = None, max_levels: int = MAX_LEVELS) -> DataFrame:
     """(column_name, position, unique, kind): low (one-hot) or high (dropped) for every
     non-numeric, non-date column other than the target."""
@@ -178,11 +213,10 @@ def cardinality_split(df: DataFrame, target: str | None = None, max_levels: int
 def fit_features(df: DataFrame, target: str | None, max_levels: int = MAX_LEVELS,
                  date_share: float = DATE_SHARE, max_interactions: int = MAX_INTERACTION_COLUMNS,
                  detect_text_dates: bool = True) -> FeatureSpec:
-    """Learn the feature specification of a table (two aggregates at most).
+    """Learn the feature specification of a table in two passes.
 
-    Date detection and the cardinality of every text/boolean column share one
-    aggregate (a column that turns out to be a date just has an unused count);
-    the level lists of the low-cardinality columns are a second one.
+    One finds the date format of every text column, the other the levels of
+    the text and boolean columns that have few.
     """
     df = nan_to_null(df)
     fields = [f for f in df.schema.fields if f.name != target]
@@ -191,20 +225,7 @@ def fit_features(df: DataFrame, target: str | None, max_levels: int = MAX_LEVELS
 
     # 1) dates: native date/timestamp columns, and text columns that mostly parse
     text = [f.name for f in fields if isinstance(f.dataType, T.StringType)] if detect_text_dates else []
-    cand = [f.name for f in fields if type_class(f.dataType) in ("categorical", "boolean")]
-    named = [(f"s{i}_{j}", F.avg(F.when(parse_date(qcol(c), fmt).isNotNull(), 1.0).otherwise(0.0)))
-             for i, c in enumerate(text) for j, fmt in enumerate(DATE_FORMATS)]
-    named += [(f"d{i}", F.count_distinct(qcol(c))) for i, c in enumerate(cand)]
-    row = aggregate_in_passes(df, named) if named else {}
-    shares = {}
-    for i, c in enumerate(text):
-        best, share = DATE_FORMATS[0], -1.0
-        for j, fmt in enumerate(DATE_FORMATS):
-            v = float(row[f"s{i}_{j}"] or 0.0)
-            if v > share:
-                best, share = fmt, v
-        shares[c] = (best, share)
-    all_card = {c: int(row[f"d{i}"]) for i, c in enumerate(cand)}
+    shares = date_shares(df, text)
     date_cols = set()
     for f in fields:
         cls = type_class(f.dataType)
@@ -215,20 +236,16 @@ def fit_features(df: DataFrame, target: str | None, max_levels: int = MAX_LEVELS
             spec.dates.append([f.name, shares[f.name][0]])
             date_cols.add(f.name)
 
-    # 2) categorical split by cardinality
-    cats = [c for c in cand if c not in date_cols]
-    card = {c: all_card[c] for c in cats}
-    low = [c for c in cats if card[c] <= max_levels]
-    spec.dropped = sorted(date_cols, key=[f.name for f in fields].index) + [c for c in cats if card[c] > max_levels]
+    # 2) categorical split by cardinality, with the levels of the low side
+    cats = [f.name for f in fields if type_class(f.dataType) in ("categorical", "boolean") and f.name not in date_cols]
+    levels = few_values(df, cats, max_levels)
+    spec.dropped = sorted(date_cols, key=[f.name for f in fields].index) + [c for c in cats if levels[c] is None]
     spec.dropped += [f.name for f in fields if type_class(f.dataType) == "other"]
 
-    # 3) levels of the low-cardinality columns (each list is at most max_levels long)
-    if low:
-        row = df.agg(*[F.sort_array(F.collect_set(qcol(c))).alias(f"l{i}") for i, c in enumerate(low)]).first()
-        for i, c in enumerate(low):
-            levels = row[f"l{i}"] or []
-            for v in levels[1:]:                       # drop the first sorted level
-                spec.dummies.append([c, level_text(v), f"{c}_{level_text(v)}"])
+    # 3) dummies, without the first sorted level
+    for c in cats:
+        for v in (levels[c] or [])[1:]:
+            spec.dummies.append([c, level_text(v), f"{c}_{level_text(v)}"])
 
     # 4) numeric columns (originals, then date parts) and their pairwise products
     spec.numeric = [f.name for f in fields if type_class(f.dataType) == "numeric"]
@@ -256,17 +273,17 @@ def feature_frame(df: DataFrame, target: str | None, **kw) -> tuple[DataFrame, F
     return spec.transform(df), spec
 
 
-def one_hot(df: DataFrame, column: str, levels: list | None = None, keep: list[str] | None = None) -> DataFrame:
+def one_hot(df: DataFrame, column: str, levels: list | None = None, keep: list[str] | None = None,
+            max_levels: int = MAX_LEVELS) -> DataFrame:
     """Dummy columns ``column_level`` for every sorted level but the first.
 
     Missing and unseen values are all-zero rows.  Levels are collected only
-    after the cardinality check (at most 20 without an explicit list).
+    if there are at most ``max_levels``; each is a column of the result.
     """
     if levels is None:
-        n = cardinality(df, [column])[column]
-        if n > MAX_LEVELS:
-            raise ValueError(f"{column!r} has {n} levels; one-hot is limited to {MAX_LEVELS}")
-        levels = df.agg(F.sort_array(F.collect_set(qcol(column))).alias("l")).first()["l"] or []
+        levels = few_values(nan_to_null(df), [column], max_levels)[column]
+        if levels is None:
+            raise ValueError(f"{column!r} has more than {max_levels} levels; pass levels or a larger max_levels")
     spec = FeatureSpec(target=None, dummies=[[column, level_text(v), f"{column}_{level_text(v)}"]
                                              for v in levels[1:]])
     spec.output_columns = [n for _, _, n in spec.dummies]

@@ -1,78 +1,45 @@
 """Running totals over a global order without a single-partition window.
 
 A window ``ORDER BY x`` with no ``PARTITION BY`` moves every row into one
-task.  Here the order is cut into contiguous ranges by approximate quantiles
-of the ordering column (a bounded list of cut points), the window runs per
-range, and each range's offset comes from a bounded per-range total.  The
-next row's values across a range boundary come from the same small table.
+task.  Here Spark range-partitions the rows by the ordering column, the window
+runs per range, and each range's offset comes from a table with one row per
+range.  The number of ranges is that of the shuffle, so it follows the session
+and the size of the data, not a constant.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _range_id(x: Column, cuts: list[float], descending: bool) -> Column:
-    if not cuts:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(c)) for c in cuts])
-    if descending:
-        return F.size(F.filter(arr, lambda c: c > x))
-    return F.size(F.filter(arr, lambda c: c < x))
+from ..functions.layout import materialize
 
 
 def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool = True,
-                   ranges: int = 64, lead: list[str] | None = None) -> DataFrame:
+                   ranges: int | None = None, lead: list[str] | None = None) -> DataFrame:
     """Add ``cum_<c>`` (inclusive running sum of ``c`` in the order of ``order``) and
     ``next_<c>`` (value of ``c`` in the following row, NULL for the last row).
 
-    ``order`` must be unique per row (group by it first).  ``ranges`` bounds
-    the cut list and the per-range table collected to the driver.
+    ``order`` must be unique per row (group by it first).  The ranged rows are
+    checkpointed, which fixes the range a row is in; ``ranges`` overrides
+    their number.
     """
     lead = lead or []
     x = F.col(order)
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(x.cast("double"), probs, 10000).alias("q")).first()["q"] or []
-    cuts = sorted(set(float(c) for c in cuts))
-    rid = _range_id(x.cast("double"), cuts, descending)
-    tagged = df.withColumn("__range", rid)
+    by = x.desc() if descending else x.asc()
+    ranged = df.repartitionByRange(ranges, by) if ranges else df.repartitionByRange(by)
+    tagged = materialize(ranged).withColumn("__range", F.spark_partition_id())
     first = F.max_by if descending else F.min_by
-    per = (tagged.groupBy("__range")
-           .agg(*[F.sum(c).alias(f"t_{c}") for c in sums],
-                *[first(F.col(c), x).alias(f"f_{c}") for c in lead])
-           .orderBy("__range").collect())            # at most ``ranges`` rows
-    n = len(cuts) + 1
-    offs = {c: [0] * n for c in sums}
-    firsts = {c: [None] * n for c in lead}
-    present = [False] * n
-    for r in per:
-        i = r["__range"]
-        present[i] = True
-        for c in lead:
-            firsts[c][i] = r[f"f_{c}"]
-        for c in sums:
-            offs[c][i] = r[f"t_{c}"] or 0
-    # first row of the next non-empty range, per range
-    following = {c: [None] * n for c in lead}
-    for c in lead:
-        nxt = None
-        for i in range(n - 1, -1, -1):
-            following[c][i] = nxt
-            if present[i]:
-                nxt = firsts[c][i]
-    for c in sums:                                     # exclusive prefix over ranges
-        acc = 0
-        for i in range(n):
-            acc, offs[c][i] = acc + offs[c][i], acc
-    w = Window.partitionBy("__range").orderBy(x.desc() if descending else x.asc())
+    per = tagged.groupBy("__range").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums],
+                                        *[first(F.col(c), x).alias(f"__f_{c}") for c in lead])
+    along = Window.orderBy("__range")          # one row per range, not per row
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("__range", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__o_{c}")
+                                      for c in sums],
+                         *[F.lead(f"__f_{c}").over(along).alias(f"__n_{c}") for c in lead])
+    w = Window.partitionBy("__range").orderBy(by)
     frame = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = [F.col(c) for c in df.columns]
-    idx = F.col("__range") + 1
-    for c in sums:
-        off = F.element_at(F.array(*[F.lit(v).cast("long") for v in offs[c]]), idx)
-        cols.append((F.sum(c).over(frame) + off).alias(f"cum_{c}"))
-    for c in lead:
-        nxt = F.element_at(F.array(*[F.lit(v) for v in following[c]]), idx)
-        cols.append(F.coalesce(F.lead(c).over(w), nxt).alias(f"next_{c}"))
-    return tagged.select(*cols)
+    own = [F.col(c) for c in df.columns]
+    return (tagged.join(offsets, "__range")
+            .select(*own, *[(F.sum(c).over(frame) + F.col(f"__o_{c}")).alias(f"cum_{c}") for c in sums],
+                    *[F.coalesce(F.lead(c).over(w), F.col(f"__n_{c}")).alias(f"next_{c}") for c in lead]))

@@ -283,17 +283,23 @@ def _distinct_key(name: str, dtype: T.DataType) -> Column:
     return c
 
 
-def distinct_only(df: DataFrame, exact: bool = True) -> DataFrame:
+def distinct_only(df: DataFrame, exact: bool = True, method: str = "values") -> DataFrame:
     """(column_name, position, unique): distinct non-missing values per column.
 
     The aggregate holds nothing but the distinct counts, so Spark plans it as
     hash aggregation on (column, value) after one expansion; values are
     de-duplicated map-side before the shuffle, which also absorbs hot values.
     ``exact=False`` uses HyperLogLog++ sketches instead (no expansion).
+    ``method="fingerprint"`` shuffles 128 bits in place of text and nested
+    values: exact but for a collision of both hashes.
     """
+    if method not in ("values", "fingerprint"):
+        raise ValueError(f"unknown method {method!r}")
     specs = []
     for i, f in enumerate(df.schema.fields):
         key = _distinct_key(f.name, f.dataType)
+        if method == "fingerprint" and fixed_width(f.dataType) is None:
+            key = F.when(key.isNotNull(), F.struct(F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key)))
         d = F.count_distinct(key) if exact else F.approx_count_distinct(key)
         specs.append(([d.alias(f"d{i}")], [F.lit(f.name), F.lit(i), F.col(f"d{i}")]))
     return per_column_table(df, specs, ["column_name", "position", "unique"])
@@ -329,9 +335,9 @@ def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
         (F.col("n_rows") - F.col("unique") - has.cast("long")).alias("duplicate_values"))
 
 
-def unique_by_column(df: DataFrame, exact: bool = True) -> DataFrame:
-    """(column_name, position, unique)."""
-    return distinct_counts(df, exact).select("column_name", "position", "unique")
+def unique_by_column(df: DataFrame, exact: bool = True, method: str = "values") -> DataFrame:
+    """(column_name, position, unique), from one scan."""
+    return distinct_only(nan_to_null(df), exact, method)
 
 
 def duplicate_values_by_column(df: DataFrame, exact: bool = True) -> DataFrame:

@@ -50,6 +50,10 @@ def unique_by_column(spark: SparkSession, d: str) -> DataFrame:
     return profile.unique_by_column(fx.docs_gaps(spark, d))
 
 
+def unique_by_column_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return profile.unique_by_column(fx.docs_gaps(spark, d), method="fingerprint")
+
+
 def duplicate_values_by_column(spark: SparkSession, d: str) -> DataFrame:
     return profile.duplicate_values_by_column(fx.docs_gaps(spark, d))
 
@@ -95,6 +99,7 @@ QUERIES = {
     "duplicate_rows_total": duplicate_rows_total,
     "duplicate_rows_listing": duplicate_rows_listing,
     "unique_by_column": unique_by_column,
+    "unique_by_column_fingerprint": unique_by_column_fingerprint,
     "duplicate_values_by_column": duplicate_values_by_column,
     "min_max_by_column": min_max_by_column,
     "iqr_outliers": iqr_outliers,
@@ -270,6 +275,7 @@ SELECT l_returnflag, l_linestatus, l_linenumber FROM (
   SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_linenumber) AS rn FROM {fx.SQL_DUP} t)
 WHERE rn > 1""",
         "unique_by_column": _sql_distinct("unique"),
+        "unique_by_column_fingerprint": _sql_distinct("unique"),
         "duplicate_values_by_column": _sql_distinct("duplicates"),
         "min_max_by_column": _sql_min_max(),
         "iqr_outliers": _sql_iqr_outliers(),
