@@ -58,25 +58,42 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     range value +- 0.5; a column without values gives an empty result.
     Every bin appears, empty ones with count 0.
     """
-    df = nan_to_null(df)
-    x = _coerced(df, column)
-    lo, hi, n = value_range(df, x)
+    return histograms(df, [column], bins).drop("column_name")
+
+
+def histograms(df: DataFrame, columns: list[str], bins: int = 30) -> DataFrame:
+    """(column_name, bin, lower, upper, count) of several columns: one pass for all bounds, one for all counts."""
     spark = df.sparkSession
-    schema = "bin int, lower double, upper double, count long"
-    if not n:
+    values = df.select(*[_coerced(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    named = []
+    for i in range(len(columns)):
+        fin = F.when(F.abs(F.col(f"x{i}")) != F.lit(_INF), F.col(f"x{i}"))
+        named += [(f"lo{i}", F.min(fin)), (f"hi{i}", F.max(fin))]
+    row = aggregate_in_passes(values, named)
+    edges = []
+    for i, c in enumerate(columns):
+        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+        if lo is not None:
+            edges.append((i, c, *((lo - 0.5, hi + 0.5) if lo == hi else (lo, hi))))
+    schema = "column_name string, bin int, lower double, upper double, count long"
+    if not edges:
         return spark.createDataFrame([], schema)
-    if lo == hi:
-        lo, hi = lo - 0.5, hi + 0.5
-    fin = df.select(x.alias("x")).where(F.abs(F.col("x")) != F.lit(_INF))
-    counts = with_bin(fin, "x", lo, hi, bins, "bin").groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    step = (hi - lo) / bins
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    edge_lo = F.col("bin").cast("double") * F.lit(step) + F.lit(lo)
-    edge_hi = F.when(F.col("bin") == bins - 1, F.lit(hi)).otherwise((F.col("bin") + 1).cast("double") * F.lit(step) + F.lit(lo))
-    # ``counts`` has at most ``bins`` rows, so broadcasting it is size-safe.
-    return (grid.join(F.broadcast(counts), "bin", "left")
-            .select("bin", edge_lo.alias("lower"), edge_hi.alias("upper"),
-                    F.coalesce(F.col("count"), F.lit(0).cast("long")).alias("count")))
+    for i, _, lo, hi in edges:
+        fin = F.when(F.abs(F.col(f"x{i}")) != F.lit(_INF), F.col(f"x{i}"))
+        values = with_bin(values.withColumn("__x", fin), "__x", lo, hi, bins, "__bin")
+        values = values.withColumn(f"bin{i}", F.when(F.col("__x").isNotNull(), F.col("__bin"))).drop("__x", "__bin")
+    cells = F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"bin{i}").alias("bin")) for i, *_ in edges]))
+    counts = (values.select(cells).where(F.col("bin").isNotNull()).groupBy("i", "bin")
+              .agg(F.count(F.lit(1)).alias("count")))          # at most columns x bins rows
+    heads = spark.createDataFrame(edges, "i int, column_name string, lo double, hi double")
+    grid = heads.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    step = (F.col("hi") - F.col("lo")) / bins
+    lower = F.col("bin").cast("double") * step + F.col("lo")
+    upper = F.when(F.col("bin") == bins - 1, F.col("hi")).otherwise((F.col("bin") + 1).cast("double") * step
+                                                                    + F.col("lo"))
+    return (grid.join(counts, ["i", "bin"], "left")
+            .select("column_name", "bin", lower.alias("lower"), upper.alias("upper"),
+                    F.coalesce("count", F.lit(0).cast("long")).alias("count")))
 
 
 def plot_numeric_columns(df: DataFrame) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import column_stats as cs
 from ..operators import distributions as dist
@@ -13,7 +14,8 @@ def profile_report(df: DataFrame, bins: int = 30, exact: bool = True,
                    histograms: bool = True) -> dict[str, DataFrame]:
     """overview, column_stats, missing, correlation, and a histogram per numeric column.
 
-    Each entry is a DataFrame; fitting steps (quartiles, bounds) run when the
+    All histograms share their bounds and their counts.  Each entry is a
+    DataFrame; fitting steps (quartiles, bounds) run when the
     report is built, the rest when an entry is read.
     """
     out = {
@@ -27,6 +29,7 @@ def profile_report(df: DataFrame, bins: int = 30, exact: bool = True,
         out["correlation"] = dist.correlation_matrix(df, numeric)
         out["scatter_grid"] = dist.scatter_grid(df, numeric[0], numeric[1])
     if histograms:
+        every = dist.histograms(df, numeric, bins)
         for c in numeric:
-            out[f"histogram:{c}"] = dist.histogram(df, c, bins)
+            out[f"histogram:{c}"] = every.where(F.col("column_name") == c).drop("column_name")
     return out
