@@ -42,7 +42,9 @@ WIDTH = 1.5
 SUCCESS = 0.98
 REACH = 2  # cells looked at on either side, by projection
 MAX_HASHES = 6
-BUCKET = 256  # entries aimed at in a bucket
+#: Entries aimed at in a bucket.  Handling a probe costs as much as scoring about this many entries, so smaller
+#: buckets, and the many more probes they need, cost more than they save.
+BUCKET = 2048
 BLOCK = 4096
 RADIUS_QUERIES = 64
 EVERY = 20
