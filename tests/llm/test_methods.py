@@ -20,17 +20,17 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_network_on_held_out_findings():
-    made = secrets.built_findings(600, seed=1)
+    made = secrets.built_findings(1600, seed=1)
     x = np.array([secrets.window(t, s, e) for t, s, e, _ in made], dtype=np.int16)
     y = np.array([m[3] for m in made], dtype=np.float32)
     shapes = np.array([secrets.shape(t[s:e]) for t, s, e, _ in made])
-    net = secrets.train(x[:800], y[:800])
-    secrets.calibrate(net, x[800:1000], y[800:1000], shapes[800:1000])
-    p = net.probability(x[1000:])
-    assert ((p > 0.5) == (y[1000:] > 0)).mean() > 0.93
-    limits = np.array(net.thresholds)[shapes[1000:]]
-    assert (p >= limits)[y[1000:] > 0].mean() > 0.93
-    again = secrets.train(x[:800], y[:800])
+    net = secrets.train(x[:2400], y[:2400])
+    secrets.calibrate(net, x[2400:2800], y[2400:2800], shapes[2400:2800])
+    p = net.probability(x[2800:])
+    assert ((p > 0.5) == (y[2800:] > 0)).mean() > 0.93
+    limits = np.array(net.thresholds)[shapes[2800:]]
+    assert (p >= limits)[y[2800:] > 0].mean() > 0.93
+    again = secrets.train(x[:2400], y[:2400])
     assert np.array_equal(again.filters, net.filters)
 
 
@@ -163,7 +163,7 @@ def test_suffix_ranks(length):
 
 
 def test_texts_without_repeats(spark):
-    a, b = "é" * 30 + "x" * 20, "some other words"
+    a, b = "éabcdefghijklmnopqrstuvwxyz0123456789éABCDEFGHIJK", "some other words"
     docs = spark.createDataFrame([(1, a + b, "k"), (2, "12" + a, "k"), (3, None, "k")],
                                  "doc_id long, text string, row string")
     left = {r["doc_id"]: r["text"] for r in suffix.remove_repeats(docs, 40, 10).collect()}
