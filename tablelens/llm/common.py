@@ -22,9 +22,18 @@ PACKAGE = __name__.split(".")[0]
 
 _shipped: dict[str, bool] = {}
 
+#: Rows handed to Python at once.  Texts are long: Spark's default of 10,000
+#: would hold hundreds of megabytes on both sides.
+BATCH_SETTING, SPARK_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by the Python workers, once per application."""
+    """Make this package importable by the Python workers, once per application.
+
+    Also lowers the rows per Arrow batch of the session, unless it was set.
+    """
+    if spark.conf.get(BATCH_SETTING, SPARK_DEFAULT) == SPARK_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -71,9 +80,21 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with the package shipped to the workers."""
+    """``mapInArrow`` with the package shipped to the workers, which give memory back after each task."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return Arrow's unused memory: workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
 
 
 def doc_columns(docs: DataFrame, *names: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_bytes, cut, doc_columns, map_batches
-from .tokens import word_ids
+from .tokens import forget, word_ids
 
 CAPACITY = 4096
 END_ID = 1
@@ -71,6 +71,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 arrays.append(pa.array(ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        forget()  # the worker goes on to other stages
 
     return map_batches(doc_columns(docs, "doc_id", "text"), run, schema)
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_columns, ship
+from .common import cut, doc_columns, give_back, ship
 
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
@@ -101,6 +101,7 @@ def _feature_frames(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in FEATURES.split(", ")]
     for texts in batches:
         yield pd.DataFrame([text_features(t) for t in texts], columns=names, dtype="int64")
+    give_back()
 
 
 def _features(column: str) -> Column:

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, map_batches, ship, store
+from .common import column_bytes, give_back, map_batches, ship, store
 
 LENGTH = 100
 GRAM = 24
@@ -123,8 +123,10 @@ def _tag(raw: bytes) -> int:
     return xxhash.xxh64_intdigest(raw) >> (64 - _TAG_BITS)
 
 
-def _tags(raws: pd.Series) -> pd.Series:
-    return raws.map(_tag).astype("int64")
+def _tags(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for raws in batches:
+        yield raws.map(_tag).astype("int64")
+    give_back()
 
 
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
@@ -430,9 +432,11 @@ def without(raw: bytes, places: list[int], length: int) -> str:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """The rows of ``docs`` with later copies cut out of ``text`` (NULL stays NULL), other columns as they are."""
-    def left(raws: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([raw.decode() if p is None else without(raw, list(p), length)
-                          for raw, p in zip(raws, places)], dtype=object)
+    def left(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for raws, places in batches:
+            yield pd.Series([raw.decode() if p is None else without(raw, list(p), length)
+                             for raw, p in zip(raws, places)], dtype=object)
+        give_back()
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     cut_text = F.pandas_udf(left, "string")

@@ -176,6 +176,11 @@ class WordIds:
 _open: dict[str, WordIds] = {}
 
 
+def forget() -> None:
+    """Drop the cache."""
+    _open.clear()
+
+
 def word_ids(path: str) -> WordIds:
     """The worker's cache for a vocabulary; at most one is kept."""
     if path not in _open:
