@@ -223,12 +223,28 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
                      b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who))],
                     names=["t", "bucket", "query", "asked"])
 
-    def rerank(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        """The best of a block of entries for a block of probes."""
+    def rerank(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        """The best of a block of entries for a block of probes: one row a probe."""
         q, v, entry = _matrix(right["asked"]), _matrix(left["vector"]), left["entry"].to_numpy()
         near, scores = _best(q, v, entry, top + 1)
-        return pa.table({"query": np.repeat(right["query"].to_numpy(), near.shape[1]),
-                         "ids": left["ids"].combine_chunks().take(pa.array(near.ravel())), "score": scores.ravel()})
+        ends = pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1])
+        return pa.table({"query": right["query"].to_numpy(), "t": right["t"].to_numpy(),
+                         "block": right["block"].to_numpy(),
+                         "ids": pa.ListArray.from_arrays(ends, left["ids"].combine_chunks().take(pa.array(near.ravel()))),
+                         "scores": pa.ListArray.from_arrays(ends, pa.array(scores.ravel()))})
+
+    def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        """The best of all that was found for a query, each entry once."""
+        ids = table["ids"].combine_chunks().flatten()
+        scores = table["scores"].combine_chunks().flatten().to_numpy()
+        lengths = ids.value_lengths().to_numpy()
+        entry = ids.flatten().to_numpy()[np.cumsum(lengths) - lengths]
+        order = np.lexsort((entry, -scores))
+        first = np.sort(np.unique(entry[order], return_index=True)[1])[:top + 1]
+        chosen, one = order[first], pa.array([0, len(first)], pa.int32())
+        return pa.table({"query": [key[0].as_py()], "t": pa.array([0], pa.int32()), "block": pa.array([0], pa.int64()),
+                         "ids": pa.ListArray.from_arrays(one, ids.take(pa.array(chosen))),
+                         "scores": pa.ListArray.from_arrays(one, pa.array(scores[chosen]))})
 
     keys = ["t", "bucket"]
     probes = cut(map_batches(asked.select(F.col("id").alias("query"), F.col("vector").alias("asked")), probe,
@@ -242,11 +258,13 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
     right = right.join(left_blocks, keys).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"),
                                                                                   F.col("n_block") - 1)))
     group = [*keys, "block", "part"]
-    scored = (left.groupBy(*group).cogroup(right.drop("n_block").groupBy(*group))
-              .applyInArrow(rerank, "query long, ids array<long>, score double"))
-    once = scored.groupBy("query", "ids").agg(F.max("score").alias("score"))
-    nearest = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0]))
-    kept = once.withColumn("n", nearest).filter(F.col("n") <= top + 1)
+    found = "query long, t int, block long, ids array<array<long>>, scores array<double>"
+    scored = (left.groupBy(*group).cogroup(right.drop("n_block").groupBy(*group)).applyInArrow(rerank, found))
+    # merged by table and some of a bucket's blocks first, so that a much divided bucket is not one group
+    parts = scored.groupBy("query", "t", F.pmod("block", F.lit(16))).applyInArrow(merge, found)
+    kept = parts.groupBy("query").applyInArrow(merge, found).select(
+        "query", F.explode(F.arrays_zip("ids", "scores")).alias("hit")).select(
+        "query", F.col("hit.ids").alias("ids"), F.col("hit.scores").alias("score"))
     by_query = (queries.join(asked.withColumnRenamed("id", "query"), "vector").select("id", "query")
                 .join(kept, "query").select(F.col("id").alias("query_id"), "score", F.explode("ids").alias("vec_id"))
                 .filter(F.col("vec_id") != F.col("query_id")))
