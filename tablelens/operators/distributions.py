@@ -44,13 +44,6 @@ def with_bin(df: DataFrame, x: str, lo: float, hi: float, bins: int, out: str) -
     return df.drop(g)
 
 
-def value_range(df: DataFrame, x: Column) -> tuple[float | None, float | None, int]:
-    """(min, max, count) of the finite values of an expression, one aggregate."""
-    fin = F.when(F.abs(x) != F.lit(_INF), x)
-    r = df.agg(F.min(fin).alias("lo"), F.max(fin).alias("hi"), F.count(fin).alias("n")).first()
-    return r["lo"], r["hi"], r["n"]
-
-
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """(bin, lower, upper, count): equal-width bins over [min, max] of the finite values.
 
