@@ -108,11 +108,6 @@ def column_bytes(column: pa.Array) -> Iterator[bytes]:
         yield v.as_py() or b""
 
 
-def slot(hash_column, n: int):
-    """A bucket number 0..n-1 from a hash column."""
-    return F.pmod(hash_column, F.lit(n))
-
-
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and go on from the files.
 
