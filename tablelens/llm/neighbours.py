@@ -12,8 +12,14 @@ success it needs of a table.  Buckets met are scored exactly, in blocks, and
 the tables' best are merged.
 
 The radius r is measured: the distance of the last wanted neighbour of a
-bounded number of queries (``RADIUS_QUERIES``) against all rows.  Equal
-vectors are one entry with their smallest ids, which is all a result can hold.
+bounded number of queries (``RADIUS_QUERIES``) against all rows.  It need not
+hold for a query in a sparse region, so every query's result is looked at: one
+with too few hits, or whose last wanted hit lies beyond the radius it was
+probed with, is probed again with a radius of its own, at most twice the last
+one.  Those that ``ROUNDS`` rounds or as many buckets as the table holds do not
+settle are compared with all entries, in blocks.
+
+Equal vectors are one entry with their smallest ids, which is all a result can hold.
 Buckets of more than ``BLOCK`` entries are split into blocks that each probe
 visits, as are their probes, so no group grows with the data.
 
@@ -27,7 +33,8 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +54,16 @@ MAX_HASHES = 6
 BUCKET = 2048
 BLOCK = 4096
 RADIUS_QUERIES = 64
+#: Rounds of probing before a query is compared with all entries.
+ROUNDS = 3
+#: Queries of a block scored at once.
+SLICE = 512
 EVERY = 20
 
 _ENTRY = "entry long, ids array<long>, vector array<float>"
+_FOUND = "query long, t int, block long, ids array<array<long>>, scores array<double>"
+#: The table whose one bucket holds all entries.
+_ALL = -1
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -117,12 +131,13 @@ class Tables:
     """The projections of all tables and the bucket of a vector in each."""
 
     def __init__(self, dims: int, hashes: int, largest: float, radius: float, tables: int = TABLES,
-                 success: float = SUCCESS, seed: int = 5):
+                 success: float = SUCCESS, seed: int = 5, most: float = math.inf):
         rng = np.random.default_rng(seed)
         self.directions = rng.normal(size=(tables, dims + 1, hashes))
         self.offsets = rng.uniform(0, WIDTH, size=(tables, 1, hashes))
         self.largest, self.radius, self.wanted = largest, radius, 1 - (1 - success) ** (1 / tables)
         self.names = rng.integers(1, 1 << 31, size=hashes) * 2 + 1
+        self.most = most  # buckets of a table that a query probed again may visit
 
     def _projected(self, table: int, x: np.ndarray) -> np.ndarray:
         return (x @ self.directions[table] + self.offsets[table]) / WIDTH
@@ -141,14 +156,17 @@ class Tables:
     def buckets(self, table: int, v: np.ndarray) -> np.ndarray:
         return self._name(np.floor(self._projected(table, self.placed(v))))
 
-    def probes(self, table: int, q: np.ndarray) -> Iterator[np.ndarray]:
-        """For each query the buckets to visit, by falling chance of holding a neighbour."""
+    def probes(self, table: int, q: np.ndarray, radius: np.ndarray | None = None) -> Iterator[np.ndarray | None]:
+        """For each query the buckets to visit, by falling chance of holding a neighbour within its radius.
+
+        None if the cells in reach do not add up to the success wanted.
+        """
         at = self._projected(table, self.asked(q))
         home = np.floor(at)
-        spread = max(self.radius, 1e-3) / WIDTH
+        radii = np.full(len(q), self.radius) if radius is None else radius
+        spread = np.maximum(radii, 1e-3)[:, None, None] / WIDTH
         steps = np.arange(-REACH, REACH + 1)
         edges = home[:, :, None] + np.append(steps, REACH + 1) - at[:, :, None]
-        edges[:, :, 0], edges[:, :, -1] = -np.inf, np.inf  # the outermost cells stand for all beyond
         below = _normal(edges / spread)
         chance = below[:, :, 1:] - below[:, :, :-1]
         for one, cell in zip(chance, home):
@@ -159,7 +177,7 @@ class Tables:
                                         np.tile(c + steps, len(cells))[:, None]], axis=1)
             order = np.argsort(-joint, kind="stable")
             n = int(np.searchsorted(np.cumsum(joint[order]), self.wanted)) + 1
-            yield self._name(cells[order[:n]])
+            yield self._name(cells[order[:n]]) if n <= len(order) else None
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -167,7 +185,7 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 
 def tables_for(entry_rows: DataFrame, queries: DataFrame, top: int = TOP, tables: int = TABLES,
-               success: float = SUCCESS) -> Tables | None:
+               success: float = SUCCESS, bucket: int = BUCKET) -> Tables | None:
     """Tables fitted to the number of entries, their largest norm and the measured radius; None without rows."""
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     size = entry_rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(square)).alias("norm"),
@@ -179,8 +197,8 @@ def tables_for(entry_rows: DataFrame, queries: DataFrame, top: int = TOP, tables
     norms = np.linalg.norm(np.array(sample, dtype=np.float64), axis=1)
     last = np.array([scores[i][-1] for i in range(len(sample))]) / (norms * size["norm"])
     radius = float(np.quantile(np.sqrt(np.maximum(0, 2 - 2 * last)), 0.9))
-    hashes = min(MAX_HASHES, max(1, round(math.log(max(1, size["n"] / BUCKET)) / math.log(3.2))))
-    return Tables(size["dims"], hashes, size["norm"], radius, tables, success)
+    hashes = min(MAX_HASHES, max(1, round(math.log(max(1, size["n"] / bucket)) / math.log(3.2))))
+    return Tables(size["dims"], hashes, size["norm"], radius, tables, success, most=max(1, size["n"] / bucket))
 
 
 def _in_blocks(bucketed: DataFrame, keys: list[str], name: str, member: Column, size: int) -> tuple[DataFrame, DataFrame]:
@@ -189,17 +207,32 @@ def _in_blocks(bucketed: DataFrame, keys: list[str], name: str, member: Column,
     return (bucketed.join(counts, keys).withColumn(name, F.pmod(member, F.col(f"n_{name}"))).drop(f"n_{name}"), counts)
 
 
+def _reached(held: DataFrame, needed: int, largest: float) -> DataFrame:
+    """query, and the distance at which it has ``needed`` ids; NULL if it has fewer."""
+    def step(state: Column, hit: Column) -> Column:
+        return F.when(state.n >= needed, state).otherwise(
+            F.struct((state.n + F.size(hit.ids)).alias("n"), hit.scores.alias("score")))
+
+    first = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("score"))
+    last = F.aggregate(F.arrays_zip("ids", "scores"), first, step)
+    square = F.aggregate("asked", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return held.withColumn("last", last).withColumn("distance", F.when(F.col("last.n") >= needed, F.sqrt(F.greatest(
+        F.lit(0.0), 2 - 2 * F.col("last.score") / (F.sqrt(square) * largest))))).drop("last")
+
+
 def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int = TABLES,
-           success: float = SUCCESS) -> DataFrame:
+           success: float = SUCCESS, bucket: int = BUCKET, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of each query, the query's own id left out.
 
-    ``vectors`` and ``queries`` are (id, vector), as ``usable`` gives them.
+    ``vectors`` and ``queries`` are (id, vector), as ``usable`` gives them;
+    ``bucket`` is the number of entries aimed at in a bucket, ``block`` the most
+    of a bucket that are scored together.
     """
     spark = vectors.sparkSession
     ship(spark)
     entry_rows = cut(entries(vectors, top))
     asked = cut(queries.groupBy("vector").agg(F.min("id").alias("id")))
-    hashing = tables_for(entry_rows, asked, top, tables, success)
+    hashing = tables_for(entry_rows, asked, top, tables, success, bucket)
     result = "query_id long, rank int, vec_id long, score double"
     if hashing is None:
         return spark.createDataFrame([], result)
@@ -212,25 +245,40 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
                     [pa.array(np.full(len(b), t, dtype=np.int32)), pa.array(hashing.buckets(t, v)), *b.columns],
                     names=["t", "bucket", *b.schema.names])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            q = _matrix(b.column(1)) if len(b) else None
-            for t in range(tables if len(b) else 0):
-                visited = list(hashing.probes(t, q))
-                who = np.repeat(np.arange(len(b)), [len(x) for x in visited])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(who), t, dtype=np.int32)), pa.array(np.concatenate(visited)),
-                     b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who))],
-                    names=["t", "bucket", "query", "asked"])
+    def probing(most: float) -> Callable:
+        """Buckets to visit; a query that would visit over ``most`` of a table visits the one bucket of all."""
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not len(b):
+                    continue
+                q, radius = _matrix(b.column(1)), b.column(2).to_numpy()
+                visited = [list(hashing.probes(t, q, radius)) for t in range(tables)]
+                wide = np.array([any(x is None or len(x) > most for x in xs) for xs in zip(*visited)])
+                visited.append([np.zeros(1, dtype=np.int64)] * len(b))
+                for t, lists in zip([*range(tables), _ALL], visited):
+                    kept = np.flatnonzero(wide if t == _ALL else ~wide)
+                    if len(kept):
+                        who = pa.array(np.repeat(kept, [len(lists[i]) for i in kept]))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(who), t, dtype=np.int32)),
+                             pa.array(np.concatenate([lists[i] for i in kept])), b.column(0).take(who),
+                             b.column(1).take(who)], names=["t", "bucket", "query", "asked"])
+
+        return probe
 
     def rerank(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         """The best of a block of entries for a block of probes: one row a probe."""
         q, v, entry = _matrix(right["asked"]), _matrix(left["vector"]), left["entry"].to_numpy()
-        near, scores = _best(q, v, entry, top + 1)
+        ids = left["ids"].combine_chunks().cast(pa.list_(pa.int64()))
+        parts = [_best(q[i:i + SLICE], v, entry, top + 1) for i in range(0, len(q), SLICE)] if len(v) else []
+        if not parts:
+            return pa.table({n: pa.array([], t) for n, t in zip(("query", "t", "block", "ids", "scores"), (
+                pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.float64())))})
+        near, scores = (np.concatenate(x) for x in zip(*parts))
         ends = pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1])
         return pa.table({"query": right["query"].to_numpy(), "t": right["t"].to_numpy(),
                          "block": right["block"].to_numpy(),
-                         "ids": pa.ListArray.from_arrays(ends, left["ids"].combine_chunks().take(pa.array(near.ravel()))),
+                         "ids": pa.ListArray.from_arrays(ends, ids.take(pa.array(near.ravel()))),
                          "scores": pa.ListArray.from_arrays(ends, pa.array(scores.ravel()))})
 
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -247,22 +295,51 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
                          "scores": pa.ListArray.from_arrays(one, pa.array(scores[chosen]))})
 
     keys = ["t", "bucket"]
-    probes = cut(map_batches(asked.select(F.col("id").alias("query"), F.col("vector").alias("asked")), probe,
-                             "t int, bucket long, query long, asked array<float>"))
-    indexed = map_batches(entry_rows, index, f"t int, bucket long, {_ENTRY}").join(
-        probes.select(*keys).distinct(), keys, "left_semi")
-    left, left_blocks = _in_blocks(indexed, keys, "block", F.xxhash64("entry"), BLOCK)
-    right, right_blocks = _in_blocks(probes, keys, "part", F.xxhash64("query"), BLOCK)
-    left = left.join(right_blocks, keys).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                                                F.col("n_part") - 1))).drop("n_part")
-    right = right.join(left_blocks, keys).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                                                  F.col("n_block") - 1)))
-    group = [*keys, "block", "part"]
-    found = "query long, t int, block long, ids array<array<long>>, scores array<double>"
-    scored = (left.groupBy(*group).cogroup(right.drop("n_block").groupBy(*group)).applyInArrow(rerank, found))
-    # merged by table and some of a bucket's blocks first, so that a much divided bucket is not one group
-    parts = scored.groupBy("query", "t", F.pmod("block", F.lit(16))).applyInArrow(merge, found)
-    kept = parts.groupBy("query").applyInArrow(merge, found).select(
+
+    def visit(probes: DataFrame, indexed: DataFrame) -> DataFrame:
+        """The best of the buckets visited, merged by query (and some of its blocks)."""
+        left, left_blocks = _in_blocks(indexed, keys, "block", F.xxhash64("entry"), block)
+        right, right_blocks = _in_blocks(probes, keys, "part", F.xxhash64("query"), block)
+        left = left.join(right_blocks, keys).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                                                    F.col("n_part") - 1))).drop("n_part")
+        right = right.join(left_blocks, keys).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                                                      F.col("n_block") - 1)))
+        group = [*keys, "block", "part"]
+        scored = (left.groupBy(*group).cogroup(right.drop("n_block").groupBy(*group)).applyInArrow(rerank, _FOUND))
+        # merged by table and some of a bucket's blocks first, so that a much divided bucket is not one group
+        return scored.groupBy("query", "t", F.pmod("block", F.lit(16))).applyInArrow(merge, _FOUND)
+
+    needed = entry_rows.agg(F.sum(F.size("ids"))).first()[0]
+    settled: list[DataFrame] = []
+    whole: list[DataFrame] = []  # queries to compare with all entries
+    waiting = asked.select(F.col("id").alias("query"), F.col("vector").alias("asked"),
+                           F.lit(hashing.radius).alias("radius"))
+    earlier = spark.createDataFrame([], _FOUND)
+    for again in range(rounds):
+        probes = cut(map_batches(waiting, probing(hashing.most if again else math.inf),
+                                 "t int, bucket long, query long, asked array<float>"))
+        whole.append(probes.filter(F.col("t") == _ALL))
+        indexed = map_batches(entry_rows, index, f"t int, bucket long, {_ENTRY}").join(
+            probes.select(*keys).distinct(), keys, "left_semi")
+        parts = visit(probes.filter(F.col("t") != _ALL), indexed).unionByName(earlier)
+        best = parts.groupBy("query").applyInArrow(merge, _FOUND)
+        tried = waiting.join(whole[-1].select("query"), "query", "left_anti")
+        held = cut(_reached(tried.join(best, "query", "left"), min(needed, top + 1), hashing.largest))
+        # all ids there are, or enough of them no farther than the radius allowed for
+        fine = F.coalesce(F.col("distance") <= F.col("radius") + 1e-9, F.lit(False)) | (
+            F.col("distance").isNotNull() & F.lit(needed <= top + 1))
+        settled.append(held.filter(fine).select("query", "ids", "scores"))
+        rest = held.filter(~fine)
+        earlier = rest.filter(F.col("ids").isNotNull()).select("query", "t", "block", "ids", "scores")
+        waiting = rest.select("query", "asked", F.least(F.col("radius") * 2, "distance").alias("radius"))
+        if waiting.isEmpty():
+            break
+    everyone = cut(reduce(DataFrame.unionByName, [w.select("query", "asked") for w in whole], waiting.select("query", "asked")))
+    if not everyone.isEmpty():
+        all_rows = entry_rows.select(F.lit(_ALL).alias("t"), F.lit(0).cast("long").alias("bucket"), "*")
+        compared = visit(everyone.select(F.lit(_ALL).alias("t"), F.lit(0).cast("long").alias("bucket"), "*"), all_rows)
+        settled.append(compared.groupBy("query").applyInArrow(merge, _FOUND).select("query", "ids", "scores"))
+    kept = reduce(DataFrame.unionByName, settled).select(
         "query", F.explode(F.arrays_zip("ids", "scores")).alias("hit")).select(
         "query", F.col("hit.ids").alias("ids"), F.col("hit.scores").alias("score"))
     by_query = (queries.join(asked.withColumnRenamed("id", "query"), "vector").select("id", "query")

@@ -3,6 +3,7 @@
 import os
 import random
 import sys
+from collections import defaultdict
 
 import duckdb
 import numpy as np
@@ -13,7 +14,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
 
-from tablelens.llm import bpe, graph, licenses, op_queries, packing, pii, quality, secrets, simhash, suffix  # noqa: E402
+from tablelens.llm import bpe, graph, licenses, neighbours, op_queries, packing, pii, quality, secrets  # noqa: E402
+from tablelens.llm import simhash, suffix  # noqa: E402
 from tablelens.llm.tokens import word_ids  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
@@ -220,3 +222,24 @@ def test_disclosing_terms(spark):
     assert all(found[i] == "" for i in range(len(near), len(near) + len(fill)))
     masked = pii.sanitise(docs).filter("doc_id = 0").first()["text"]
     assert "Zephyrine" not in masked and "[EMAIL]" in masked and "[TERM]" in masked
+
+
+def test_neighbours_of_mixed_density(spark):
+    """Most rows in tight clusters, the rest sparse: every query gets all its rows, and the nearest ones."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 24))
+    tight = centres[rng.integers(0, 12, 1900)] + rng.normal(size=(1900, 24)) * 0.03
+    sparse = rng.normal(size=(100, 24))
+    every = np.concatenate([tight, sparse])
+    every = (every / np.linalg.norm(every, axis=1, keepdims=True)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "id long, vector array<float>")
+    asked = vectors.filter("id % 20 = 0 or id >= 1980")
+    near = defaultdict(list)
+    for r in neighbours.search(vectors, asked, bucket=16, block=300).collect():
+        near[r["query_id"]].append(r["vec_id"])
+    exact = every.astype(np.float64) @ every.astype(np.float64).T
+    ids = [i for i in range(2000) if i % 20 == 0 or i >= 1980]
+    assert sorted(near) == ids and all(len(found) == 20 for found in near.values())
+    for some in ([i for i in ids if i < 1900], [i for i in ids if i >= 1900]):
+        hits = sum(len(set(near[i]) & {j for j in np.argsort(-exact[i])[:21] if j != i}) for i in some)
+        assert hits >= 0.95 * 20 * len(some)
