@@ -110,24 +110,25 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """doc_id, fp, text_hash and component_id (smallest id of the group) of every row."""
+    """doc_id, fp, text_hash, root (the group) and component_id (smallest id of the group) of every row."""
     prints = cut(fingerprints(docs, width))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(distinct.select("fp"), max_distance))
     grouped = (distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left")
                .select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = grouped.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "text_hash", "component_id")
+    by_print = grouped.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """One row of each group of ``docs``: the one with the smallest id; rows without an id stay.
 
-    Where several rows of a group share that id, one of them stays.
+    Where several rows of a group share that id, one of them stays; rows that
+    share an id but no group stand for a group each.
     """
     own = near_duplicates(docs, width, max_distance).filter(F.col("doc_id") == F.col("component_id"))
-    one = own.groupBy("doc_id").agg(F.min("text_hash").alias("_hash")).withColumnRenamed("doc_id", "_id")
+    one = own.groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("text_hash").alias("_hash")).drop("root")
     row = docs.filter(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").alias("_id"), _text_hash().alias("_hash"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))

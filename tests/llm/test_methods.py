@@ -243,3 +243,11 @@ def test_neighbours_of_mixed_density(spark):
     for some in ([i for i in ids if i < 1900], [i for i in ids if i >= 1900]):
         hits = sum(len(set(near[i]) & {j for j in np.argsort(-exact[i])[:21] if j != i}) for i in some)
         assert hits >= 0.95 * 20 * len(some)
+
+
+def test_groups_led_by_one_id(spark):
+    """Unrelated texts that share an id are groups of their own, each with its survivor."""
+    rng = random.Random(10)
+    a, b = (" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(2))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (2, b), (1, a)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.keep_first(docs).collect()) == sorted([(1, a), (1, b)])
