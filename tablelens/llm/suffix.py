@@ -24,9 +24,10 @@ The order is built in three steps, none of which gathers the corpus.
    removed.  Buckets with over ``HOT_RUNS`` different runs are dealt further,
    one row per start with the hash of its own bytes.
 
-Positions are (document id, start).  Rows that share an id and a text get the
-same result, and a start is not earlier than itself; rows that share only the
-id are told apart by a hash of the text.  A NULL id comes after all others.  A
+Positions are (document id, 64-bit text hash, start).  Rows that share an id
+and a text get the same result, and a start is not earlier than itself; rows
+that share only the id, or have none, are documents of their own, in the order
+of their hashes.  A NULL id comes after all others.  A
 NULL text is empty; texts under ``length`` bytes lose nothing; an empty table
 gives an empty result; other columns are ignored by ``repeats`` and kept by
 ``remove_repeats``.
@@ -56,9 +57,9 @@ LAST_ID = (1 << 63) - 1
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)  # odd, so that products lose no bits
 
-# One 64-bit value for a place: 1 bit covered, 23 bits text hash, 7 bits starts - 1, 32 bits first start.
+# One 64-bit value for a place: 1 bit covered, 7 bits starts - 1, 32 bits first start.
 _COVERED = 1 << 62
-_TAG_BITS, _TAG_AT, _COUNT_AT = 23, 39, 32
+_COUNT_AT = 32
 _START = (1 << 32) - 1
 
 
@@ -119,16 +120,6 @@ def start_runs(data: np.ndarray, valid: np.ndarray, length: int, gram: int):
     return least[first].view(np.int64), print_.view(np.int64), first, last - first + 1
 
 
-def _tag(raw: bytes) -> int:
-    return xxhash.xxh64_intdigest(raw) >> (64 - _TAG_BITS)
-
-
-def _tags(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for raws in batches:
-        yield raws.map(_tag).astype("int64")
-    give_back()
-
-
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
@@ -141,10 +132,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
     held: list[tuple[int, int, int, bytes]] = []
     size = 0
     for batch in batches:
-        for doc_id, raw in zip(batch.column(0).to_pylist(), column_bytes(batch.column(1))):
+        for doc_id, raw, tag in zip(batch.column(0).to_pylist(), column_bytes(batch.column(1)),
+                                    batch.column(2).to_pylist()):
             if len(raw) < length:
                 continue
-            tag = _tag(raw)
             for at in range(0, len(raw) - length + 1, BLOCK):
                 part = raw[at:at + BLOCK + length - 1]
                 held.append((LAST_ID if doc_id is None else doc_id, tag, at, part))
@@ -176,17 +167,18 @@ def _runs(length: int, gram: int) -> Callable:
             bucket, print_, first, count = start_runs(data, valid, length, gram)
             own = owner[first]
             doc, start = ids[own], first - begins[own] + offsets[own]
-            place = tags[own] << _TAG_AT | (count - 1) << _COUNT_AT | start
-            order = np.lexsort((start, doc, print_, bucket))
-            b, p, d, s = bucket[order], print_[order], doc[order], start[order]
+            tag = tags[own]
+            place = (count - 1) << _COUNT_AT | start
+            order = np.lexsort((start, tag, doc, print_, bucket))
+            b, p, d, t, s = bucket[order], print_[order], doc[order], tag[order], start[order]
             fresh = np.ones(len(order), dtype=bool)
             fresh[1:] = (b[1:] != b[:-1]) | (p[1:] != p[:-1])
             head = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-            later = order[(d > d[head]) | (s > s[head])] if len(order) else order
+            later = order[(d != d[head]) | (t != t[head]) | (s != s[head])] if len(order) else order
             place[later] |= _COVERED
             bucket = bucket.copy()
             bucket[later] = _mixed(place[later].view(_U) + doc[later].view(_U)).view(np.int64)
-            yield _batch(["bucket", "print", "id", "place"], bucket, print_, doc, place)
+            yield _batch(["bucket", "print", "id", "tag", "place"], bucket, print_, doc, tag, place)
 
     return run
 
@@ -197,15 +189,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Gives covered runs (kind 0), and (kind 1) the first run of every print in
     buckets that have several.
     """
-    last = None  # bucket, print, id and start of the first run with the last print
+    last = None  # bucket, print, id, tag and start of the first run with the last print
     waiting = None  # the only first run of the last bucket so far, not given out
     for batch in batches:
-        bucket, print_, doc, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        bucket, print_, doc, tag, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         marked = place & _COVERED != 0
-        covered = [(doc[marked], place[marked] & ~_COVERED)]
-        bucket, print_, doc, place = (x[~marked] for x in (bucket, print_, doc, place))
+        covered = [(doc[marked], tag[marked], place[marked] & ~_COVERED)]
+        bucket, print_, doc, tag, place = (x[~marked] for x in (bucket, print_, doc, tag, place))
         if not len(bucket):
-            yield _batch(["kind", "bucket", "id", "place"], np.zeros(len(covered[0][0]), dtype=np.int8),
+            yield _batch(["kind", "bucket", "id", "tag", "place"], np.zeros(len(covered[0][0]), dtype=np.int8),
                          np.zeros(len(covered[0][0]), dtype=np.int64), *covered[0])
             continue
         start = place & _START
@@ -217,9 +209,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh[0] = opens[0] or print_[0] != last[1]
         head = np.maximum.accumulate(np.where(fresh, np.arange(len(bucket)), -1))
         head_doc = np.where(head >= 0, doc[head], last[2] if last else 0)
-        head_start = np.where(head >= 0, start[head], last[3] if last else 0)
-        later = (doc > head_doc) | ((doc == head_doc) & (start > head_start))
-        covered.append((doc[later], place[later]))
+        head_tag = np.where(head >= 0, tag[head], last[3] if last else 0)
+        head_start = np.where(head >= 0, start[head], last[4] if last else 0)
+        later = (doc != head_doc) | (tag != head_tag) | (start != head_start)  # the first is the least
+        covered.append((doc[later], tag[later], place[later]))
         # first runs, and which of them are alone in their bucket
         at = np.flatnonzero(fresh)
         group = np.cumsum(opens)  # 0: the bucket that was open before
@@ -228,7 +221,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several[0] = True  # it holds an earlier first run
         several[-1] |= group[-1] == 0
         chosen = at[several[group[at]]]
-        given = [(bucket[chosen], doc[chosen], place[chosen])]
+        given = [(bucket[chosen], doc[chosen], tag[chosen], place[chosen])]
         if waiting is not None:
             if sizes[0]:
                 given.append(tuple(np.array([v]) for v in waiting))
@@ -237,14 +230,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 waiting = None  # its bucket ended with it alone
         if group[-1] > 0 and not several[-1]:
             i = at[group[at] == group[-1]][0]
-            waiting = (bucket[i], doc[i], place[i])
-        last = (bucket[-1], print_[-1], head_doc[-1], head_start[-1])
-        docs, places = (np.concatenate(x) for x in zip(*covered))
-        gb, gd, gp = (np.concatenate(x) for x in zip(*given))
-        yield _batch(["kind", "bucket", "id", "place"],
+            waiting = (bucket[i], doc[i], tag[i], place[i])
+        last = (bucket[-1], print_[-1], head_doc[-1], head_tag[-1], head_start[-1])
+        docs, tags, places = (np.concatenate(x) for x in zip(*covered))
+        gb, gd, gt, gp = (np.concatenate(x) for x in zip(*given))
+        yield _batch(["kind", "bucket", "id", "tag", "place"],
                      np.repeat(np.array([0, 1], dtype=np.int8), [len(docs), len(gb)]),
                      np.concatenate([np.zeros(len(docs), dtype=np.int64), gb]), np.concatenate([docs, gd]),
-                     np.concatenate([places, gp]))
+                     np.concatenate([tags, gt]), np.concatenate([places, gp]))
 
 
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -273,29 +266,29 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
 def _factor(length: int) -> Callable:
     """Step 3 over runs with their bytes, sorted by bucket: gives the starts with LPF >= length, as runs."""
     def removed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
-        sizes = np.array([len(r[3]) for r in rows])
+        data = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
+        sizes = np.array([len(r[4]) for r in rows])
         counts = sizes - length + 1
         first = np.repeat(np.cumsum(sizes) - sizes, counts)
         inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         doc = np.repeat(np.array([r[1] for r in rows], dtype=np.int64), counts)
-        place = np.array([r[2] for r in rows], dtype=np.int64)
+        tag = np.repeat(np.array([r[2] for r in rows], dtype=np.int64), counts)
+        place = np.array([r[3] for r in rows], dtype=np.int64)
         start = np.repeat(place & _START, counts) + inner
         rank = suffix_ranks(data, length)[first + inner]
-        order = np.lexsort((start, doc, rank))  # the suffix array, ties by position
-        r, d, s = rank[order], doc[order], start[order]
+        order = np.lexsort((start, tag, doc, rank))  # the suffix array, ties by position
+        r, d, t, s = rank[order], doc[order], tag[order], start[order]
         fresh = np.ones(len(order), dtype=bool)
         fresh[1:] = r[1:] != r[:-1]
         head = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
         hit = np.zeros(len(order), dtype=bool)
-        hit[order] = (d > d[head]) | (s > s[head])  # a smaller position stands before it in its tie
+        hit[order] = (d != d[head]) | (t != t[head]) | (s != s[head])  # a smaller position stands before it in its tie
         # neighbouring starts of one run that go together
         row = np.repeat(np.arange(len(rows)), counts)
         begins = hit & np.r_[True, ~hit[:-1] | (row[1:] != row[:-1])]
         ends = hit & np.r_[~hit[1:] | (row[1:] != row[:-1]), True]
         a, z = np.flatnonzero(begins), np.flatnonzero(ends)
-        tag = np.repeat(place >> _TAG_AT, counts)[a]
-        yield _batch(["id", "place"], doc[a], tag << _TAG_AT | (z - a) << _COUNT_AT | start[a])
+        yield _batch(["id", "tag", "place"], doc[a], tag[a], (z - a) << _COUNT_AT | start[a])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -306,7 +299,7 @@ def _factor(length: int) -> Callable:
                     yield from removed(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if rows:
             yield from removed(rows)
 
@@ -314,30 +307,29 @@ def _factor(length: int) -> Callable:
 
 
 def _cut_runs(length: int) -> Callable:
-    """The bytes of the first runs of a document: bucket, id, place, bytes.
+    """The bytes of the first runs of a document: bucket, id, tag, place, bytes.
 
     Runs of hot buckets come start by start, under the hash of their own bytes.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "id", "place", "bytes", "hot"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+        names = ["bucket", "id", "tag", "place", "bytes", "hot"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, raw, found in zip(batch.column(0).to_pylist(), column_bytes(batch.column(1)),
-                                          batch.column(2).to_pylist()):
+            for doc_id, tag, raw, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                               column_bytes(batch.column(2)), batch.column(3).to_pylist()):
                 for r in found:
                     place = r["place"]
                     start, count = place & _START, (place >> _COUNT_AT & 127) + 1
                     if not r["hot"]:
-                        rows.append((r["bucket"], doc_id, place, raw[start:start + count - 1 + length], False))
+                        rows.append((r["bucket"], doc_id, tag, place, raw[start:start + count - 1 + length], False))
                         continue
                     for p in range(start, start + count):
                         own = raw[p:p + length]
                         key = xxhash.xxh64_intdigest(own, 7) - (1 << 63)
-                        rows.append((key, doc_id, place >> _TAG_AT << _TAG_AT | p,
-                                     xxhash.xxh64_digest(own, 8), True))
+                        rows.append((key, doc_id, tag, p, xxhash.xxh64_digest(own, 8), True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=names)
+                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=names)
 
     return run
 
@@ -346,38 +338,42 @@ def _position() -> Column:
     return F.col("place").bitwiseAND(F.lit(_START))
 
 
+def _tag() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
     """id, bytes and tag of every row, and further columns."""
-    tag = F.pandas_udf(_tags, "long")
     raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    return (docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), raw.alias("raw"), *columns)
-            .withColumn("tag", tag("raw")))
+    return docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), raw.alias("raw"), _tag().alias("tag"),
+                       *columns)
 
 
 def covered_starts(docs: DataFrame, keyed: DataFrame, length: int = LENGTH, gram: int = GRAM,
                    hot_runs: int = HOT_RUNS) -> DataFrame:
-    """(id, place): runs of starts whose ``length`` bytes also start earlier."""
-    rows = map_batches(docs.select("doc_id", "text"), _runs(length, gram),
-                       "bucket long, print long, id long, place long")
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "print", "id", _position())
-    compared = store(map_batches(dealt, _compare, "kind byte, bucket long, id long, place long"))
+    """(id, tag, place): runs of starts whose ``length`` bytes also start earlier."""
+    rows = map_batches(docs.select("doc_id", "text", _tag().alias("tag")), _runs(length, gram),
+                       "bucket long, print long, id long, tag long, place long")
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "print", "id", "tag", _position())
+    compared = store(map_batches(dealt, _compare, "kind byte, bucket long, id long, tag long, place long"))
 
-    firsts = compared.filter("kind = 1").select("bucket", "id", "place")
+    firsts = compared.filter("kind = 1").select("bucket", "id", "tag", "place")
     hot = firsts.groupBy("bucket").count().filter(F.col("count") > hot_runs).select("bucket", F.lit(True).alias("hot"))
     wanted = (firsts.join(hot, "bucket", "left")
-              .select("id", F.shiftright("place", _TAG_AT).alias("tag"),
-                      F.struct("bucket", "place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("run"))
+              .select("id", "tag", F.struct("bucket", "place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("run"))
               .groupBy("id", "tag").agg(F.collect_list("run").alias("runs")))  # of one document
-    texts = map_batches(keyed.join(wanted, ["id", "tag"]).select("id", "raw", "runs"), _cut_runs(length),
-                        "bucket long, id long, place long, bytes binary, hot boolean")
-    near = map_batches(texts.filter(~F.col("hot")).select("bucket", "id", "place", "bytes")
-                       .repartition("bucket").sortWithinPartitions("bucket"), _factor(length), "id long, place long")
+    texts = map_batches(keyed.join(wanted, ["id", "tag"]).select("id", "tag", "raw", "runs"), _cut_runs(length),
+                        "bucket long, id long, tag long, place long, bytes binary, hot boolean")
+    near = map_batches(texts.filter(~F.col("hot")).select("bucket", "id", "tag", "place", "bytes")
+                       .repartition("bucket").sortWithinPartitions("bucket"), _factor(length),
+                       "id long, tag long, place long")
     # a start of a hot bucket goes if the smallest position with the same bytes is another one
-    single = texts.filter("hot").select("bucket", "bytes", F.struct("id", _position().alias("p")).alias("at"), "place")
+    single = texts.filter("hot").select("bucket", "bytes", F.struct("id", "tag", _position().alias("p")).alias("at"),
+                                        "place")
     least = single.groupBy("bucket", "bytes").agg(F.min("at").alias("least"))
     far = (single.join(least, ["bucket", "bytes"]).filter(F.col("at") > F.col("least"))
-           .select(F.col("at.id").alias("id"), "place"))
-    return compared.filter("kind = 0").select("id", "place").unionByName(near).unionByName(far)
+           .select(F.col("at.id").alias("id"), F.col("at.tag").alias("tag"), "place"))
+    return compared.filter("kind = 0").select("id", "tag", "place").unionByName(near).unionByName(far)
 
 
 def removed_mask(size: int, places: list[int], length: int) -> np.ndarray:
@@ -395,7 +391,7 @@ def _places(docs: DataFrame, length: int, gram: int, hot_runs: int, *columns: Co
     """id, raw, further columns and the places to remove (NULL: none) of every row."""
     ship(docs.sparkSession)
     found = (covered_starts(docs, _keyed(docs), length, gram, hot_runs)
-             .groupBy("id", F.shiftright("place", _TAG_AT).alias("tag")).agg(F.collect_list("place").alias("places")))
+             .groupBy("id", "tag").agg(F.collect_list("place").alias("places")))
     return _keyed(docs, *columns).join(found, ["id", "tag"], "left")
 
 

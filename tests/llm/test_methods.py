@@ -251,3 +251,27 @@ def test_groups_led_by_one_id(spark):
     a, b = (" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(2))
     docs = spark.createDataFrame([(1, a), (1, b), (2, a), (2, b), (1, a)], "doc_id long, text string")
     assert sorted(tuple(r) for r in simhash.keep_first(docs).collect()) == sorted([(1, a), (1, b)])
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_repeats_under_one_id(spark, hot):
+    """Different texts under one id, or without one, are documents of their own: one copy of a passage stays."""
+    passage = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQ"
+    rows = [(d, f"{passage} {i} " + "".join(random.Random(i).choices("abcdefghij", k=30)))
+            for d in (5, None) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = [r["text"] for r in suffix.remove_repeats(docs, 40, 10, hot).collect()]
+    assert len(texts) == 6 and sum(passage in t for t in texts) == 1
+    # texts whose hashes agree in the first 23 bits keep their own runs
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    many = spark.range(9000).select(
+        F.lit(5).cast("long").alias("doc_id"), "id",
+        F.concat(digest, F.when(F.col("id") % 2 == 0, F.lit(passage)).otherwise("")).alias("text"))
+    whole = 0
+    for r in suffix.remove_repeats(many, 40, 10, hot).withColumn("digest", digest).collect():
+        if r["id"] % 2 or len(r["text"]) > 64:
+            assert r["text"] == r["digest"] + ("" if r["id"] % 2 else passage)
+            whole += r["id"] % 2 == 0
+        else:  # a few last digits may repeat along with the passage
+            assert r["digest"].startswith(r["text"]) and len(r["text"]) >= 54
+    assert whole == 1
