@@ -13,7 +13,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, licenses, neighbours, packing, pii, quality, secrets, simhash, suffix
+from . import bpe, counts, filter_audit, licenses, neighbours, packing, pii, quality, secrets, simhash, suffix
+from . import variants
 from .common import read_documents, shared_folder
 
 
@@ -68,6 +69,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.change_feed(rollup, read_documents(spark, sf_dir), versions)
 
 
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(read_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_quality_rules": op2_quality_rules,
@@ -79,8 +88,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
+    "op12_filter_interaction_audit": op12_filter_interaction_audit,
+    "op13_spelling_variant_grouping": op13_spelling_variant_grouping,
 }
 
 ORACLES: dict[str, str] = {
     "op7_license_scans": licenses.scan_sql(),
+    "op12_filter_interaction_audit": filter_audit.audit_sql(),
 }
