@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, counts, filter_audit, licenses, neighbours, packing, pii, quality, secrets, simhash, suffix
-from . import variants
+from . import toxicity, variants
 from .common import read_documents, shared_folder
 
 
@@ -69,6 +69,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.change_feed(rollup, read_documents(spark, sf_dir), versions)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
+    "op11_toxicity": op11_toxicity,
     "op12_filter_interaction_audit": op12_filter_interaction_audit,
     "op13_spelling_variant_grouping": op13_spelling_variant_grouping,
 }
