@@ -15,8 +15,8 @@ other has in its prefix.  Pivots are therefore matched with prefixes only.
 The position limit is as sharp as one edit allows: it lies on one side of the
 pivot that is kept, so the letters on the other side, up to and with the pivot,
 agree one by one.  Those letters, which side they are on and the length of
-the word (one more, one less, or equal) are the join key.  What meets is
-verified by the edit distance itself.  No list of candidates is kept for a
+the word (one more, one less, or equal) are the join key.  What meets and has
+much the same letters is verified by the edit distance itself.  No list of candidates is kept for a
 bigram, and no word meets all others that share a frequent one.
 
 Edge cases: a NULL or empty text has no words; a NULL id counts as an empty one
@@ -127,6 +127,17 @@ def pivots(grams: list[tuple[int, str, int]], wanted: int = PIVOTS) -> list[tupl
     return best[-1][wanted][1]
 
 
+def odd_letters(word: str) -> int:
+    """Bits of the letters that occur an odd number of times (63 bits, shared by letters with one remainder).
+
+    An edit changes at most two of them, a quick test before the edit distance.
+    """
+    bits = 0
+    for letter in word:
+        bits ^= 1 << ord(letter) % 63
+    return bits
+
+
 def _sides(word: str, at: int) -> tuple[tuple[str, str], tuple[str, str]]:
     return ("l", word[:at + 2]), ("r", word[at:])
 
@@ -134,24 +145,26 @@ def _sides(word: str, at: int) -> tuple[tuple[str, str], tuple[str, str]]:
 def _keys(batches: Iterator[pa.RecordBatch], counts: dict[str, int], probe: bool) -> Iterator[pa.RecordBatch]:
     """Index keys of the prefix of each word, or probe keys of its pivots: side, letters, length."""
     for batch in batches:
-        out: dict[str, list] = {"side": [], "part": [], "length": [], "word": [], "n": []}
+        out: dict[str, list] = {"side": [], "part": [], "length": [], "word": [], "n": [], "odd": []}
         for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             grams = prefix(word, counts)
             lengths = (len(word) - 1, len(word), len(word) + 1) if probe else (len(word),)
             keys = dict.fromkeys((side, part, size) for _, _, at in (pivots(grams) if probe else grams)
                                  for side, part in _sides(word, at) for size in lengths)
+            odd = odd_letters(word)
             for side, part, size in keys:
-                for column, value in zip(out.values(), (side, part, size, word, n)):
+                for column, value in zip(out.values(), (side, part, size, word, n, odd)):
                     column.append(value)
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
             ("side", pa.string()), ("part", pa.string()), ("length", pa.int32()), ("word", pa.string()),
-            ("n", pa.int64())]))
+            ("n", pa.int64()), ("odd", pa.int64())]))
 
 
-def _keyed(words: DataFrame, counts: dict[str, int], probe: bool, word: str, n: str) -> DataFrame:
-    schema = "side string, part string, length int, word string, n long"
+def _keyed(words: DataFrame, counts: dict[str, int], probe: bool, name: str) -> DataFrame:
+    schema = "side string, part string, length int, word string, n long, odd long"
     return (map_batches(words.select("word", "n"), lambda b: _keys(b, counts, probe), schema)
-            .select(F.xxhash64("side", "part", "length").alias("key"), F.col("word").alias(word), F.col("n").alias(n)))
+            .select(F.xxhash64("side", "part", "length").alias("key"), F.col("word").alias(name),
+                    F.col("n").alias(f"n_{name}"), F.col("odd").alias(f"odd_{name}")))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -160,8 +173,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     ``words`` holds distinct ``word`` and its count ``n``; it is read three times.
     """
     counts = gram_counts(words)
-    probe, index = _keyed(words, counts, True, "p", "n_p"), _keyed(words, counts, False, "i", "n_i")
-    met = probe.join(index, "key").filter((F.col("p") != F.col("i")) & (F.levenshtein("p", "i", 1) == 1))
+    probe, index = _keyed(words, counts, True, "p"), _keyed(words, counts, False, "i")
+    alike = F.bit_count(F.col("odd_p").bitwiseXOR(F.col("odd_i"))) <= 2
+    met = probe.join(index, "key").filter(alike & (F.col("p") != F.col("i")) & (F.levenshtein("p", "i", 1) == 1))
     first = F.col("p") < F.col("i")
     return met.select(F.least("p", "i").alias("a"), F.when(first, F.col("n_p")).otherwise(F.col("n_i")).alias("n_a"),
                       F.greatest("p", "i").alias("b"),
