@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, LogisticRegression, RandomForestClassifier,
+    DecisionTreeClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
-    DecisionTreeRegressor, LinearRegression, RandomForestRegressor,
+    DecisionTreeRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor,
 )
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,6 +158,11 @@ def feature_importance(model, features: list[str], spark: SparkSession, top: int
     return spark.createDataFrame(rows, "rank int, class_index int, feature string, importance double")
 
 
+def is_linear(model) -> bool:
+    """Whether the model has coefficients (the others have importances)."""
+    return isinstance(model, (LogisticRegressionModel, LinearRegressionModel))
+
+
 def coefficients(model, features: list[str]) -> list[tuple[int, str, float]]:
     """(class_index, feature, coefficient): one entry per (class, feature).
 
@@ -165,7 +170,7 @@ def coefficients(model, features: list[str]) -> list[tuple[int, str, float]]:
     and linear models have class_index 0.
     """
     rows = []
-    if hasattr(model, "coefficientMatrix") and getattr(model, "numClasses", 2) > 2:
+    if isinstance(model, LogisticRegressionModel) and model.numClasses > 2:
         mat = model.coefficientMatrix.toArray()
         for k in range(mat.shape[0]):
             for j, f in enumerate(features):

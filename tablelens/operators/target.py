@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.typing_rules import is_numeric_for, nan_to_null, qcol
+from .ordered import running_totals
 from .profile import distinct_counts
 
 # Fixed values of the reference's rules.
@@ -91,11 +92,12 @@ def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
 def fit_labels(df: DataFrame, target: str) -> DataFrame:
     """(value, class_index): the distinct target values in sorted order, any number of them.
 
-    One row per class; the numbering sorts classes, not rows.
+    Classes are numbered within ranges of values, to which the counts of the
+    ranges before are added, so no task sees all of them.
     """
     values = df.where(qcol(target).isNotNull()).select(qcol(target).alias("value")).distinct()
-    index = (F.row_number().over(Window.orderBy("value")) - 1).cast("int")
-    return values.select("value", index.alias("class_index"))
+    numbered = running_totals(values.withColumn("__n", F.lit(1)), "value", ["__n"], descending=False)
+    return numbered.select("value", (F.col("cum___n") - 1).cast("int").alias("class_index"))
 
 
 def label_encode(df: DataFrame, target: str, labels: DataFrame | None = None,

@@ -64,10 +64,10 @@ class TrainedModel:
             out["predicted_vs_actual"] = dist.predicted_vs_actual(pred)
             out["residuals"] = dist.residuals(pred)
         m = self.model
-        if hasattr(m, "featureImportances"):
-            out["feature_importance"] = md.feature_importance(m, self.feature_columns, spark)
-        elif hasattr(m, "coefficients") or hasattr(m, "coefficientMatrix"):
+        if md.is_linear(m):
             out["coefficients"] = md.coefficients_top(m, self.feature_columns, spark)
+        else:
+            out["feature_importance"] = md.feature_importance(m, self.feature_columns, spark)
         return out
 
 

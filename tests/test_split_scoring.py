@@ -111,3 +111,25 @@ def test_number_text_of_predictions(spark):
     tm = training.train(orders, "o_totalprice", ["o_custkey"], num_trees=2, max_depth=2)
     row = training.score_batch(tm, orders.limit(1)).first()
     assert row["predicted_label"] == f"{row['prediction']:.4f}"
+
+
+def test_evaluation_of_multiclass_logistic_regression(spark):
+    """Three classes, the linear model chosen: one coefficient per class and feature."""
+    from tablelens.plans import training
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").withColumn(
+        "size", F.when(F.col("o_totalprice") < 100000, "a").when(F.col("o_totalprice") < 250000, "b").otherwise("c"))
+    tm = training.train(orders, "size", ["o_totalprice", "o_custkey"], only=["Logistic Regression"])
+    found = tm.evaluation()
+    rows = found["coefficients"].collect()
+    assert {(r["class_index"], r["feature"]) for r in rows} == {
+        (k, f) for k in range(3) for f in tm.feature_columns}
+    assert "feature_importance" not in found
+    assert found["confusion_matrix"].agg(F.sum("count")).first()[0] == tm.test.count()
+
+
+def test_labels_numbered_without_one_task(spark):
+    from tablelens.operators import target as tg
+    df = spark.createDataFrame([(f"v{i % 500:03d}" if i % 7 else None,) for i in range(4000)], "t string")
+    labels = tg.fit_labels(df.repartition(7), "t")
+    assert [(r["value"], r["class_index"]) for r in labels.orderBy("value").collect()] == [
+        (f"v{i:03d}", i) for i in range(500)]
