@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import model_data_queries, model_queries, profile_queries, scoring_queries
+from . import exact_queries, model_data_queries, model_queries, profile_queries, scoring_queries
 
-_MODULES = [profile_queries, model_data_queries, scoring_queries, model_queries]
+_MODULES = [profile_queries, model_data_queries, scoring_queries, model_queries, exact_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
