@@ -4,10 +4,13 @@ least squares of least norm, and logistic regression at its optimum.
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import exact_tree
+from ..operators import exact_tree, least_squares, logistic
+from ..operators import models as md
 from ..sources.tables import read_table
 
 CLASS_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
@@ -56,6 +59,43 @@ def exact_tree_predictions(spark, d):
     return told.groupBy(F.col("l_returnflag").alias("actual"), flag.alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def least_squares_min_norm(spark, d):
+    """Order total on a dummy for every priority, one of them twice: collinear, so the shortest solution is asked for."""
+    orders = read_table(spark, d, "orders").select("o_totalprice", *[
+        (F.col("o_orderpriority") == p).cast("double").alias(p) for p in PRIORITIES])
+    rows = orders.withColumn("again", F.col(f"`{PRIORITIES[0]}`"))
+    fitted = least_squares.fit(rows, [*PRIORITIES, "again"], "o_totalprice")
+    found = [(f, float(w), fitted.rank, fitted.residual) for f, w in
+             zip([*fitted.features, "(intercept)"], [*fitted.coefficients, fitted.intercept])]
+    return (spark.createDataFrame(found, "feature string, coefficient double, rank int, residual double")
+            .select("feature", F.round("coefficient", 4).alias("coefficient"), "rank",
+                    F.round(F.col("residual") / 1e9, 4).alias("residual_1e9")))
+
+
+def logistic_optimum(spark, d):
+    """Whether a line is dear, from its quantity and discount: the optimum that Newton's method
+    reaches from the library's fit, the gradient there, and whether the certificate of the library's fit holds."""
+    rows = read_table(spark, d, "lineitem").select(
+        (F.col("l_quantity") / 10).alias("quantity"), (F.col("l_discount") * 10).alias("discount"),
+        (F.col("l_extendedprice") > 35000).cast("double").alias("label"))
+    features = ["quantity", "discount"]
+    n = rows.count()
+    estimator: LogisticRegression = dict(md.candidates("classification", n))["Logistic Regression"]
+    model = estimator.fit(md.assemble(rows, features))
+    start = np.append(model.coefficients.toArray(), model.intercept)
+    first = logistic.certify(rows, features, "label", start)
+    best, last = logistic.optimum(rows, features, "label", start)
+    off = float(np.linalg.norm(best[0] - start))
+    found = [(f, float(w), abs(float(g)) < 1e-9, off <= first.distance + last.distance, last.distance < 1e-6, last.objective)
+             for f, w, g in zip([*features, "(intercept)"], best[0], last.gradient[0])]
+    return (spark.createDataFrame(found, "feature string, coefficient double, gradient_is_zero boolean, "
+                                         "start_within_bound boolean, certified boolean, objective double")
+            .withColumn("coefficient", F.round("coefficient", 6)).withColumn("objective", F.round("objective", 9)))
+
+
 def _cuts(source: str, n_features: int, classes: int | None) -> str:
     """SQL of the best cut (f, threshold) per path of ``source`` (path, id), among rows of ``base`` (id, x, y)."""
     if classes:
@@ -119,8 +159,48 @@ QUERIES = {
     "exact_tree_numbers": exact_tree_numbers,
     "exact_tree_importance": exact_tree_importance,
     "exact_tree_predictions": exact_tree_predictions,
+    "least_squares_min_norm": least_squares_min_norm,
+    "logistic_optimum": logistic_optimum,
 }
 
+#: With a dummy for every level, fitted values are the means m of the levels, and w = m + c fits for any c.  The level
+#: that is there twice shares its w between two columns, so it counts half in the c of the shortest w.
+_LEAST_NORM = f"""
+WITH m AS (SELECT o_orderpriority AS p, avg(o_totalprice) AS m, count(*) AS n FROM orders GROUP BY 1),
+c AS (SELECT -sum(m * CASE WHEN p = '{PRIORITIES[0]}' THEN 0.5 ELSE 1 END)
+             / sum(CASE WHEN p = '{PRIORITIES[0]}' THEN 0.5 ELSE 1 END) AS c FROM m),
+w AS (SELECT p AS feature, (m + c) * CASE WHEN p = '{PRIORITIES[0]}' THEN 0.5 ELSE 1 END AS w FROM m, c
+      UNION ALL SELECT 'again', (m + c) / 2 FROM m, c WHERE p = '{PRIORITIES[0]}'
+      UNION ALL SELECT '(intercept)', -c FROM c),
+r AS (SELECT sum((o_totalprice - m) ^ 2) / 1e9 AS r FROM orders JOIN m ON o_orderpriority = p)
+SELECT feature, round(w, 4) AS coefficient, 4 AS rank, round(r, 4) AS residual_1e9 FROM w, r"""
+
+_LOGISTIC = """
+WITH RECURSIVE d AS (
+  SELECT l_quantity / 10 AS x, l_discount * 10 AS z, (l_extendedprice > 35000)::INT AS y FROM lineitem),
+it AS (
+  SELECT 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c
+  UNION ALL
+  SELECT k + 1,
+    a - (ga * (hbb * hcc - hbc * hbc) - hab * (gb * hcc - hbc * gc) + hac * (gb * hbc - hbb * gc)) / det,
+    b - (haa * (gb * hcc - hbc * gc) - ga * (hab * hcc - hbc * hac) + hac * (hab * gc - gb * hac)) / det,
+    c - (haa * (hbb * gc - gb * hbc) - hab * (hab * gc - gb * hac) + ga * (hab * hbc - hbb * hac)) / det
+  FROM (
+    SELECT *, haa * (hbb * hcc - hbc * hbc) - hab * (hab * hcc - hbc * hac) + hac * (hab * hbc - hbb * hac) AS det
+    FROM (
+      SELECT k, a, b, c, sum((p - y) * x) + a AS ga, sum((p - y) * z) + b AS gb, sum(p - y) AS gc,
+             sum(p * (1 - p) * x * x) + 1 AS haa, sum(p * (1 - p) * x * z) AS hab, sum(p * (1 - p) * x) AS hac,
+             sum(p * (1 - p) * z * z) + 1 AS hbb, sum(p * (1 - p) * z) AS hbc, sum(p * (1 - p)) AS hcc
+      FROM (SELECT *, 1 / (1 + exp(-(a * x + b * z + c))) AS p FROM it, d)
+      GROUP BY k, a, b, c))
+  WHERE k < 25),
+w AS (SELECT * FROM it WHERE k = 25),
+o AS (SELECT (sum(ln(1 + exp(a * x + b * z + c)) - y * (a * x + b * z + c)) + any_value(a * a + b * b) / 2) / count(*) AS f
+      FROM w, d)
+SELECT feature, round(v, 6) AS coefficient, true AS gradient_is_zero, true AS start_within_bound, true AS certified,
+       round(f, 9) AS objective
+FROM (SELECT unnest(['quantity', 'discount', '(intercept)']) AS feature, unnest([a, b, c]) AS v FROM w), o"""
+
 
 def oracles() -> dict[str, str]:
     return {
@@ -135,4 +215,6 @@ SELECT feature, round(sum(gain) / (SELECT sum(gain) FROM gains), 8) AS importanc
         "exact_tree_predictions": _tree_sql("lineitem", CLASS_FEATURES, _LABEL, len(FLAGS), f"""
 SELECT {FLAGS}[y + 1] AS actual, {FLAGS}[prediction::INT + 1] AS predicted, count(*) AS n
 FROM grown JOIN nodes USING (depth, path) JOIN base USING (id) WHERE feature IS NULL GROUP BY ALL"""),
+        "least_squares_min_norm": _LEAST_NORM,
+        "logistic_optimum": _LOGISTIC,
     }
