@@ -8,6 +8,9 @@ integers, decimals or booleans.  A second, narrow ``select`` casts.
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,7 @@ from ..functions.typing_rules import (
     FALSE_TOKENS, INFINITY_PATTERN, INTEGER_PATTERN, NA_TOKENS, NUMBER_PATTERN, TRUE_TOKENS,
     qcol, text_to_boolean, text_to_number,
 )
+from .csv_records import records
 
 
 def dedupe_header(names: list[str]) -> list[str]:
@@ -86,18 +90,34 @@ def infer_types(df: DataFrame) -> dict[str, T.DataType]:
     return types
 
 
+def _split_records(spark: SparkSession, path: str, sep: str) -> tuple[list[str], DataFrame] | None:
+    """Header and records of files in which some quoted field holds a line break; None if there is none."""
+    found = records(spark, path, sep)
+    if found is None:
+        return None
+    headers = [next(csv.reader([r["text"]], delimiter=sep)) if "\n" not in r["text"] else
+               next(csv.reader(io.StringIO(r["text"], newline=""), delimiter=sep))
+               for r in found.where("first").select("text").distinct().limit(2).collect()]
+    if len(headers) > 1 and headers[0] != headers[1]:
+        raise ValueError(f"the files below {path} have different headers: {headers}")
+    return headers[0], found.where("not first").select("text")
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False,
              na_tokens: list[str] | None = None, infer: bool = True) -> DataFrame:
     """Read a headed CSV file (or directory of files) the way pandas.read_csv does.
 
-    ``multi_line=True`` allows quoted newlines, at the cost of splitting the
-    file only per file.  Rows with more fields than the header, and files
+    Line breaks inside quotes are kept, and files are split all the same (see
+    ``csv_records``): a pass over the lines with quotes finds out whether there are
+    any, and files without are left to Spark's reader.  ``multi_line=True`` leaves
+    such files to Spark's reader too, one task a file.  Rows with more fields than the header, and files
     with another header than the rest, are errors; short rows are filled up
     with missing values.  A missing header name at the end is a column too.
     """
     options = {"sep": sep, "multiLine": str(multi_line).lower(), "escape": '"', "mode": "PERMISSIVE",
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    names = dedupe_header(_headers(spark, path, options))
+    apart = None if multi_line else _split_records(spark, path, sep)
+    names = dedupe_header(apart[0] if apart else _headers(spark, path, options))
     if not names:
         return spark.createDataFrame([], T.StructType([]))
     # one column more than the header takes up what overlong rows have in excess
@@ -105,8 +125,12 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool =
     while extra in names:
         extra += "_"
     schema = T.StructType([T.StructField(n, T.StringType(), True) for n in [*names, extra]])
-    read = (spark.read.schema(schema).options(**options).option("header", True).option("enforceSchema", True)
-            .csv(path))
+    if apart:
+        fields = F.from_csv(F.col("text"), ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, extra]), {**options, "multiLine": "true"})
+        read = apart[1].select(fields.alias("r")).select("r.*")
+    else:
+        read = (spark.read.schema(schema).options(**options).option("header", True).option("enforceSchema", True)
+                .csv(path))
     overlong = F.raise_error(F.concat(F.lit(f"a row of {path} has more than {len(names)} fields, near: "),
                                       F.coalesce(*[qcol(n) for n in names], F.lit(""))))
     raw = read.select(*[F.when(qcol(extra).isNotNull(), overlong).otherwise(qcol(n)).alias(n) if i == 0 else qcol(n)
