@@ -6,6 +6,8 @@ codegen); nothing in this module runs Python per row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,6 +168,27 @@ def parse_date(c: Column, fmt: str) -> Column:
     return F.when(c.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))
 
 
+def _date_class(fmt: str) -> str:
+    """The class of the dates of a format: a 9 for a run of digits, an a for a run of letters, other signs as they are."""
+    return re.sub("[A-Za-z]+", lambda m: "a" if m[0].startswith("MMM") else "9", fmt.removesuffix(_TIME))
+
+
+def formats_of(c: Column, formats: list[str] = DATE_FORMATS) -> Column:
+    """Positions in ``formats`` (of DATE_FORMATS) of those in which a text is a date; NULL or empty without any."""
+    signs = F.regexp_replace(F.regexp_replace(c, "[0-9]+", "9"), "[A-Za-z]+", "a")
+    timed = c.contains(":")
+    classes: dict[tuple[str, bool], list[int]] = {}
+    for j, fmt in enumerate(formats):
+        classes.setdefault((_date_class(fmt), fmt.endswith(_TIME)), []).append(j)
+    found = None
+    for (cls, with_time), members in classes.items():
+        tried = F.array_compact(F.array(*[F.when(parse_date(c, formats[j]).isNotNull(), F.lit(j)) for j in members]))
+        fits = timed & F.startswith(signs, F.lit(cls)) if with_time else ~timed & (signs == cls)
+        found = F.when(fits, tried) if found is None else found.when(fits, tried)
+    # the shortest date has eight signs, the longest a long month, a fraction of a second and an offset
+    return F.when(F.length(c).between(8, 64), found)
+
+
 def text_to_boolean(c: Column) -> Column:
     """'True'/'False' tokens (three spellings each) to boolean, else NULL."""
     return (F.when(c.isin(TRUE_TOKENS), F.lit(True))
