@@ -39,7 +39,7 @@ def fold(rows: DataFrame, add: Callable[[np.ndarray | None, np.ndarray], np.ndar
          merge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
     """One array from all rows of doubles: ``add`` takes in blocks of rows, ``merge`` joins two results (flat arrays).
 
-    None without rows.
+    A missing value arrives as NaN.  None without rows.
     """
     width = len(rows.columns)
     size = max(1, BLOCK_CELLS // width)
@@ -47,7 +47,7 @@ def fold(rows: DataFrame, add: Callable[[np.ndarray | None, np.ndarray], np.ndar
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
         for batch in batches:
-            block = np.column_stack([c.to_numpy() for c in batch.columns])
+            block = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             for at in range(0, len(block), size):
                 state = add(state, block[at:at + size])
         if state is not None:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.layout import aggregate_in_passes, spread
 from ..functions.typing_rules import nan_to_null, qcol, to_number, type_class
+from .dense import fold
 
 _INF = float("inf")
 
@@ -103,32 +103,34 @@ def plot_numeric_columns(df: DataFrame) -> list[str]:
 def _product_sums(df: DataFrame, columns: list[str], means: list[float]) -> np.ndarray:
     """Sums of products of all pairs among (shifted values, presence, squares) of the columns, in one scan.
 
-    Every task multiplies its rows into one matrix of (3 x columns)^2 numbers,
-    whatever its rows; the matrices are added up by place.
+    Every task adds its rows up to one matrix of (3 x columns)^2 numbers, whatever
+    its rows, and hands it on as one row; matrices meet in small groups, level by
+    level.  What rounding takes from a sum is carried along and added at the end.
     """
     shift = np.array(means)
     width = 3 * len(columns)
-    upper = np.triu_indices(width)
 
-    def run(batches):
-        total = np.zeros((width, width))
+    def add(state, x):
         with np.errstate(invalid="ignore"):       # an infinity only spoils the pairs of its own column
-            for b in batches:
-                x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1).astype(float)
-                there = ~np.isnan(x)
-                y = np.where(there, x - shift, 0.0)
-                z = np.concatenate([y, there, y * y], axis=1)
-                total += z.T @ z
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(upper[0]))), pa.array(total[upper])],
-                                         names=["place", "value"])
-
-    sums = (df.select(*[qcol(c) for c in columns]).mapInArrow(run, "place long, value double")
-            .groupBy("place").agg(F.sum("value").alias("value")).collect())   # (3 x columns)^2 / 2 rows
-    out = np.zeros((width, width))
-    for r in sums:
-        i, j = upper[0][r["place"]], upper[1][r["place"]]
-        out[i, j] = out[j, i] = r["value"]
-    return out
+            there = ~np.isnan(x)
+            y = np.where(there, x - shift, 0.0)
+            z = np.concatenate([y, there, y * y], axis=1)
+            own = np.concatenate([(z.T @ z).ravel(), np.zeros(width * width)])
+        return own if state is None else merge(state, own)
+
+    def merge(a, b):
+        (sa, ra), (sb, rb) = np.split(a, 2), np.split(b, 2)
+        with np.errstate(invalid="ignore"):
+            s = sa + sb
+            back = s - sa
+            rest = (sa - (s - back)) + (sb - back)   # exactly what s lacks
+            return np.concatenate([s, ra + rb + np.where(np.isfinite(rest), rest, 0.0)])
+
+    total = fold(df.select(*[qcol(c).cast("double") for c in columns]), add, merge)
+    if total is None:
+        return np.zeros((width, width))
+    s, r = np.split(total, 2)
+    return (s + r).reshape(width, width)
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

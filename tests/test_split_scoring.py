@@ -133,3 +133,11 @@ def test_labels_numbered_without_one_task(spark):
     labels = tg.fit_labels(df.repartition(7), "t")
     assert [(r["value"], r["class_index"]) for r in labels.orderBy("value").collect()] == [
         (f"v{i:03d}", i) for i in range(500)]
+
+
+def test_split_where_many_rows_share_a_hash(spark):
+    df = spark.range(3000).select(F.lit("same").alias("g"), (F.col("id") % 1500).alias("x"))
+    flagged = sp.flag_test_rows(df, ["g"])
+    assert flagged.groupBy("is_test").count().where("is_test").first()["count"] == 600 and flagged.count() == 3000
+    again = sp.flag_test_rows(df.repartition(11), ["g"])
+    assert flagged.exceptAll(again).count() == 0
