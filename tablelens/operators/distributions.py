@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.layout import aggregate_in_passes, spread
@@ -13,6 +13,7 @@ from ..functions.typing_rules import nan_to_null, qcol, to_number, type_class
 from .dense import fold
 
 _INF = float("inf")
+SAMPLE_SEED = 42
 
 
 def _coerced(df: DataFrame, column: str, context: str = "plot") -> Column:
@@ -186,6 +187,41 @@ def scatter_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
             .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
 
 
+def scatter_sample(df: DataFrame, x: str, y: str, key: list[str], per_cell: int = 4, bins: int = 50,
+                   seed: int = SAMPLE_SEED) -> DataFrame:
+    """(x_bin, y_bin, x, y, and the key columns): a sample of the scatter in which sparse regions show.
+
+    Of every cell of the grid the ``per_cell`` rows with the smallest md5 of seed and
+    ``key`` (ties: by their values).  Which rows those are depends on the rows
+    only, not on how they are laid out.  Spark limits each cell within every task
+    before it shuffles (up to ``spark.sql.optimizer.windowGroupLimitThreshold`` rows a
+    cell), so at most bins^2 * per_cell rows a task move.  The key should tell rows
+    apart.  Rows without a number, and infinities, are left out.
+    """
+    if x == y:
+        raise ValueError("scatter needs two different columns")
+    if not key:
+        raise ValueError("name the columns that tell rows apart")
+    df = nan_to_null(df)
+    parts = [F.coalesce(F.concat(F.lit("="), qcol(c).cast("string")), F.lit("-")) for c in key]
+    points = (df.select(_coerced(df, x).alias("x"), _coerced(df, y).alias("y"),
+                        F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)).alias("__h"),
+                        F.struct(*[qcol(c).alias(f"k{i}") for i, c in enumerate(key)]).alias("__key"))
+              .where((F.abs("x") < F.lit(_INF)) & (F.abs("y") < F.lit(_INF))))
+    r = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    low, high = [], []
+    for lo, hi in ((r["x0"], r["x1"]), (r["y0"], r["y1"])):
+        lo, hi = (0.0, 1.0) if lo is None else (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
+        low.append(lo)
+        high.append(hi)
+    for name, lo, hi in (("x", low[0], high[0]), ("y", low[1], high[1])):
+        points = with_bin(points, name, lo, hi, bins, f"{name}_bin")
+    order = [F.col("__h"), F.col("x"), F.col("y"), F.col("__key")]
+    place = F.row_number().over(Window.partitionBy("x_bin", "y_bin").orderBy(*order))
+    points = points.withColumn("__place", place).where(F.col("__place") <= per_cell)
+    return points.select("x_bin", "y_bin", "x", "y", *[F.col("__key")[f"k{i}"].alias(c) for i, c in enumerate(key)])
+
+
 def scatter_grid(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     """(x_bin, y_bin, x_lower, y_lower, count): a 2-D histogram of the scatter.
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.layout import materialize
 from ..functions.typing_rules import (
     is_atomic, nan_to_null, qcol, to_number, type_class,
 )
@@ -231,15 +232,44 @@ def missing_total(df: DataFrame) -> DataFrame:
     )
 
 
+#: Fingerprints met twice that are sent to every task: 16 bytes each.
+MAX_BROADCAST_PRINTS = 1_000_000
+
+
+def repeated_rows(df: DataFrame, max_broadcast: int = MAX_BROADCAST_PRINTS) -> DataFrame:
+    """Every row that occurs more than once, once, with its number of copies in ``__k``.
+
+    Exact, but rows that occur once are not moved.  A first pass shuffles
+    128-bit fingerprints only and keeps those met twice; rows with one of them are
+    candidates, and only candidates are grouped by all their columns.  Up to
+    ``max_broadcast`` fingerprints are sent to all tasks; more are joined by shuffle.
+    """
+    df = nan_to_null(df)
+    cols = [qcol(c) for c in df.columns]
+    prints = row_keys(df, "fingerprint")
+    names = [f"__print{i}" for i in range(len(prints))]
+    printed = df.select(*cols, *[p.alias(n) for p, n in zip(prints, names)])
+    twice = materialize(printed.groupBy(*names).agg(F.count(F.lit(1)).alias(_K)).where(F.col(_K) > 1).select(*names))
+    few = twice.limit(max_broadcast + 1).count() <= max_broadcast
+    found = printed.join(F.broadcast(twice) if few else twice, names, "left_semi")
+    return found.groupBy(*cols).agg(F.count(F.lit(1)).alias(_K)).where(F.col(_K) > 1)
+
+
 def duplicate_rows_total(df: DataFrame, method: str = "exact") -> DataFrame:
     """One row: rows, distinct rows, duplicate rows (copies after the first).
 
     Missing equals missing, as in pandas ``duplicated``.  ``method`` as in
-    ``row_keys``.
+    ``row_keys``, or ``candidates``: exact, but only rows whose fingerprint is met
+    twice are shuffled.
     """
     df = _groupable(nan_to_null(df))
-    g = df.groupBy(*row_keys(df, method)).agg(F.count(F.lit(1)).alias(_K))
     k = F.col(_K)
+    if method == "candidates":
+        copies = repeated_rows(df).agg(F.coalesce(F.sum(k - 1), F.lit(0).cast("long")).alias("duplicate_rows"))
+        n = df.agg(F.count(F.lit(1)).alias("n_rows")).first()["n_rows"]
+        return copies.select(F.lit(n).cast("long").alias("n_rows"),
+                             (F.lit(n) - F.col("duplicate_rows")).cast("long").alias("distinct_rows"), "duplicate_rows")
+    g = df.groupBy(*row_keys(df, method)).agg(F.count(F.lit(1)).alias(_K))
     return g.agg(
         F.coalesce(F.sum(k), F.lit(0).cast("long")).alias("n_rows"),
         F.count(F.lit(1)).alias("distinct_rows"),
@@ -247,21 +277,26 @@ def duplicate_rows_total(df: DataFrame, method: str = "exact") -> DataFrame:
     )
 
 
-def duplicate_rows_listing(df: DataFrame, chunk: int = 100_000, spread: int | None = None) -> DataFrame:
+def duplicate_rows_listing(df: DataFrame, chunk: int = 100_000, spread: int | None = None,
+                           method: str = "exact") -> DataFrame:
     """All copies of each row except the first (pandas ``df[df.duplicated()]``).
 
     Order-free: rows are grouped, and a row with k copies is re-emitted k - 1
     times.  A row duplicated a billion times must not be re-emitted by one
     task, so the k - 1 copies are cut into chunks of ``chunk`` rows, the
     chunk descriptors are spread over ``spread`` partitions (round robin), and
-    each chunk is expanded where it lands.
+    each chunk is expanded where it lands.  ``method="candidates"`` moves only rows
+    whose fingerprint is met twice (see ``repeated_rows``).
     """
+    if method not in ("exact", "candidates"):
+        raise ValueError("method must be 'exact' or 'candidates'")
     df = nan_to_null(df)
     cols = [qcol(c) for c in df.columns]
     spark = df.sparkSession
     if spread is None:
         spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias(_K)).where(F.col(_K) > 1)
+    g = (repeated_rows(df) if method == "candidates"
+         else df.groupBy(*cols).agg(F.count(F.lit(1)).alias(_K)).where(F.col(_K) > 1))
     extra = F.col(_K) - 1
     n_chunks = F.floor((extra - 1) / chunk).cast("long") + 1
     chunks = (

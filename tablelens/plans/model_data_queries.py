@@ -103,6 +103,12 @@ def scatter_grid(spark, d):
               ["x_lower", "y_lower"])
 
 
+def scatter_sample(spark, d):
+    """Four lines of every cell of the scatter's grid, the same ones however the table is laid out."""
+    return _r(dist.scatter_sample(read_table(spark, d, "lineitem"), "l_quantity", "l_extendedprice",
+                                  ["l_orderkey", "l_linenumber"]), ["x", "y"])
+
+
 def predicted_vs_actual(spark, d):
     return _r(dist.predicted_vs_actual(lineitem_linear_rule(spark, d)), ["actual", "predicted", "line_min", "line_max"])
 
@@ -277,6 +283,7 @@ QUERIES = {
     "correlation_matrix": correlation_matrix,
     "scatter_pairs": scatter_pairs,
     "scatter_grid": scatter_grid,
+    "scatter_sample": scatter_sample,
     "predicted_vs_actual": predicted_vs_actual,
     "residuals": residuals,
     "validate_targets": validate_targets,
@@ -355,9 +362,10 @@ def _sql_correlation_gaps() -> str:
 _SQL_INDEX = "CAST(strpos('ANR', {}) - 1 AS VARCHAR)"
 
 
-def _sql_scatter_grid(bins: int = 50) -> str:
+def _sql_scatter_cells(bins: int) -> str:
     return f"""
-WITH v AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem
+WITH v AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y, l_orderkey, l_linenumber
+           FROM lineitem
            WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
 r AS (SELECT CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS x0,
              CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS x1,
@@ -368,12 +376,24 @@ ex AS (SELECT CAST(i AS INTEGER) AS b, x0 + i * ((x1 - x0) / {bins}) AS lo,
        FROM r, range({bins}) t(i)),
 ey AS (SELECT CAST(i AS INTEGER) AS b, y0 + i * ((y1 - y0) / {bins}) AS lo,
               CASE WHEN i = {bins - 1} THEN y1 ELSE y0 + (i + 1) * ((y1 - y0) / {bins}) END AS hi
-       FROM r, range({bins}) t(i))
-SELECT ex.b AS x_bin, ey.b AS y_bin, round(any_value(ex.lo), 6) AS x_lower, round(any_value(ey.lo), 6) AS y_lower,
-       count(*) AS count
-FROM v JOIN ex ON v.x >= ex.lo AND (v.x < ex.hi OR (ex.b = {bins - 1} AND v.x <= ex.hi))
-       JOIN ey ON v.y >= ey.lo AND (v.y < ey.hi OR (ey.b = {bins - 1} AND v.y <= ey.hi))
-GROUP BY ex.b, ey.b"""
+       FROM r, range({bins}) t(i)),
+c AS (SELECT v.*, ex.b AS x_bin, ey.b AS y_bin, ex.lo AS x_lower, ey.lo AS y_lower
+      FROM v JOIN ex ON v.x >= ex.lo AND (v.x < ex.hi OR (ex.b = {bins - 1} AND v.x <= ex.hi))
+             JOIN ey ON v.y >= ey.lo AND (v.y < ey.hi OR (ey.b = {bins - 1} AND v.y <= ey.hi)))"""
+
+
+def _sql_scatter_grid(bins: int = 50) -> str:
+    return f"""{_sql_scatter_cells(bins)}
+SELECT x_bin, y_bin, round(any_value(x_lower), 6) AS x_lower, round(any_value(y_lower), 6) AS y_lower, count(*) AS count
+FROM c GROUP BY x_bin, y_bin"""
+
+
+def _sql_scatter_sample(bins: int, per_cell: int) -> str:
+    return f"""{_sql_scatter_cells(bins)}
+SELECT x_bin, y_bin, round(x, 6) AS x, round(y, 6) AS y, l_orderkey, l_linenumber FROM (
+  SELECT *, row_number() OVER (PARTITION BY x_bin, y_bin
+                               ORDER BY md5('42|=' || l_orderkey || '|=' || l_linenumber)) AS place FROM c)
+WHERE place <= {per_cell}"""
 
 
 def _sql_validate_targets() -> str:
@@ -525,6 +545,7 @@ def oracles() -> dict[str, str]:
         "scatter_pairs": """SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y
 FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL""",
         "scatter_grid": _sql_scatter_grid(50),
+        "scatter_sample": _sql_scatter_sample(50, 4),
         "predicted_vs_actual": f"""
 WITH p AS {SQL_LINEAR_RULE}
 SELECT round(label, 6) AS actual, round(prediction, 6) AS predicted,

@@ -46,6 +46,16 @@ def duplicate_rows_listing(spark: SparkSession, d: str) -> DataFrame:
     return profile.duplicate_rows_listing(fx.lineitem_dup(spark, d))
 
 
+def duplicate_texts_total(spark: SparkSession, d: str) -> DataFrame:
+    """Exact duplicates among documents without moving texts that occur once."""
+    return profile.duplicate_rows_total(read_table(spark, d, "documents").select("lang", "text"), method="candidates")
+
+
+def duplicate_texts_listing(spark: SparkSession, d: str) -> DataFrame:
+    found = profile.duplicate_rows_listing(read_table(spark, d, "documents").select("lang", "text"), method="candidates")
+    return found.select("lang", F.md5("text").alias("text_md5"))
+
+
 def unique_by_column(spark: SparkSession, d: str) -> DataFrame:
     return profile.unique_by_column(fx.docs_gaps(spark, d))
 
@@ -98,6 +108,8 @@ QUERIES = {
     "missing_by_column": missing_by_column,
     "duplicate_rows_total": duplicate_rows_total,
     "duplicate_rows_listing": duplicate_rows_listing,
+    "duplicate_texts_total": duplicate_texts_total,
+    "duplicate_texts_listing": duplicate_texts_listing,
     "unique_by_column": unique_by_column,
     "unique_by_column_fingerprint": unique_by_column_fingerprint,
     "duplicate_values_by_column": duplicate_values_by_column,
@@ -274,6 +286,12 @@ FROM (SELECT count(*) AS k FROM {fx.SQL_DUP} t GROUP BY ALL_COLUMNS)""".replace(
 SELECT l_returnflag, l_linestatus, l_linenumber FROM (
   SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_linenumber) AS rn FROM {fx.SQL_DUP} t)
 WHERE rn > 1""",
+        "duplicate_texts_total": """
+SELECT CAST(sum(k) AS BIGINT) AS n_rows, count(*) AS distinct_rows, CAST(sum(k - 1) AS BIGINT) AS duplicate_rows
+FROM (SELECT count(*) AS k FROM documents GROUP BY lang, text)""",
+        "duplicate_texts_listing": """
+SELECT lang, md5(text) AS text_md5 FROM (
+  SELECT lang, text, row_number() OVER (PARTITION BY lang, text) AS rn FROM documents) WHERE rn > 1""",
         "unique_by_column": _sql_distinct("unique"),
         "unique_by_column_fingerprint": _sql_distinct("unique"),
         "duplicate_values_by_column": _sql_distinct("duplicates"),

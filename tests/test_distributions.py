@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from tablelens.operators import distributions as dist
 
 
@@ -70,3 +73,18 @@ def test_correlation_wide_long_form_matches_pandas(spark):
     for a in cols:
         for b in cols:
             assert abs(m[(a, b)] - want.loc[a, b]) < 1e-9
+
+
+def test_scatter_sample_does_not_depend_on_layout(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 97).cast("double").alias("x"),
+                                  F.when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.col("id") % 13).alias("y"))
+    df = df.unionByName(spark.createDataFrame([(9999, 1e6, 500), (9998, float("inf"), 1)], "id long, x double, y long"))
+    a = dist.scatter_sample(df, "x", "y", ["id"], per_cell=2, bins=10)
+    b = dist.scatter_sample(df.repartition(17), "x", "y", ["id"], per_cell=2, bins=10)
+    assert a.exceptAll(b).count() == 0 == b.exceptAll(a).count()
+    assert a.groupBy("x_bin", "y_bin").count().where("count > 2").count() == 0
+    assert a.where("id = 9999").count() == 1 and a.where("id = 9998 or y is null").count() == 0
+    assert "WindowGroupLimit" in a._jdf.queryExecution().executedPlan().toString()
+    assert dist.scatter_sample(df.limit(0), "x", "y", ["id"]).count() == 0
+    with pytest.raises(ValueError):
+        dist.scatter_sample(df, "x", "x", ["id"])

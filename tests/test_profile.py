@@ -132,3 +132,19 @@ def test_wide_table_chunks(spark):
         assert st[c]["unique"] == pdf[c].nunique()
         assert st[c]["duplicate_values"] == int(pdf[c].duplicated().sum())
         assert st[c]["max_num"] == pdf[c].max()
+
+
+def test_duplicates_by_candidates(spark):
+    """Equal to grouping whole rows, with missing values, both zeros and either join."""
+    rows = [(i % 40 if i % 3 else None, float(i % 7) * (-1 if i % 2 else 1), "t" * (i % 5)) for i in range(300)]
+    rows += [(1000, 0.0, "z"), (1000, -0.0, "z"), (1001, float("nan"), None), (1001, None, None), (1002, 1.0, "once")]
+    df = spark.createDataFrame(rows, "a int, b double, c string")
+    total = profile.duplicate_rows_total(df).first()
+    assert profile.duplicate_rows_total(df, "candidates").first() == total and total["duplicate_rows"] > 2
+    listed = profile.duplicate_rows_listing(df)
+    by_candidates = profile.duplicate_rows_listing(df, method="candidates")
+    assert listed.exceptAll(by_candidates).count() == 0 == by_candidates.exceptAll(listed).count()
+    few, many = (profile.repeated_rows(df, n) for n in (10**6, 0))
+    assert few.exceptAll(many).count() == 0 and few.count() == many.count()
+    assert "Broadcast" in few._jdf.queryExecution().executedPlan().toString()
+    assert profile.duplicate_rows_total(df.limit(0), "candidates").first()["n_rows"] == 0
