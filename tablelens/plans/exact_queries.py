@@ -9,7 +9,8 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import exact_tree, least_squares, logistic
+from ..operators import attribution, exact_tree, least_squares, logistic
+from ..operators import metrics as mt
 from ..operators import models as md
 from ..sources.tables import read_table
 
@@ -96,6 +97,20 @@ def logistic_optimum(spark, d):
             .withColumn("coefficient", F.round("coefficient", 6)).withColumn("objective", F.round("objective", 9)))
 
 
+def permutation_importance(spark, d):
+    """What R^2 of a linear model of the price loses when quantity or discount comes from another line."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]  # no fewer tell lines apart
+    lines = read_table(spark, d, "lineitem").select(*key, "l_discount", "l_extendedprice")
+    features = ["l_quantity", "l_discount"]
+    model = least_squares.fit(lines, features, "l_extendedprice")
+
+    def r2(frame) -> float:
+        return mt.regression_summary(model.predict(frame), "l_extendedprice", "prediction").first()["r2"]
+
+    found = attribution.permutation_importance(lines, features, key, r2)
+    return found.select("feature", *[F.round(c, 7).alias(c) for c in ("score", "score_without", "importance")])
+
+
 def _cuts(source: str, n_features: int, classes: int | None) -> str:
     """SQL of the best cut (f, threshold) per path of ``source`` (path, id), among rows of ``base`` (id, x, y)."""
     if classes:
@@ -161,8 +176,26 @@ QUERIES = {
     "exact_tree_predictions": exact_tree_predictions,
     "least_squares_min_norm": least_squares_min_norm,
     "logistic_optimum": logistic_optimum,
+    "permutation_importance": permutation_importance,
 }
 
+_PERMUTATION = """
+WITH d AS (
+  SELECT l_quantity::DOUBLE AS q, l_discount::DOUBLE AS c, l_extendedprice::DOUBLE AS y,
+         md5('42|=' || l_orderkey || '|=' || l_linenumber || '|=' || l_partkey || '|=' || l_suppkey
+             || '|=' || l_quantity) AS h FROM lineitem),
+m AS (SELECT var_pop(q) AS qq, var_pop(c) AS cc, covar_pop(q, c) AS qc, covar_pop(q, y) AS qy, covar_pop(c, y) AS cy,
+             avg(q) AS mq, avg(c) AS mc, avg(y) AS my FROM d),
+w AS (SELECT (qy * cc - cy * qc) / (qq * cc - qc * qc) AS a, (cy * qq - qy * qc) / (qq * cc - qc * qc) AS b, * FROM m),
+s AS (SELECT q, c, y, coalesce(lead(q) OVER (ORDER BY h), first_value(q) OVER (ORDER BY h)) AS sq,
+             coalesce(lead(c) OVER (ORDER BY h), first_value(c) OVER (ORDER BY h)) AS sc FROM d),
+p AS (SELECT y, my, my + a * (q - mq) + b * (c - mc) AS whole, my + a * (sq - mq) + b * (c - mc) AS no_q,
+             my + a * (q - mq) + b * (sc - mc) AS no_c FROM s, w),
+r AS (SELECT 1 - sum((y - whole) ^ 2) / sum((y - my) ^ 2) AS whole, 1 - sum((y - no_q) ^ 2) / sum((y - my) ^ 2) AS no_q,
+             1 - sum((y - no_c) ^ 2) / sum((y - my) ^ 2) AS no_c FROM p)
+SELECT 'l_quantity' AS feature, round(whole, 7) AS score, round(no_q, 7) AS score_without, round(whole - no_q, 7) AS importance
+FROM r UNION ALL SELECT 'l_discount', round(whole, 7), round(no_c, 7), round(whole - no_c, 7) FROM r"""
+
 #: With a dummy for every level, fitted values are the means m of the levels, and w = m + c fits for any c.  The level
 #: that is there twice shares its w between two columns, so it counts half in the c of the shortest w.
 _LEAST_NORM = f"""
@@ -217,4 +250,5 @@ SELECT {FLAGS}[y + 1] AS actual, {FLAGS}[prediction::INT + 1] AS predicted, coun
 FROM grown JOIN nodes USING (depth, path) JOIN base USING (id) WHERE feature IS NULL GROUP BY ALL"""),
         "least_squares_min_norm": _LEAST_NORM,
         "logistic_optimum": _LOGISTIC,
+        "permutation_importance": _PERMUTATION,
     }

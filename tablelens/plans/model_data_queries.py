@@ -392,7 +392,7 @@ def _sql_scatter_sample(bins: int, per_cell: int) -> str:
     return f"""{_sql_scatter_cells(bins)}
 SELECT x_bin, y_bin, round(x, 6) AS x, round(y, 6) AS y, l_orderkey, l_linenumber FROM (
   SELECT *, row_number() OVER (PARTITION BY x_bin, y_bin
-                               ORDER BY md5('42|=' || l_orderkey || '|=' || l_linenumber)) AS place FROM c)
+                               ORDER BY md5('42|=' || l_orderkey || '|=' || l_linenumber), x, y) AS place FROM c)
 WHERE place <= {per_cell}"""
 
 
