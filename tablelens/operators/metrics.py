@@ -18,6 +18,9 @@ from .ordered import running_totals
 
 _INF = float("inf")
 
+#: A confusion matrix shows pairs that do not occur up to so many classes.
+MAX_GRID_CLASSES = 1000
+
 
 def _zero_div(num: Column, den: Column) -> Column:
     """num / den, and 0 when den is 0 (an empty class scores 0)."""
@@ -111,19 +114,23 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     return pcl.unionByName(tail)
 
 
-def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction",
+                     max_grid_classes: int = MAX_GRID_CLASSES) -> DataFrame:
     """(actual, predicted, count) for every pair over the class union, zeros included.
 
-    The result has classes^2 rows by definition, whatever their number; the
-    grid is spread over the executors by its first class.
+    Zeros are classes^2 rows by definition.  With over ``max_grid_classes`` classes
+    only the pairs that occur are returned.
     """
     pc = pair_counts(df, label, prediction)
-    classes = (pc.select(F.explode(F.array("actual", "predicted")).alias("c")).where(F.col("c").isNotNull())
-               .agg(F.collect_set("c").alias("all")))
-    grid = (classes.select(F.explode("all").alias("actual"), "all").repartition("actual")
-            .select("actual", F.explode("all").alias("predicted")))
-    return (grid.join(pc, ["actual", "predicted"], "left")
-            .select("actual", "predicted", F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("count")))
+    classes = materialize(pc.select(F.explode(F.array("actual", "predicted")).alias("actual")).distinct().where("actual is not null"))
+    counts = pc.where("actual is not null and predicted is not null").select("actual", "predicted", F.col("n").alias("count"))
+    known = [r["actual"] for r in classes.limit(max_grid_classes + 1).collect()]
+    if not known or len(known) > max_grid_classes:
+        return counts
+    dtype = classes.schema["actual"].dataType
+    grid = classes.select("actual", F.explode(F.array(*[F.lit(c).cast(dtype) for c in known])).alias("predicted"))
+    return (grid.join(counts, ["actual", "predicted"], "left")
+            .select("actual", "predicted", F.coalesce(F.col("count"), F.lit(0).cast("long")).alias("count")))
 
 
 def score_groups(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:

@@ -60,3 +60,13 @@ def test_regression(spark):
     c1 = spark.createDataFrame([(2.0, 2.0), (2.0, 2.0)], "label double, prediction double")
     c2 = spark.createDataFrame([(2.0, 2.0), (2.0, 3.0)], "label double, prediction double")
     assert _m(mt.regression_metrics(c1))["R2"] == 1.0 and _m(mt.regression_metrics(c2))["R2"] == 0.0
+
+
+def test_confusion_matrix_of_many_classes(spark):
+    from tablelens.operators import metrics
+    df = spark.createDataFrame([(f"c{i}", f"c{i + i % 2}") for i in range(30)], "label string, prediction string")
+    grid = metrics.confusion_matrix(df)
+    assert grid.count() == 31 * 31 and grid.where("count > 0").count() == 30
+    sparse = metrics.confusion_matrix(df, max_grid_classes=30)
+    assert sorted(map(tuple, sparse.collect())) == sorted(map(tuple, grid.where("count > 0").collect()))
+    assert metrics.confusion_matrix(df.limit(0)).count() == 0

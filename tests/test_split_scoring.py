@@ -141,3 +141,18 @@ def test_split_where_many_rows_share_a_hash(spark):
     assert flagged.groupBy("is_test").count().where("is_test").first()["count"] == 600 and flagged.count() == 3000
     again = sp.flag_test_rows(df.repartition(11), ["g"])
     assert flagged.exceptAll(again).count() == 0
+
+
+def test_short_and_long_category_lists_agree(spark, city_train, monkeypatch):
+    doms = sc.fit_domains(city_train, ["city"])
+    new = spark.createDataFrame([(1, "Q"), (2, "Z"), (3, None), (4, "Z"), (5, "")], "id int, city string")
+
+    def told():
+        checked = sc.validate_rows(new, doms, sc.domain_values(city_train, doms))
+        return checked, sorted(map(tuple, checked.collect()))
+
+    short, rows = told()
+    assert "Join" not in short._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(sc, "SHORT_LIST", 2)
+    long, same = told()
+    assert "Join" in long._jdf.queryExecution().executedPlan().toString() and rows == same
