@@ -48,6 +48,43 @@ def test_network_finds_what_patterns_miss(spark):
     assert secrets.redacted("abcdef", [(0, 3, "x"), (2, 5, "y")], "#") == "#f"
 
 
+def test_whole_candidates_are_read(spark):
+    """A key is found wherever it stands in a long run, whatever its shape, and beside a base span."""
+    net = secrets.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    rng = random.Random(4)
+
+    def some(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    lower, alnum = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    paths = ["see " + "/".join(some(lower, rng.randint(3, 9)) for _ in range(10)) + f"/ghp_{some(alnum, 36)} now"
+             for _ in range(200)]
+    assert sum(s == [(4, len(t) - 4, "learned")] for t, (_, s) in zip(paths, secrets.find(net, paths))) >= 196
+    texts = ["the db_pass: Ab3$kLm9xQ is here", "use postgres://user:p4ss.w0rd9Z@host for it",
+             "set h8Kd.92jF.aQ0x.Zp3L there", "key QWERTZUIOPASDFGHJKLY works"]
+    assert [s for _, s in secrets.find(net, texts)] == [[(13, 23, "learned")], [(4, 36, "learned")],
+                                                        [(4, 23, "learned")], [(4, 24, "learned")]]
+    both = '{"password":"abc123def","other":"ghp_' + some(alnum, 36) + '"}'
+    (base, spans), = secrets.find(net, [both])
+    assert len(base) == 1 and len(spans) == 2 and both[spans[1][0]:spans[1][1]].endswith(both[-38:-2])
+    long = "x/" * 200_000 + "ghp_" + some(alnum, 36)
+    (_, spans), = secrets.find(net, [long])
+    assert spans == [(0, len(long), "learned")]
+    assert [s for _, s in secrets.find(net, ["plain words only", "the token is required here", "", "on 2024-05-06"])] \
+        == [[], [], [], []]
+
+
+def test_candidates_and_windows():
+    assert secrets.candidates("Something ordinary, (however) IMPORTANT words; shortw0") == []
+    text = "run ab12-cd.34! then 'pass': swordfish end"
+    assert [text[s:e] for s, e in secrets.candidates(text)] == ["ab12-cd.34", "swordfish"]
+    for n in (8, 56, 57, 84, 85, 300):
+        starts = range(0, max(1, n - secrets.INSIDE + secrets.STEP), secrets.STEP)
+        assert len(secrets.windows("x" * n, 0, n)) == len(starts) and starts[-1] + secrets.INSIDE >= n
+    assert secrets.beside("abcdefgh1234567890", 0, 18, [(0, 3, "x")]) == [(3, 18)]
+    assert secrets.best_of(np.array([1.0, 3.0, 2.0]), np.array([0, 0, 1])).tolist() == [3.0, 2.0]
+
+
 def test_quality_against_labels(spark):
     """No label is used in fitting; clean documents are kept, damaged ones go."""
     judged = quality.judge(spark.read.parquet(f"{SF}/documents.parquet"))
