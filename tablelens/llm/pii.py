@@ -9,21 +9,28 @@ least ``support`` different contexts, is sanitised wherever it stands near the
 entity; ordinary words tell next to nothing, and a word seen once next to an
 entity is no evidence.
 
-p(e | t) is the number of places where t stands near e over all places of t in
-the corpus, p(e) the number of places of e over all terms.  Counts are
-aggregated before they are shuffled and joined on the term, so a frequent word
-is one row.  Positions come from the gaps between matches, so no text is
-searched twice; contexts are at most ``CONTEXT`` characters on either side.
+A term is a maximal run of letters and digits outside all base spans,
+lower-cased, of any length and script.  It stands near an entity if it lies
+within the ``CONTEXT`` characters before or after it, whatever else stands
+there.  p(e | t) is the number of places where t stands near e over all places
+of t in the corpus, p(e) the number of places of e over the characters of the
+corpus.  Counts are aggregated before they are shuffled and joined on the term,
+so a frequent word is one row.
+
+Positions are running sums over the lengths of matches and gaps, in two levels
+(``_running``), and contexts are cut from chunks of the text, so the cost of a
+document grows in step with its number of matches.
 
 Edge cases: a NULL or empty text has no spans; repeated rows are scanned each
 for itself and count as so many places; rows with a NULL id are told apart by
-their text; an empty table gives an empty result; other columns are ignored by
-``scan`` and kept by ``sanitise``.  The cost within one document grows with
-the square of its number of matches of a kind.
+their text; an empty table gives an empty result; other columns, whatever
+their names, are ignored by ``scan`` and kept by ``sanitise``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +50,9 @@ CONTEXT = 64
 DISCLOSURE = 0.95
 SUPPORT = 2
 
-_TERM_PATTERN = r"\p{L}{4,}+"
+_TERM_PATTERN = r"[\p{L}\p{N}]++"
+_GROUP, _CHUNK = 128, 256
+_PLACE = "array<struct<start:bigint,end:bigint,value:string>>"
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string,before:string,after:string>>"
 
 
@@ -70,43 +79,88 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _upto(low: Column, high: Column) -> Column:
+    """low, low + 1, ..., high; empty if there are none (``sequence`` would count down)."""
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of ``op`` (with zero as neutral element) over an array of longs.
+
+    Groups of ``_GROUP`` values are folded first, so that a place needs its own group and the result before it.
+    """
+    zero, one = F.lit(0).cast("long"), F.lit(1)
+
+    def group(i: Column) -> Column:  # of place i, from 0
+        return F.floor((i - 1) / _GROUP).cast("int")
+
+    def fold(start: Column, low: Column, high: Column, of: Column) -> Column:
+        return F.aggregate(_upto(low, high), start, lambda a, j: op(a, F.element_at(of, j)))
+
+    def result(v: Column) -> Column:
+        n = F.size(v)
+        groups = F.transform(_upto(one, group(n) + 1), lambda k: fold(
+            zero, (k - 1) * _GROUP + 1, F.least(k * _GROUP, n), v))
+        heads = _let(groups, lambda g: F.transform(_upto(one, F.size(g)), lambda k: fold(zero, one, k - 1, g)))
+        return _let(heads, lambda h: F.transform(_upto(one, n), lambda i: fold(
+            F.element_at(h, group(i) + 1), group(i) * _GROUP + 1, i, v)))
+
+    return F.when(F.size(values) > 0, _let(values, result)).otherwise(F.array().cast("array<bigint>"))
+
+
 def _placed(text: Column, pattern: str) -> Column:
-    """Matches of a pattern with start, end and the text on both sides, from the gaps between them."""
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-
-    def step(state: Column, i: Column) -> Column:
-        match, gap = F.element_at(state.matches, i), F.element_at(state.gaps, i)
-        start = state.at + F.length(gap)
-        end = start + F.length(match)
-        one = F.struct(start.alias("start"), end.alias("end"), match.alias("value"),
-                       F.right(gap, F.lit(CONTEXT)).alias("before"),
-                       F.left(F.element_at(state.gaps, i + 1), F.lit(CONTEXT)).alias("after"))
-        return F.struct(end.alias("at"), state.matches.alias("matches"), state.gaps.alias("gaps"),
-                        F.concat(state.found, F.array(one)).alias("found"))
-
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>")
-    first = F.struct(F.lit(0).cast("long").alias("at"), matches.alias("matches"), gaps.alias("gaps"),
-                     none.alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(matches)), first, step, lambda s: s.found)
-
-
-def _of_kind(text: Column, rank: int, kind: str, pattern: str, sign: Column) -> Column:
-    empty = F.array().cast(_SPAN)
+    """Matches of a pattern with start and end, from the gaps between them."""
+    def places(p: Column) -> Column:
+        numbers = _upto(F.lit(1), F.size(p.matches))
+        steps = F.transform(numbers, lambda i: (F.length(F.element_at(p.gaps, i))
+                                                + F.length(F.element_at(p.matches, i))).cast("long"))
+        return _let(_running(steps, lambda a, b: a + b), lambda ends: F.transform(numbers, lambda i: F.struct(
+            (F.element_at(ends, i) - F.length(F.element_at(p.matches, i))).alias("start"),
+            F.element_at(ends, i).alias("end"), F.element_at(p.matches, i).alias("value"))))
+
+    return _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("matches"),
+                         F.split(text, pattern, -1).alias("gaps")), places).cast(_PLACE)
+
+
+def _chunks(text: Column) -> Column:
+    """The text in parts of ``_CHUNK`` characters, from which ``_cut`` takes stretches without walking through it."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _CHUNK), 0)
+
+
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """Characters from start up to end; places outside the text have none."""
+    low, high = F.floor(start / _CHUNK).cast("int"), F.floor((end - 1) / _CHUNK).cast("int")
+
+    def part(k: Column) -> Column:
+        at = F.greatest((start - k * _CHUNK).cast("int"), F.lit(0))
+        return F.substring(F.element_at(chunks, k + 1), at + 1, (end - k * _CHUNK).cast("int") - at)
+
+    return F.array_join(F.transform(_upto(low, F.least(high, F.size(chunks) - 1)), part), "")
+
+
+def _of_kind(text: Column, chunks: Column, rank: int, kind: str, pattern: str) -> Column:
+    """Valid matches, with ``CONTEXT`` characters and one more on either side."""
     placed = F.filter(_placed(text, pattern), lambda m: _valid(kind, m.value))
-    ranked = F.transform(placed, lambda m: F.struct(m.start.alias("start"), F.lit(rank).alias("rank"),
-                                                    m.end.alias("end"), F.lit(kind).alias("kind"),
-                                                    m.value.alias("value"), m.before.alias("before"),
-                                                    m.after.alias("after")))
-    return F.when(sign, ranked.cast(_SPAN)).otherwise(empty)
+    return F.transform(placed, lambda m: F.struct(
+        m.start.alias("start"), F.lit(rank).alias("rank"), m.end.alias("end"), F.lit(kind).alias("kind"),
+        m.value.alias("value"),
+        _cut(chunks, F.greatest(m.start - CONTEXT - 1, F.lit(0)), m.start).alias("before"),
+        _cut(chunks, m.end, m.end + CONTEXT + 1).alias("after"))).cast(_SPAN)
 
 
 def base_spans(text: Column) -> Column:
     """Base spans by start and then kind, with what stands on both sides."""
-    text = F.coalesce(text, F.lit(""))
+    text, none = F.coalesce(text, F.lit("")), F.array().cast(_SPAN)
     signs = [F.contains(text, F.lit("@")), text.rlike(IP), text.rlike(CARD), F.contains(text, F.lit("+"))]
-    patterns = [EMAIL, IP, CARD, PHONE]
-    return F.array_sort(F.concat(*[_of_kind(text, i, k, p, s)
-                                   for i, (k, p, s) in enumerate(zip(KINDS, patterns, signs))]))
+    kinds = list(zip(KINDS, [EMAIL, IP, CARD, PHONE], signs))
+    return F.when(signs[0] | signs[1] | signs[2] | signs[3], _let(_chunks(text), lambda chunks: F.array_sort(F.concat(
+        *[F.when(sign, _of_kind(text, chunks, i, kind, pattern)).otherwise(none)
+          for i, (kind, pattern, sign) in enumerate(kinds)])))).otherwise(none)
 
 
 def written(spans: Column) -> Column:
@@ -115,16 +169,28 @@ def written(spans: Column) -> Column:
 
 
 def _terms(text: Column, at: Column) -> Column:
-    """Terms of a short context: the lower-cased word, start and end; ``at`` is where the context starts."""
-    ws, gaps = F.regexp_extract_all(text, F.lit(_TERM_PATTERN), 0), F.split(text, _TERM_PATTERN, -1)
+    """Runs of letters and digits: the lower-cased run, start and end; ``at`` is where the text starts."""
+    return F.transform(_placed(text, _TERM_PATTERN), lambda r: F.struct(
+        F.lower(r.value).alias("term"), (at + r.start).alias("start"), (at + r.end).alias("end")))
+
+
+def _near(e: Column) -> Column:
+    """Whole runs within ``CONTEXT`` characters of an entity; one that goes on outside or in the entity is left out."""
+    run = _TERM_PATTERN
+    before = F.when(F.length(e.before) > CONTEXT, F.regexp_replace(e.before, f"^(?s:{run}|.)", "")).otherwise(e.before)
+    after = F.when(F.length(e.after) > CONTEXT, F.regexp_replace(e.after, f"(?s:{run}|.)$", "")).otherwise(e.after)
+    left = F.when(e.value.rlike(f"^{run}"), F.regexp_replace(before, f"{run}$", "")).otherwise(before)
+    cut_off = F.when(e.value.rlike(f"{run}$"), F.regexp_extract(after, f"^{run}", 0)).otherwise("")
+    return F.concat(_terms(left, e.start - F.length(before)),
+                    _terms(F.substr(after, F.length(cut_off) + 1), e.end + F.length(cut_off)))
 
-    def end(i: Column) -> Column:  # characters up to the end of word i (from 1), in a context of bounded length
-        return at + F.length(F.array_join(F.slice(gaps, F.lit(1), i), "")) + F.length(
-            F.array_join(F.slice(ws, F.lit(1), i), ""))
 
-    return F.when(F.size(ws) > 0, F.transform(F.sequence(F.lit(1), F.size(ws)), lambda i: F.struct(
-        F.lower(F.element_at(ws, i)).alias("term"), (end(i) - F.length(F.element_at(ws, i))).alias("start"),
-        end(i).alias("end"))))
+def _inside(e: Column) -> Column:
+    """Runs that share characters with an entity, written start:term; whole if up to ``CONTEXT`` stand outside."""
+    left = F.when(e.value.rlike(f"^{_TERM_PATTERN}"), F.regexp_extract(e.before, f"{_TERM_PATTERN}$", 0)).otherwise("")
+    right = F.when(e.value.rlike(f"{_TERM_PATTERN}$"), F.regexp_extract(e.after, f"^{_TERM_PATTERN}", 0)).otherwise("")
+    return F.transform(_terms(F.concat(left, e.value, right), e.start - F.length(left)),
+                       lambda t: F.concat_ws(":", t.start.cast("string"), t.term))
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -136,26 +202,32 @@ def found(docs: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, base: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """Terms near entities that give them away: doc_id, text_hash and their spans."""
+    some = base.filter(F.size("base") > 0)
     entity = F.explode("base").alias("e")
-    near = base.filter(F.size("base") > 0).select("doc_id", "text_hash", entity).select(
-        "doc_id", "text_hash", F.concat_ws(":", "e.kind", F.lower("e.value")).alias("entity"),
-        F.xxhash64("e.before", "e.after").alias("context"),
-        # a word cut by the edge of the context is left out
-        F.regexp_replace("e.before", r"^\p{L}+", "").alias("before"), F.col("e.start").alias("start"),
-        F.regexp_replace("e.after", r"\p{L}+$", "").alias("after"), F.col("e.end").alias("end"))
-    sides = F.concat(F.coalesce(_terms(F.col("before"), F.col("start") - F.length("before")), F.array()),
-                     F.coalesce(_terms(F.col("after"), F.col("end")), F.array()))
-    placed = cut(near.select("doc_id", "text_hash", "entity", "context", F.explode_outer(sides).alias("t"))
-                 .select("doc_id", "text_hash", "entity", "context", "t.*"))
-
-    entities = (base.select(entity).select(F.concat_ws(":", "e.kind", F.lower("e.value")).alias("entity"))
+    name = F.concat_ws(":", "e.kind", F.lower("e.value")).alias("entity")
+    e = F.col("e")
+    near = some.select("doc_id", "text_hash", entity).select(
+        "doc_id", "text_hash", name,
+        F.xxhash64(F.right("e.before", F.lit(CONTEXT)), F.left("e.after", F.lit(CONTEXT))).alias("context"),
+        F.explode(_near(e)).alias("t")).select("doc_id", "text_hash", "entity", "context", "t.*")
+    written_runs = F.array_distinct(F.flatten(F.transform("base", _inside)))
+    inside = cut(some.select("doc_id", "text_hash", F.explode(written_runs).alias("run")).select(
+        "doc_id", "text_hash", F.substring_index("run", ":", 1).cast("long").alias("start"),
+        F.substring_index("run", ":", -1).alias("term")))
+    taken = inside.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("start").alias("at"))
+    placed = cut(near.join(taken, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+                           & (F.col("start") == F.col("at")), "left_anti"))
+
+    entities = (some.select(entity).select(name)
                 .groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
-    together = placed.filter(F.col("term").isNotNull()).groupBy("term", "entity").agg(
+    together = placed.groupBy("term", "entity").agg(
         F.count(F.lit(1)).alias("n_both"), F.count_distinct("context").alias("n_contexts"))
     candidates = together.filter(F.col("n_contexts") >= support)
     text = F.lower(F.coalesce("text", F.lit("")))
     terms = (docs.select(F.explode(F.regexp_extract_all(text, F.lit(_TERM_PATTERN), 0)).alias("term"))
-             .groupBy("term").agg(F.count(F.lit(1)).alias("n_term")))
+             .groupBy("term").agg(F.count(F.lit(1)).alias("n_all"))
+             .join(inside.groupBy("term").agg(F.count(F.lit(1)).alias("n_inside")), "term", "left")
+             .select("term", (F.col("n_all") - F.coalesce("n_inside", F.lit(0))).alias("n_term")))
     counted = cut(terms.join(candidates.select("term").distinct(), "term", "right"))
     total = docs.select(F.sum(F.length("text"))).first()[0] or 0  # places in the corpus, counted in characters
     bits = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
@@ -176,11 +248,10 @@ def _spans(docs: DataFrame, disclosure: float, support: int) -> DataFrame:
     short = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
     only = F.transform("base", lambda s: F.struct(s.start.alias("start"), s.rank.alias("rank"), s.end.alias("end"),
                                                   s.kind.alias("kind"))).cast(short)
-    outside = F.filter(F.coalesce("terms", F.array().cast(short)),  # a term inside a base span is masked with it
-                       lambda t: ~F.exists("base", lambda s: (s.start < t.end) & (t.start < s.end)))
+    terms = F.coalesce("terms", F.array().cast(short)).cast(short)
     return (base.join(extra, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
             .select("doc_id", "text_hash", only.alias("base"),
-                    F.array_sort(F.concat(only, outside.cast(short))).alias("spans")))
+                    F.array_sort(F.concat(only, terms)).alias("spans")))
 
 
 def scan(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -194,22 +265,27 @@ def scan(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
 
 def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """The rows of ``docs`` with every span of ``text`` generalised to its kind, such as [EMAIL]."""
-    spans = _spans(docs, disclosure, support).filter(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct()
-
-    def step(state: Column, s: Column) -> Column:
-        inside = s.start < state.at  # overlaps what was replaced before
-        out = F.when(inside, state.out).otherwise(F.concat(
-            state.out, F.substring(F.col("text"), state.at + 1, s.start - state.at), F.lit("["), F.upper(s.kind),
-            F.lit("]")))
-        return F.struct(out.alias("out"), F.greatest(state.at, s.end.cast("int")).alias("at"))
-
-    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    typed = F.transform("_spans", lambda s: F.struct(s.start.cast("int").alias("start"), s.end.alias("end"),
-                                                     s.kind.alias("kind")))
-    masked = F.aggregate(typed, first, step, lambda s: F.concat(
-        s.out, F.substring(F.col("text"), s.at + 1, F.length("text"))))
-    joined = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit("")))).join(
-        spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
-    return joined.select(*[F.when(F.col("_id").isNull() & F.col("_spans").isNull(), F.col("text")).otherwise(masked)
-                           .alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    spans = _spans(docs, disclosure, support).filter(F.size("spans") > 0).select("doc_id", "text_hash", "spans") \
+        .groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))  # repeated rows have the same spans
+    text, row = F.col("row.text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    joined = docs.select(row, key.alias("key")).join(
+        spans, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_hash")), "left")
+
+    def masked(p: Column) -> Column:
+        reach = _running(F.transform(p.spans, lambda s: s.end), F.greatest)
+
+        def piece(i: Column, ends: Column) -> Column:
+            before = F.when(i > 1, F.element_at(ends, F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(0).cast("long"))
+            s = F.element_at(p.spans, i)  # nothing for one that overlaps what was replaced before
+            return F.when(s.start >= before, F.concat(_cut(p.chunks, before, s.start), F.lit("["), F.upper(s.kind),
+                                                      F.lit("]"))).otherwise("")
+
+        return _let(reach, lambda ends: F.concat(
+            F.array_join(F.transform(_upto(F.lit(1), F.size(p.spans)), lambda i: piece(i, ends)), ""),
+            _cut(p.chunks, F.element_at(ends, -1), p.size)))
+
+    parts = F.struct(F.col("spans").alias("spans"), _chunks(text).alias("chunks"),
+                     F.length(text).cast("long").alias("size"))
+    return joined.select(*[F.when(F.col("spans").isNull(), text).otherwise(_let(parts, masked)).alias(c)
+                           if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -2,11 +2,13 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import regex
 import tiktoken
 import xxhash
 from tokenizers import Tokenizer
@@ -124,3 +126,32 @@ def personal(text):
                 continue
             found.append((m.start(), k, m.end(), kind))
     return sorted(found)
+
+
+def disclosing(rows, context, disclosure, support):
+    """Spans of disclosing terms by row, from all pairs of a run and an entity."""
+    places, n_term, n_entity, both, contexts = [], {}, {}, {}, {}
+    total = max(2, sum(len(t or "") for _, t in rows))
+    for i, (_, t) in enumerate(rows):
+        t = t or ""
+        base = personal(t)
+        runs = [m for m in regex.finditer(r"[\p{L}\p{N}]+", t)
+                if not any(s < m.end() and m.start() < e for s, _, e, _ in base)]
+        for m in runs:
+            n_term[m[0].lower()] = n_term.get(m[0].lower(), 0) + 1
+        for s, _, e, kind in base:
+            entity = f"{kind}:{t[s:e].lower()}"
+            n_entity[entity] = n_entity.get(entity, 0) + 1
+            for m in runs:
+                if s - context <= m.start() and m.end() <= s or e <= m.start() and m.end() <= e + context:
+                    pair = m[0].lower(), entity
+                    both[pair] = both.get(pair, 0) + 1
+                    contexts.setdefault(pair, set()).add((t[max(0, s - context):s], t[e:e + context]))
+                    places.append((i, m.span(), pair))
+    found = [set() for _ in rows]
+    for i, span, pair in places:
+        bits = math.log2(total / n_entity[pair[1]])
+        told = bits - math.log2(max(n_term[pair[0]], both[pair]) / both[pair])
+        if len(contexts[pair]) >= support and told > disclosure * bits:
+            found[i].add(span)
+    return found

@@ -261,6 +261,53 @@ def test_disclosing_terms(spark):
     assert "Zephyrine" not in masked and "[EMAIL]" in masked and "[TERM]" in masked
 
 
+@pytest.mark.parametrize("disclosure", [0.95, 0.5])
+def test_disclosing_terms_against_brute_force(spark, disclosure):
+    """Short names, other scripts, numbers, terms beside other entities and letters that go on into an entity."""
+    rng = random.Random(8)
+    rows = [(d, r["text"]) for d, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect())]
+    rows += [(200 + i, f"{w} write to Lee Wu or 李明 (staff 4711) under jane.wu@corp.example {w} 10.0.0.{i} and "
+                       f"+1 212 555 019{i} 10.0.0.1xyz") for i, w in enumerate(["please", "now", "maybe"])]
+    rows += [(210, "Lee"), (211, "éjane@corp.example Lee"), (212, ""), (213, None), (200, rows[150][1]),
+             (None, rows[151][1]), (214, "under " * 40), (215, "x" * 80 + "10.0.0.7" + "é" * 70 + " Wu 10.0.0.7 Wu")]
+    rows += [(300 + i, " ".join(rng.choice(["ab", "é", "10.0.0.9", "a@b.c", "+1 212 555 0199", "李", "x1"])
+                                for _ in range(60))) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted((repr(d), sorted(s)) for (d, _), s in zip(rows, brute.disclosing(
+        rows, pii.CONTEXT, disclosure, pii.SUPPORT)))
+    got = sorted((repr(r["doc_id"]), sorted(tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",")
+                                           if s.startswith("term"))) for r in pii.scan(df, disclosure).collect())
+    assert got == expected
+    assert sum(len(s) for _, s in expected) > 10
+    if disclosure == 0.95:
+        text = pii.sanitise(df).filter("doc_id = 201").first()["text"]
+        assert all(w not in text for w in ("Lee", "Wu", "李明", "4711")) and text.startswith("now")
+
+
+def test_sanitise_keeps_any_column(spark):
+    names = ["_key", "_id", "key", "row", "spans", "text_hash", "_spans", "hash", "id", "a.b"]
+    df = spark.createDataFrame([(1, "mail jane@corp.example", *names), (1, "mail jane@corp.example", *names),
+                                (2, None, *names)],
+                               "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = pii.sanitise(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(
+        [(1, "mail [EMAIL]", *names)] * 2 + [(2, None, *names)], key=repr)
+
+
+def test_text_with_many_personal_data(spark):
+    """Time grows in step with the matches; places stay exact."""
+    n = 10_000
+    text = "é " + "a@b.cd 10.0.0.1 " * n
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.scan(df).first()
+    assert (r["n_email"], r["n_ip"]) == (n, n)
+    spans = [f"{k}:{2 + 16 * i + at}:{2 + 16 * i + to}" for i in range(n)
+             for k, at, to in (("email", 0, 6), ("ip", 7, 15))]
+    assert r["base_sha256"] == brute.sha(",".join(spans))
+    assert pii.sanitise(df).first()["text"] == "[TERM] " + "[EMAIL] [IP] " * n
+
+
 def test_neighbours_of_mixed_density(spark):
     """Most rows in tight clusters, the rest sparse: every query gets all its rows, and the nearest ones."""
     rng = np.random.default_rng(9)
