@@ -214,6 +214,59 @@ def test_change_feed(spark, documents, tmp_path):
     assert tuple(first) == (len(seen), words)
 
 
+def test_change_feed_by_group(spark, tmp_path):
+    """Every total of the registered feed, with texts that share an id and ids that share a text."""
+    rows = [(1, "a", "en", "x y"), (5, "a", "en", "x y"), (5, "a", "de", "only * here"), (5, "b", "en", "x  y"),
+            (1, "a", "en", "x y"), (None, "a", None, "x y"), (None, None, None, None), (7, "b", "en", "$1 and & two"),
+            (8, "b", "en", "$1 and & two"), (9, "b", "en", "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    versions = {"words": counts.word_tokenizer, "chars": lambda: lambda ts: [len(t) for t in ts]}
+    got = rows_of(counts.change_feed(counts.Rollup(spark, str(tmp_path / "groups")), df, versions), "*")
+    least = {}
+    for d, _, _, t in rows:
+        if d is not None:
+            least[t or ""] = min(d, least.get(t or "", d))
+    sums = {}
+    for d, source, lang, t in rows:
+        t = t or ""
+        if d is not None and d > least[t]:
+            continue
+        t = "".join(c for c in t if c not in "#*$%&|<>")
+        for version, n in (("words", len(t.split())), ("chars", len(t))):
+            old = sums.get((source, lang, version), (0, 0, 0))
+            sums[source, lang, version] = (old[0] + 1, old[1] + n, old[2] + len(t))
+    same(got, [(*k, *v) for k, v in sums.items()])
+
+
+def test_concurrent_commits(spark, tmp_path):
+    """Of two deletes made from one state, the second is made anew; nothing is taken out twice."""
+    folder = str(tmp_path / "race")
+    df = spark.createDataFrame([(i, "s", "en", "a b") for i in range(9)], "doc_id long, source string, lang string, text string")
+    entries = counts.counted(df, {"w": counts.word_tokenizer})
+    one, two = counts.Rollup(spark, folder), counts.Rollup(spark, folder)
+    one.insert("load", entries)
+    ids = df.filter("doc_id < 3").select("doc_id", F.lit("w").alias("version"))
+    claim, states = one._claim, []
+
+    def late(seq, record):
+        if not states:
+            two.delete("first", ids)
+        states.append(seq)
+        return claim(seq, record)
+
+    one._claim = late
+    assert one.delete("second", ids) and states == [1, 2]
+    assert one.committed() == ["first", "load", "second"]
+    assert one.totals().select("n_docs", "n_tokens").first() == (6, 12) and one.ledger().count() == 6
+    states.clear()
+    one._claim = lambda seq, record: (not states and two.insert("same", entries), states.append(seq),
+                                      claim(seq, record))[-1]
+    assert not one.insert("same", entries) and one.totals().first()["n_docs"] == 15
+    one._claim = claim
+    one.compact()
+    assert two.totals().first()["n_docs"] == 15 and two.delete("again", ids) and two.totals().first()["n_docs"] == 12
+
+
 def test_neighbours(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     odd = spark.createDataFrame(
