@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    exact_queries, model_data_queries, model_queries, profile_queries, scoring_queries, source_queries,
+    exact_queries, forest_queries, model_data_queries, model_queries, profile_queries, scoring_queries, source_queries,
 )
 
-_MODULES = [profile_queries, model_data_queries, scoring_queries, model_queries, exact_queries, source_queries]
+_MODULES = [profile_queries, model_data_queries, scoring_queries, model_queries, exact_queries, forest_queries,
+            source_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
