@@ -48,7 +48,8 @@ TABLES = 4
 WIDTH = 1.5
 SUCCESS = 0.98
 REACH = 2  # cells looked at on either side, by projection
-MAX_HASHES = 6
+#: Buckets of a table a query may visit in the first round, whatever the size of the table.
+LISTED = 16_384
 #: Entries aimed at in a bucket.  Handling a probe costs as much as scoring about this many entries, so smaller
 #: buckets, and the many more probes they need, cost more than they save.
 BUCKET = 2048
@@ -56,20 +57,21 @@ BLOCK = 4096
 RADIUS_QUERIES = 64
 #: Rounds of probing before a query is compared with all entries.
 ROUNDS = 3
-#: Queries of a block scored at once.
+#: Queries of a block scored at once, and probes (each with its vector) handed on at once.
 SLICE = 512
+PROBES = 16_384
 EVERY = 20
 
-_ENTRY = "entry long, ids array<long>, vector array<float>"
 _FOUND = "query long, t int, block long, ids array<array<long>>, scores array<double>"
 #: The table whose one bucket holds all entries.
 _ALL = -1
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(id, vector): one row per id, with vectors that can be compared."""
+    """(id, vector): one row per id, with vectors that can be compared; components stay float, or become double."""
+    kept = "array<float>" if dict(vectors.dtypes)[column] == "array<float>" else "array<double>"
     rows = (vectors.select(F.col(f"`{id_column}`").cast("long").alias("id"),
-                           F.col(f"`{column}`").cast("array<float>").alias("vector"))
+                           F.col(f"`{column}`").cast(kept).alias("vector"))
             .filter(F.col("id").isNotNull() & F.col("vector").isNotNull()))
     v = F.col("vector")
     finite = F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
@@ -145,6 +147,34 @@ class Tables:
     def _name(self, cells: np.ndarray) -> np.ndarray:
         return (cells.astype(np.int64) * self.names).sum(axis=-1)
 
+    def _likely(self, chance: np.ndarray, cells: np.ndarray, most: float) -> np.ndarray | None:
+        """Names of the buckets of one query by falling chance, until they add up to the success wanted.
+
+        ``chance`` and ``cells`` are by projection and step.  A part of a bucket
+        is followed up only where its best completion reaches a floor, so all
+        buckets above the floor are listed and few others are looked at; the
+        floor falls until the list holds enough.  None if that takes more than
+        ``most`` buckets or the cells in reach do not add up.
+        """
+        best_rest = np.append(np.cumprod(chance.max(axis=1)[::-1])[::-1][1:], 1.0)
+        floor = float(chance.max(axis=1).prod()) / 8
+        while chance.sum(axis=1).prod() >= self.wanted - 1e-9:
+            joint, name, whole = np.ones(1), np.zeros(1, dtype=np.int64), True
+            for p, c, rest, factor in zip(chance, cells, best_rest, self.names):
+                joint = np.outer(joint, p).ravel()
+                name = (name[:, None] + c.astype(np.int64) * factor).ravel()
+                above = joint * rest >= floor
+                if not above.all():
+                    joint, name, whole = joint[above], name[above], False
+            order = np.argsort(-joint, kind="stable")
+            n = int(np.searchsorted(np.cumsum(joint[order]), self.wanted)) + 1
+            if n <= len(order):
+                return name[order[:n]] if n <= most else None
+            if whole or len(order) > most:
+                return None
+            floor /= 8
+        return None
+
     def placed(self, v: np.ndarray) -> np.ndarray:
         x = v / self.largest
         return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))], axis=1)
@@ -156,10 +186,11 @@ class Tables:
     def buckets(self, table: int, v: np.ndarray) -> np.ndarray:
         return self._name(np.floor(self._projected(table, self.placed(v))))
 
-    def probes(self, table: int, q: np.ndarray, radius: np.ndarray | None = None) -> Iterator[np.ndarray | None]:
+    def probes(self, table: int, q: np.ndarray, radius: np.ndarray | None = None,
+               most: float = math.inf) -> Iterator[np.ndarray | None]:
         """For each query the buckets to visit, by falling chance of holding a neighbour within its radius.
 
-        None if the cells in reach do not add up to the success wanted.
+        None if the cells in reach do not add up to the success wanted, or over ``most`` of them would be needed.
         """
         at = self._projected(table, self.asked(q))
         home = np.floor(at)
@@ -170,14 +201,7 @@ class Tables:
         below = _normal(edges / spread)
         chance = below[:, :, 1:] - below[:, :, :-1]
         for one, cell in zip(chance, home):
-            joint, cells = one[0], (cell[0] + steps)[:, None]
-            for p, c in zip(one[1:], cell[1:]):
-                joint = np.outer(joint, p).ravel()
-                cells = np.concatenate([np.repeat(cells, len(steps), axis=0),
-                                        np.tile(c + steps, len(cells))[:, None]], axis=1)
-            order = np.argsort(-joint, kind="stable")
-            n = int(np.searchsorted(np.cumsum(joint[order]), self.wanted)) + 1
-            yield self._name(cells[order[:n]]) if n <= len(order) else None
+            yield self._likely(one, cell[:, None] + steps, most)
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -197,7 +221,7 @@ def tables_for(entry_rows: DataFrame, queries: DataFrame, top: int = TOP, tables
     norms = np.linalg.norm(np.array(sample, dtype=np.float64), axis=1)
     last = np.array([scores[i][-1] for i in range(len(sample))]) / (norms * size["norm"])
     radius = float(np.quantile(np.sqrt(np.maximum(0, 2 - 2 * last)), 0.9))
-    hashes = min(MAX_HASHES, max(1, round(math.log(max(1, size["n"] / bucket)) / math.log(3.2))))
+    hashes = max(1, round(math.log(max(1, size["n"] / bucket)) / math.log(3.2)))  # buckets keep their size
     return Tables(size["dims"], hashes, size["norm"], radius, tables, success, most=max(1, size["n"] / bucket))
 
 
@@ -230,6 +254,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
     """
     spark = vectors.sparkSession
     ship(spark)
+    kind = dict(vectors.dtypes)["vector"]
+    queries = queries.withColumn("vector", F.col("vector").cast(kind))
     entry_rows = cut(entries(vectors, top))
     asked = cut(queries.groupBy("vector").agg(F.min("id").alias("id")))
     hashing = tables_for(entry_rows, asked, top, tables, success, bucket)
@@ -252,17 +278,20 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
                 if not len(b):
                     continue
                 q, radius = _matrix(b.column(1)), b.column(2).to_numpy()
-                visited = [list(hashing.probes(t, q, radius)) for t in range(tables)]
-                wide = np.array([any(x is None or len(x) > most for x in xs) for xs in zip(*visited)])
+                visited = [list(hashing.probes(t, q, radius, most)) for t in range(tables)]
+                wide = np.array([any(x is None for x in xs) for xs in zip(*visited)])
                 visited.append([np.zeros(1, dtype=np.int64)] * len(b))
                 for t, lists in zip([*range(tables), _ALL], visited):
                     kept = np.flatnonzero(wide if t == _ALL else ~wide)
                     if len(kept):
-                        who = pa.array(np.repeat(kept, [len(lists[i]) for i in kept]))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(who), t, dtype=np.int32)),
-                             pa.array(np.concatenate([lists[i] for i in kept])), b.column(0).take(who),
-                             b.column(1).take(who)], names=["t", "bucket", "query", "asked"])
+                        who = np.repeat(kept, [len(lists[i]) for i in kept])
+                        named = np.concatenate([lists[i] for i in kept])
+                        for i in range(0, len(who), PROBES):
+                            own = pa.array(who[i:i + PROBES])
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(len(own), t, dtype=np.int32)), pa.array(named[i:i + PROBES]),
+                                 b.column(0).take(own), b.column(1).take(own)],
+                                names=["t", "bucket", "query", "asked"])
 
         return probe
 
@@ -316,10 +345,10 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, tables: int =
                            F.lit(hashing.radius).alias("radius"))
     earlier = spark.createDataFrame([], _FOUND)
     for again in range(rounds):
-        probes = cut(map_batches(waiting, probing(hashing.most if again else math.inf),
-                                 "t int, bucket long, query long, asked array<float>"))
+        probes = cut(map_batches(waiting, probing(hashing.most if again else max(hashing.most, LISTED)),
+                                 f"t int, bucket long, query long, asked {kind}"))
         whole.append(probes.filter(F.col("t") == _ALL))
-        indexed = map_batches(entry_rows, index, f"t int, bucket long, {_ENTRY}").join(
+        indexed = map_batches(entry_rows, index, f"t int, bucket long, entry long, ids array<long>, vector {kind}").join(
             probes.select(*keys).distinct(), keys, "left_semi")
         parts = visit(probes.filter(F.col("t") != _ALL), indexed).unionByName(earlier)
         best = parts.groupBy("query").applyInArrow(merge, _FOUND)

@@ -308,6 +308,45 @@ def test_text_with_many_personal_data(spark):
     assert pii.sanitise(df).first()["text"] == "[TERM] " + "[EMAIL] [IP] " * n
 
 
+@pytest.mark.parametrize("hashes", [1, 3, 6])
+def test_probes_in_order_of_chance(hashes):
+    """The buckets listed are those of the full enumeration, at any number of hashes."""
+    rng = np.random.default_rng(3)
+    q = rng.normal(size=(12, 8))
+    radius = rng.uniform(0.05, 1.2, 12)
+    tables = neighbours.Tables(8, hashes, 1.0, 0.5, 2)
+    steps = np.arange(-neighbours.REACH, neighbours.REACH + 1)
+    at = tables._projected(1, tables.asked(q))
+    for one, r, found in zip(at, radius, tables.probes(1, q, radius)):
+        home = np.floor(one)
+        edges = home[:, None] + np.append(steps, neighbours.REACH + 1) - one[:, None]
+        below = neighbours._normal(edges / (r / neighbours.WIDTH))
+        grid = np.stack(np.meshgrid(*[np.arange(len(steps))] * hashes, indexing="ij"), -1).reshape(-1, hashes)
+        chance = np.prod([(below[:, 1:] - below[:, :-1])[j, grid[:, j]] for j in range(hashes)], axis=0)
+        order = np.argsort(-chance, kind="stable")
+        total = np.cumsum(chance[order])
+        if total[-1] < tables.wanted - 1e-6:
+            assert found is None
+        elif found is not None:
+            n = len(found)
+            assert total[n - 1] >= tables.wanted - 1e-9 and (n == 1 or total[n - 2] < tables.wanted + 1e-9)
+            assert len(set(found.tolist()) ^ set(tables._name(home + steps[grid[order[:n]]]).tolist())) <= 2  # ties
+            few = next(tables.probes(1, q[:1], radius[:1], n - 1)) if n > 1 else None
+            assert few is None or len(few) < n
+        else:
+            assert total[-1] < tables.wanted + 1e-6
+
+
+def test_scores_of_double_vectors(spark):
+    """Components that no float holds are not rounded before they are compared."""
+    rows = [(i, [1.0 + i * 1e-12, 0.1, 0.2]) for i in range(30)]
+    usable = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in
+             neighbours.search(usable, usable.filter("id = 0"), top=3).collect()}
+    assert [found[0, k][0] for k in (1, 2, 3)] == [29, 28, 27]
+    assert found[0, 1][1] == float((np.array(rows[0][1]) * np.array(rows[29][1])).sum())
+
+
 def test_neighbours_of_mixed_density(spark):
     """Most rows in tight clusters, the rest sparse: every query gets all its rows, and the nearest ones."""
     rng = np.random.default_rng(9)
