@@ -27,7 +27,7 @@ The order is built in three steps, none of which gathers the corpus.
 Positions are (document id, 64-bit text hash, start).  Rows that share an id
 and a text get the same result, and a start is not earlier than itself; rows
 that share only the id, or have none, are documents of their own, in the order
-of their hashes.  A NULL id comes after all others.  A
+of their hashes.  A NULL id comes after all others, like the largest long.  A
 NULL text is empty; texts under ``length`` bytes lose nothing; an empty table
 gives an empty result; other columns are ignored by ``repeats`` and kept by
 ``remove_repeats``.
@@ -57,9 +57,10 @@ LAST_ID = (1 << 63) - 1
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)  # odd, so that products lose no bits
 
-# One 64-bit value for a place: 1 bit covered, 7 bits starts - 1, 32 bits first start.
+# One 64-bit value for a place: 1 bit covered, 30 bits starts - 1, 32 bits first start.
 _COVERED = 1 << 62
 _COUNT_AT = 32
+_COUNT = (1 << 30) - 1
 _START = (1 << 32) - 1
 
 
@@ -320,7 +321,7 @@ def _cut_runs(length: int) -> Callable:
                                                column_bytes(batch.column(2)), batch.column(3).to_pylist()):
                 for r in found:
                     place = r["place"]
-                    start, count = place & _START, (place >> _COUNT_AT & 127) + 1
+                    start, count = place & _START, (place >> _COUNT_AT & _COUNT) + 1
                     if not r["hot"]:
                         rows.append((r["bucket"], doc_id, tag, place, raw[start:start + count - 1 + length], False))
                         continue
@@ -383,7 +384,7 @@ def removed_mask(size: int, places: list[int], length: int) -> np.ndarray:
         p = np.array(places, dtype=np.int64)
         start = p & _START
         np.add.at(edge, start, 1)
-        np.add.at(edge, start + (p >> _COUNT_AT & 127) + length, -1)
+        np.add.at(edge, start + (p >> _COUNT_AT & _COUNT) + length, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -401,17 +402,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_runs: i
         for b in batches:
             rows = []
             for doc_id, raw, places in zip(b.column(0).to_pylist(), column_bytes(b.column(1)),
-                                           b.column(2).to_pylist()):
+                                           b.column(2).to_pylist()):  # the id as it came
                 mask = removed_mask(len(raw), places or [], length)
                 spans = int(mask[:1].sum()) + int((mask[1:] & ~mask[:-1]).sum())
                 kept = np.frombuffer(raw, dtype=np.uint8)[~mask].tobytes()
-                rows.append((None if doc_id == LAST_ID else doc_id, len(raw), len(raw) - len(kept), spans,
+                rows.append((doc_id, len(raw), len(raw) - len(kept), spans,
                              hashlib.sha256(kept).hexdigest()))
             types = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return map_batches(_places(docs, length, gram, hot_runs).select("id", "raw", "places"), run,
+    found = _places(docs, length, gram, hot_runs, F.col("doc_id").alias("own"))
+    return map_batches(found.select("own", "raw", "places"), run,
                        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

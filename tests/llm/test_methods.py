@@ -201,6 +201,26 @@ def test_suffix_ranks(length):
     assert suffix.suffix_ranks(np.frombuffer(data, np.uint8), length).tolist() == [order[k] for k in keys]
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("length", [60, 300])
+def test_repeats_of_other_lengths(spark, length, hot):
+    """Runs of over 128 starts, and the largest id, which is not NULL."""
+    rng = random.Random(11)
+    some = ["".join(rng.choices("abcdefgh ", k=900)) for _ in range(4)]
+    rows = [(1, some[0] + some[1]), (2, "x" + some[1][:700]), (3, some[2] + some[0][100:500] + some[2][:350]),
+            (suffix.LAST_ID, some[3] + some[2]), (None, some[1][200:]), (7, "a" * 700)]
+    got = suffix.repeats(spark.createDataFrame(rows, "doc_id long, text string"), length, hot_runs=hot).collect()
+    seen, expected = set(), {}
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if t[i:i + length] in seen:
+                gone[i:i + length] = b"1" * length
+            seen.add(t[i:i + length])
+        expected[d] = gone.count(b"1")
+    assert {r["doc_id"]: r["n_removed"] for r in got} == expected and sum(expected.values()) > 1000
+
+
 def test_texts_without_repeats(spark):
     a, b = "éabcdefghijklmnopqrstuvwxyz0123456789éABCDEFGHIJK", "some other words"
     docs = spark.createDataFrame([(1, a + b, "k"), (2, "12" + a, "k"), (3, None, "k")],
