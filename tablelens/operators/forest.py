@@ -3,15 +3,17 @@
 A bootstrap sample of n rows holds each row a number of times that is Poisson
 with mean one when n is large.  Here that number comes from a seeded hash of
 the row's key and the tree, so it does not depend on partitions or on the order
-of rows, a lost task computes the same bag again, and no bag is stored.  Rows
-of weight zero are out of the tree's bag; each row is judged by exactly the
+of rows and a lost task computes the same bag again.  Rows of weight zero are
+out of the tree's bag; each row is judged by exactly the
 trees that never saw it, which estimates the error on new rows without a test
 set.
 
 Trees are single-tree MLlib forests without a bootstrap of their own (weights
 stand in for it), so each node still looks at a random subset of features.
-They are fitted ``parallelism`` at a time.  A row's votes come from one pass
-over the rows, all trees in one expression.
+They are fitted ``parallelism`` at a time.  Fitting a tree takes several passes,
+so the weights of a row, a byte a tree, are drawn once and stored beside its
+features.  A row's votes come from one pass over the rows, all trees in one
+expression.
 
 Edge cases: keys that repeat share their weights, so a key should name a row;
 a NULL in a key is a value of its own; a row that is in every bag has no votes
@@ -55,11 +57,10 @@ def bag_weight(key: list[str], tree: int, seed: int = SEED) -> Column:
     """How often the row with this key is in the bag of a tree: Poisson with mean one."""
     parts = [F.coalesce(F.concat(F.lit("="), qcol(c).cast("string")), F.lit("-")) for c in key]
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(tree)), *parts))
-    number = F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long")
-    weight = F.lit(0)
-    for limit in poisson_limits():
-        weight = weight + (number >= limit).cast("int")
-    return weight
+    # digits of one width are in the order of their numbers; hashed once, then held against each limit
+    drawn = F.transform(F.array(F.substring(digest, 1, DIGITS)), lambda x: sum(
+        (x >= F.lit(f"{limit:0{DIGITS}x}")).cast("int") for limit in poisson_limits()))
+    return drawn.getItem(0)
 
 
 def bags(df: DataFrame, key: list[str], num_trees: int, seed: int = SEED) -> DataFrame:
@@ -141,18 +142,18 @@ def fit(df: DataFrame, features: list[str], label: str, key: list[str], num_clas
         parallelism: int = 3) -> Forest:
     """Fit a classification (``num_classes``; labels 0, 1, ...) or regression forest on complete rows.
 
-    Features, label and key are checkpointed once; every tree reads them with its own weights.
+    Features, label and the weights in all bags are checkpointed once; every tree reads its own weights.
     """
-    keys = [f"__k{i}" for i in range(len(key))]
+    weights = F.array(*[bag_weight(key, t, seed).cast("byte") for t in range(num_trees)])
     rows = materialize(_with_vector(df, features, [qcol(label).cast("double").alias("__label"),
-                                                   *[qcol(c).alias(k) for c, k in zip(key, keys)]]))
+                                                   weights.alias("__weights")]))
     if rows.isEmpty():
         raise ValueError("no rows to fit")
     settings = dict(featuresCol="__features", labelCol="__label", weightCol="__weight", numTrees=1, bootstrap=False,
                     maxDepth=max_depth, maxMemoryInMB=TREE_MEMORY_MB, cacheNodeIds=True, checkpointInterval=10)
 
     def one(tree: int):
-        weighted = (rows.withColumn("__weight", bag_weight(keys, tree, seed).cast("double"))
+        weighted = (rows.withColumn("__weight", F.col("__weights").getItem(tree).cast("double")).drop("__weights")
                     .where(F.col("__weight") > 0))
         make = (RandomForestClassifier(featureSubsetStrategy="sqrt", seed=seed + tree, **settings) if num_classes
                 else RandomForestRegressor(featureSubsetStrategy="all", seed=seed + tree, **settings))

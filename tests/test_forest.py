@@ -82,3 +82,18 @@ def test_estimate_is_near_the_error_on_new_rows(spark):
     assert again.trees[0].numNodes > 10 and set(grown.out_of_bag(seen).columns) == {*seen.columns, "n_votes", "prediction"}
     with pytest.raises(ValueError):
         forest.fit(seen.limit(0), ["a"], "y", ["id"], 3, 1)
+
+
+def test_a_key_is_hashed_once_a_tree(spark):
+    """Limits are held against one hash, however many there are, and the passes of a fit hash nothing again."""
+    assert str(forest.bag_weight(["a"], 0)).lower().count("md5") == 1
+    df = spark.createDataFrame([(i, float(i % 2), float(i % 3)) for i in range(60)], "id long, x double, y double")
+    before = forest.bag_weight
+    asked = []
+    try:
+        forest.bag_weight = lambda key, tree, seed=forest.SEED: asked.append(tree) or before(key, tree, seed)
+        forest.fit(df, ["x"], "y", ["id"], None, 3, 1)
+    finally:
+        forest.bag_weight = before
+    # all trees' weights in one table that the trees read, its byte a tree enough for the largest weight
+    assert asked == [0, 1, 2] and len(forest.poisson_limits()) < 128
