@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -34,6 +35,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a table that names a few groups is sent to every executor.
+SMALL_TABLE = 100_000
+
+
+def beside(table: DataFrame, rows: int) -> DataFrame:
+    """``table`` (of at most ``rows`` rows) as the small side of a join.
+
+    A join on few keys through a shuffle brings all rows of a key to one task;
+    a table of at most ``SMALL_TABLE`` rows goes to the rows instead, which stay
+    where they are.  Larger tables have keys enough to deal rows out by.
+    """
+    return F.broadcast(table) if rows <= SMALL_TABLE else table
+
+
+def beside_if_small(table: DataFrame) -> DataFrame:
+    """``beside`` for a table whose size is not known; its first rows are counted."""
+    return beside(table, table.limit(SMALL_TABLE + 1).count())
+
+
 # Aggregate functions per pass for collected (scalar) aggregates: wider global
 # aggregates exceed whole-stage codegen's field limit and run interpreted.
 AGGS_PER_PASS = 80

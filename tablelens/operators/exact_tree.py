@@ -11,7 +11,9 @@ sums of earlier ranges of the same node and feature are added (a small table
 with a row per range and group), so neither a frequent node nor a feature with
 many values is one task's work.  A cut lies half way between neighbouring
 values; the best one per node comes from an aggregate.  Rows go to the children
-by a join with the cuts, and rows of finished nodes leave the table.
+by a join with the cuts, and rows of finished nodes leave the table.  What is
+known of the nodes of a level goes to the rows while it is small (a shuffle by
+node would bring all rows of a node to one task).
 
 The impurity is Gini's for classes and the variance for numbers.  Of equally
 good cuts the first feature, then the lowest threshold wins.  Class sums are
@@ -30,12 +32,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.layout import materialize
+from ..functions.layout import SMALL_TABLE, beside, materialize
 from ..functions.typing_rules import qcol
 
 #: Classes are columns of the running sums.
 MAX_CLASSES = 100
 
+#: Levels that rows walk down before they are checkpointed.
+WALK = 4
+
 NODE_COLUMNS = ["node", "parent", "side", "depth", "n", "impurity", "prediction", "feature", "threshold"]
 
 
@@ -61,6 +66,7 @@ class ExactTree:
     features: list[str]
     classes: int | None               # None: a regression tree
     levels: list[DataFrame]           # NODE_COLUMNS by depth
+    sizes: list[int]                  # nodes by depth
 
     def nodes(self) -> DataFrame:
         """depth, node, parent, side, n, impurity, prediction, feature and threshold (NULL in leaves).
@@ -86,25 +92,30 @@ class ExactTree:
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         """``df`` with the prediction of the leaf each row falls into; NULL for a missing feature.
 
-        Rows walk down level by level: a join with the cuts of the level, and
-        those that have reached a leaf leave.  Leaves of all depths meet at the end.
+        Rows walk down level by level: a join with the cuts of the level.  Those
+        that have reached a leaf keep its prediction and meet no further cut.
+        Small levels go to the rows, ``WALK`` of them in one pass.
         """
         values = F.array(*[qcol(f).cast("double") for f in self.features])
         gap = F.exists(values, lambda v: v.isNull() | F.isnan(v))
         at = df.select(F.struct(*[qcol(c) for c in df.columns]).alias("__row"), values.alias("__x"),
-                       gap.alias("__gap"))
-        done = at.where("__gap").select("__row", F.lit(None).cast("double").alias(output))
-        at = materialize(at.where("not __gap").drop("__gap").withColumn("node", F.lit(0).cast("long")))
+                       F.when(~gap, F.lit(0).cast("long")).alias("node"), F.lit(None).cast("double").alias(output))
+        done: DataFrame | None = None
         index = F.create_map(*[x for i, f in enumerate(self.features) for x in (F.lit(f), F.lit(i + 1))])
-        for depth, level in enumerate(self.levels):
-            cuts = level.select("node", "prediction", index[F.col("feature")].alias("__f"), "threshold", "__left")
-            met = at.join(cuts, "node")
-            done = done.unionByName(met.where("__f is null").select("__row", F.col("prediction").alias(output)))
-            goes_on = met.where("__f is not null")
-            left = F.element_at("__x", F.col("__f")) <= F.col("threshold")
-            at = goes_on.select("__row", "__x", (F.col("__left") + F.when(left, 0).otherwise(1)).alias("node"))
-            if depth + 1 < len(self.levels):
+        for depth, (level, size) in enumerate(zip(self.levels, self.sizes)):
+            cuts = level.select("node", F.col("prediction").alias("__p"), index[F.col("feature")].alias("__f"),
+                                "threshold", "__left")
+            if size > SMALL_TABLE or depth and depth % WALK == 0:
                 at = materialize(at)
+            if size > SMALL_TABLE:  # rows without a node are not dealt out
+                ended = at.where("node is null").select("__row", output)
+                done = ended if done is None else done.unionByName(ended)
+                at = at.where("node is not null")
+            left = F.element_at("__x", F.col("__f")) <= F.col("threshold")
+            at = at.join(beside(cuts, size), "node", "left").select(
+                "__row", "__x", F.when(F.col("__f").isNotNull(), F.col("__left") + F.when(left, 0).otherwise(1)).alias("node"),
+                F.when(F.col("node").isNotNull() & F.col("__f").isNull(), F.col("__p")).otherwise(qcol(output)).alias(output))
+        done = at.select("__row", output) if done is None else done.unionByName(at.select("__row", output))
         names = [F.col("__row").getField(c).alias(c) for c in df.columns if c != output]
         return done.select(*names, output)
 
@@ -125,21 +136,25 @@ def fit(df: DataFrame, features: list[str], label: str = "label", classes: int |
     frontier = rows.select("node").distinct().select("node", F.lit(None).cast("long").alias("parent"),
                                                      F.lit(None).cast("string").alias("side"))
     levels: list[DataFrame] = []
+    sizes = [1]
     depth = 0
     while True:
-        level = _level(rows, frontier, features, names, classes, depth, max_depth is None or depth < max_depth, min_rows)
+        level = _level(rows, frontier, features, names, classes, depth, max_depth is None or depth < max_depth, min_rows,
+                       sizes[-1])
         levels.append(level)
         cut = level.where("feature is not null")
-        if cut.isEmpty():
-            return ExactTree(list(features), classes, levels)
+        n_cuts = cut.count()
+        if not n_cuts:
+            return ExactTree(list(features), classes, levels, sizes)
         children = F.inline(F.array(*[F.struct((F.col("__left") + k).alias("node"), F.col("node").alias("parent"),
                                                F.lit(side).alias("side")) for k, side in enumerate(("left", "right"))]))
         frontier = cut.select(children)
         index = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f), F.lit(i + 1))])
         cuts = cut.select("node", index[F.col("feature")].alias("__f"), "threshold", "__left")
         left = F.element_at("x", F.col("__f")) <= F.col("threshold")
-        rows = materialize(rows.join(cuts, "node").select(
+        rows = materialize(rows.join(beside(cuts, n_cuts), "node").select(
             "x", "w", *names, (F.col("__left") + F.when(left, 0).otherwise(1)).alias("node")))
+        sizes.append(2 * n_cuts)
         depth += 1
 
 
@@ -163,11 +178,11 @@ def _weighted(df: DataFrame, features: list[str], label: str, classes: int | Non
 
 
 def _level(rows: DataFrame, frontier: DataFrame, features: list[str], names: list[str], classes: int | None, depth: int,
-           may_cut: bool, min_rows: int) -> DataFrame:
-    """The nodes of a level: NODE_COLUMNS and ``__left``, the number of the left child (the right one follows)."""
+           may_cut: bool, min_rows: int, size: int) -> DataFrame:
+    """The ``size`` nodes of a level: NODE_COLUMNS and ``__left``, the number of the left child (the right one follows)."""
     square = None if classes else F.col("q")
     sums = [F.col(f"s{i}") for i in range(classes or 1)]
-    totals = rows.groupBy("node").agg(F.sum("w").alias("w"), *[F.sum(c).alias(c) for c in names])
+    totals = materialize(rows.groupBy("node").agg(F.sum("w").alias("w"), *[F.sum(c).alias(c) for c in names]))
     if classes is None:
         prediction = F.col("s0") / F.col("w")
     else:  # the most frequent class, the smallest number of equals
@@ -176,7 +191,7 @@ def _level(rows: DataFrame, frontier: DataFrame, features: list[str], names: lis
         "node", "parent", "side", F.lit(depth).alias("depth"), F.col("w").alias("n"),
         _impurity(sums, F.col("w"), square).alias("impurity"), prediction.alias("prediction"))
     if may_cut:
-        best = _best_cuts(rows, totals, features, names, classes, min_rows)
+        best = _best_cuts(rows, totals, features, names, classes, min_rows, size)
         known = known.join(best, "node", "left")
     else:
         known = known.select("*", F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("threshold"))
@@ -184,14 +199,14 @@ def _level(rows: DataFrame, frontier: DataFrame, features: list[str], names: lis
 
 
 def _best_cuts(rows: DataFrame, totals: DataFrame, features: list[str], names: list[str], classes: int | None,
-               min_rows: int) -> DataFrame:
+               min_rows: int, size: int) -> DataFrame:
     """(node, feature, threshold) of the best cut of every node that is not pure and has one."""
     pure = (F.greatest(*[F.col(f"s{i}") for i in range(classes)]) == F.col("w")) if classes and classes > 1 else (
         F.lit(True) if classes else F.col("q") * F.col("w") <= F.col("s0") * F.col("s0"))
     open_nodes = totals.where(~pure & (F.col("w") >= min_rows)).select(
         "node", F.col("w").alias("__w"), *[F.col(c).alias(f"__{c}") for c in names])
     sums = ["w", *names]
-    counted = (rows.join(open_nodes.select("node"), "node", "left_semi")
+    counted = (rows.join(beside(open_nodes.select("node"), size), "node", "left_semi")
                .select("node", F.posexplode("x").alias("f", "v"), *sums)
                .groupBy("node", "f", "v").agg(*[F.sum(c).alias(c) for c in sums]))
     order = ["node", "f", "v"]
@@ -206,7 +221,7 @@ def _best_cuts(rows: DataFrame, totals: DataFrame, features: list[str], names: l
     upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = ranged.select(*order, "__range", F.lead("v").over(own).alias("__v"),
                             *[F.sum(c).over(upto).alias(c) for c in sums])
-    cuts = (running.join(offsets, ["node", "f", "__range"]).join(open_nodes, "node")
+    cuts = (running.join(offsets, ["node", "f", "__range"]).join(beside(open_nodes, size), "node")
             .select("node", "f", "v", F.coalesce("__v", "__n").alias("next"),
                     *[(F.col(c) + F.col(f"__o_{c}")).alias(c) for c in sums], "__w", *[f"__{c}" for c in names])
             .where("next is not null"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tablelens.functions import layout
 from tablelens.operators import exact_tree
 
 
@@ -96,3 +97,23 @@ def test_neighbouring_doubles(spark):
     df = spark.createDataFrame([(a, 0.0), (b, 1.0)], "x double, y double")
     tree = exact_tree.fit(df, ["x"], "y", 2)
     assert tree.predict(df).where("prediction <> y").count() == 0
+
+
+def test_rows_of_a_node_are_not_gathered(spark, monkeypatch):
+    """Small levels go to the rows; beyond the limit rows are dealt out by node, with the same result."""
+    rng = np.random.default_rng(9)
+    rows = [(i, float(a), float(b), float(rng.integers(0, 3))) for i, (a, b) in enumerate(rng.integers(0, 9, (80, 2)))]
+    df = spark.createDataFrame([*rows, (900, None, 1.0, 2.0)], "id long, a double, b double, y double")
+
+    def told():
+        tree = exact_tree.fit(df, ["a", "b"], "y", 3, 4)
+        found = tree.predict(df)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        return rows_of(tree, ["a", "b"]), sorted(map(tuple, found.collect())), plan
+
+    nodes, said, plan = told()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(exact_tree, "WALK", 2)
+    monkeypatch.setattr(exact_tree, "SMALL_TABLE", 3)
+    monkeypatch.setattr(layout, "SMALL_TABLE", 3)
+    assert told()[:2] == (nodes, said) and len(said) == 81 and sum(r[-1] is None for r in said) == 1
