@@ -98,9 +98,10 @@ class ExactTree:
         """
         values = F.array(*[qcol(f).cast("double") for f in self.features])
         gap = F.exists(values, lambda v: v.isNull() | F.isnan(v))
-        at = df.select(F.struct(*[qcol(c) for c in df.columns]).alias("__row"), values.alias("__x"),
-                       F.when(~gap, F.lit(0).cast("long")).alias("node"), F.lit(None).cast("double").alias(output))
-        done: DataFrame | None = None
+        at = df.select(F.struct(*[qcol(c) for c in df.columns]).alias("__row"), values.alias("__x"), gap.alias("__gap"),
+                       F.lit(None).cast("double").alias(output))
+        done = at.where("__gap").select("__row", output)
+        at = materialize(at.where("not __gap").select("__row", "__x", F.lit(0).cast("long").alias("node"), output))
         index = F.create_map(*[x for i, f in enumerate(self.features) for x in (F.lit(f), F.lit(i + 1))])
         for depth, (level, size) in enumerate(zip(self.levels, self.sizes)):
             cuts = level.select("node", F.col("prediction").alias("__p"), index[F.col("feature")].alias("__f"),
@@ -108,14 +109,13 @@ class ExactTree:
             if size > SMALL_TABLE or depth and depth % WALK == 0:
                 at = materialize(at)
             if size > SMALL_TABLE:  # rows without a node are not dealt out
-                ended = at.where("node is null").select("__row", output)
-                done = ended if done is None else done.unionByName(ended)
+                done = done.unionByName(at.where("node is null").select("__row", output))
                 at = at.where("node is not null")
             left = F.element_at("__x", F.col("__f")) <= F.col("threshold")
             at = at.join(beside(cuts, size), "node", "left").select(
                 "__row", "__x", F.when(F.col("__f").isNotNull(), F.col("__left") + F.when(left, 0).otherwise(1)).alias("node"),
                 F.when(F.col("node").isNotNull() & F.col("__f").isNull(), F.col("__p")).otherwise(qcol(output)).alias(output))
-        done = at.select("__row", output) if done is None else done.unionByName(at.select("__row", output))
+        done = done.unionByName(at.select("__row", output))
         names = [F.col("__row").getField(c).alias(c) for c in df.columns if c != output]
         return done.select(*names, output)
 
