@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.layout import beside_if_small
 from ..functions.typing_rules import is_numeric_for, nan_to_null, qcol
 from .ordered import running_totals
 from .profile import distinct_counts
@@ -104,13 +105,14 @@ def label_encode(df: DataFrame, target: str, labels: DataFrame | None = None,
                  output: str = "label") -> tuple[DataFrame, DataFrame]:
     """Drop rows without a target, add ``output`` = class index in sorted order (NULL when unseen).
 
+    A class table of usual size goes to the rows, as a class may hold most of them.
     Returns the frame and the class table (which decodes predictions).
     """
     df = drop_missing_target(df, target)
     if labels is None:
         labels = fit_labels(df, target)
     known = labels.select(F.col("value").alias("__value"), F.col("class_index").alias(output))
-    joined = df.join(known, qcol(target) == F.col("__value"), "left")
+    joined = df.join(beside_if_small(known), qcol(target) == F.col("__value"), "left")
     return joined.select(*[qcol(c) for c in df.columns if c != output], qcol(output)), labels
 
 
@@ -119,6 +121,6 @@ def label_decode(df: DataFrame, labels: DataFrame, column: str = "prediction",
     """Add ``output`` = class text of the index in ``column``; an index without a class keeps its own text."""
     known = labels.select(F.col("class_index").cast("double").alias("__index"),
                           F.col("value").cast("string").alias("__class"))
-    joined = df.join(known, qcol(column).cast("double") == F.col("__index"), "left")
+    joined = df.join(beside_if_small(known), qcol(column).cast("double") == F.col("__index"), "left")
     text = F.coalesce(F.col("__class"), qcol(column).cast("long").cast("string"))
     return joined.select(*[qcol(c) for c in df.columns if c != output], text.alias(output))

@@ -105,3 +105,23 @@ def test_single_and_all_column_validation_agree(spark):
     many = {r["column_name"]: (r["ok"], r["reason"]) for r in tg.validate_targets(df).collect()}
     for c in df.columns:
         assert tg.validate_target(df, c) == many[c]
+
+
+def test_rows_of_a_class_stay_where_they_are(spark, monkeypatch):
+    """Two classes are no key to deal rows out by; the class table goes to the rows, unless it is large."""
+    from tablelens.functions import layout
+    from tablelens.operators import target
+
+    df = spark.createDataFrame([(i, "n" if i % 10 else "y") for i in range(200)] + [(900, None)], "id long, t string")
+
+    def coded():
+        out, labels = target.label_encode(df.repartition(7), "t")
+        back = target.label_decode(out, labels, "label", "said")
+        plan = back._jdf.queryExecution().executedPlan().toString()
+        return sorted(map(tuple, back.collect())), plan, out.rdd.getNumPartitions()
+
+    rows, plan, parts = coded()
+    assert "SortMergeJoin" not in plan.split("Initial Plan")[0] and plan.count("BroadcastHashJoin") >= 2 and parts == 7
+    assert rows == [(i, "n" if i % 10 else "y", 0 if i % 10 else 1, "n" if i % 10 else "y") for i in range(200)]
+    monkeypatch.setattr(layout, "SMALL_TABLE", 1)
+    assert coded()[0] == rows
