@@ -19,6 +19,10 @@ the word (one more, one less, or equal) are the join key.  What meets and has
 much the same letters is verified by the edit distance itself.  No list of candidates is kept for a
 bigram, and no word meets all others that share a frequent one.
 
+All joins here are of tables that grow with the vocabulary and go through a
+shuffle (``shuffled``).  Spark would guess a side's size from a compressed file
+of words, of which every word makes many keys, and send it to the driver.
+
 Edge cases: a NULL or empty text has no words; a NULL id counts as an empty one
 in the check sum that spoils runs; repeated rows and rows that share an id count
 each; an empty table gives an empty result; other columns are not read.  Ties
@@ -167,6 +171,11 @@ def _keyed(words: DataFrame, counts: dict[str, int], probe: bool, name: str) ->
                     F.col("n").alias(f"n_{name}"), F.col("odd").alias(f"odd_{name}")))
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """``side`` for a join by shuffle and sort, never by broadcast, however small its files look."""
+    return side.hint("merge")
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, n_a, b, n_b with a < b: every two words (of four or more letters) exactly one edit apart, once.
 
@@ -175,7 +184,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     counts = gram_counts(words)
     probe, index = _keyed(words, counts, True, "p"), _keyed(words, counts, False, "i")
     alike = F.bit_count(F.col("odd_p").bitwiseXOR(F.col("odd_i"))) <= 2
-    met = probe.join(index, "key").filter(alike & (F.col("p") != F.col("i")) & (F.levenshtein("p", "i", 1) == 1))
+    met = probe.join(shuffled(index), "key").filter(alike & (F.col("p") != F.col("i")) & (F.levenshtein("p", "i", 1) == 1))
     first = F.col("p") < F.col("i")
     return met.select(F.least("p", "i").alias("a"), F.when(first, F.col("n_p")).otherwise(F.col("n_i")).alias("n_a"),
                       F.greatest("p", "i").alias("b"),
@@ -191,7 +200,7 @@ def roots(links: DataFrame) -> DataFrame:
     now, left = links.select("word", F.col("form").alias("root")), None
     while True:
         step = now.select(F.col("word").alias("via"), F.col("root").alias("next"))
-        now = cut(now.join(step, F.col("root") == F.col("via"), "left")
+        now = cut(now.join(shuffled(step), F.col("root") == F.col("via"), "left")
                   .select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         left = now.filter("moved").isEmpty()
         now = now.select("word", "root")
@@ -211,13 +220,13 @@ def forms(words: DataFrame) -> DataFrame:
     best = both.groupBy(F.col("a").alias("word")).agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("n_b")).alias("less"), "b")).alias("best"))
     chosen = store(
-        words.join(best, "word", "left").withColumn("best_n", -F.col("best.less"))
+        words.join(shuffled(best), "word", "left").withColumn("best_n", -F.col("best.less"))
         .withColumn("is_form", F.coalesce(F.col("best_n") >= 2 * F.col("n"), F.lit(False)))
         .select("word", F.when(F.col("is_form"), F.col("best.b")).alias("form"), "n",
                 F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
                 F.when(F.col("is_form"), F.col("best_n")).alias("form_n")))
     ends = roots(chosen.filter("form is not null").select("word", "form"))
-    return chosen.join(ends, "word", "left").select(
+    return chosen.join(shuffled(ends), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

@@ -157,6 +157,15 @@ def test_variants_empty(spark, awkward):
     assert variants.group_variants(awkward.limit(0)).count() == 0
 
 
+def test_variants_are_not_broadcast(spark):
+    """A table of words looks small in its files; what is made of it must not go to the driver."""
+    words = spark.createDataFrame([("abcde", 9), ("abcdf", 3), ("other", 5)], "word string, n long")
+    for made in (variants.near_pairs(words), variants.forms(words)):
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_variants_dense(spark):
     """Few letters, many repeated bigrams, long paths to the root."""
     rng = np.random.default_rng(3)
