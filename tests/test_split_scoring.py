@@ -156,3 +156,37 @@ def test_short_and_long_category_lists_agree(spark, city_train, monkeypatch):
     monkeypatch.setattr(sc, "SHORT_LIST", 2)
     long, same = told()
     assert "Join" in long._jdf.queryExecution().executedPlan().toString() and rows == same
+
+
+def test_training_rows_are_dealt_to_the_cores(spark, monkeypatch):
+    """Rows of one file come as one task, which all levels of all trees would wait for."""
+    from tablelens.functions import layout
+    from tablelens.operators import models as md
+
+    monkeypatch.setattr(layout, "DEAL_ROWS", 50)
+    set_before = spark.conf.get(layout.SPREAD, None)
+    spark.conf.unset(layout.SPREAD)
+    try:
+        rows = spark.range(0, 200, 1, 1).selectExpr("cast(id % 7 as double) x", "cast(id % 7 > 2 as double) label")
+        fitted = []
+        monkeypatch.setattr(md, "candidates", lambda *a, **k: [("Decision Tree", Fit(fitted))])
+        md.train_select(rows, rows, "classification", ["x"])
+        assert fitted == [(min(4, spark.sparkContext.defaultParallelism), 200)]
+        assert layout.deal(rows, 49).rdd.getNumPartitions() == 1
+    finally:
+        if set_before:
+            spark.conf.set(layout.SPREAD, set_before)
+
+
+class Fit:
+    """An estimator that notes the tasks and rows it gets."""
+
+    def __init__(self, seen):
+        self.seen = seen
+
+    def fit(self, df):
+        self.seen.append((df.rdd.getNumPartitions(), df.count()))
+        return self
+
+    def transform(self, df):
+        return df.selectExpr("*", "label as prediction")
